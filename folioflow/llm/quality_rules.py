@@ -19,16 +19,17 @@ from folioflow.llm.common import UPPER, cut, fresh, space_words, table
 RATIO_RULES = (
     ("symbols", "n_symbols", "n_words", 0.15, 0.05),
     ("marks", "n_marks", "n_words", 0.5, 0.1),
+    ("decorated", "n_decorated", "n_words", 0.2, 0.05),
     ("capitals", "n_capitals", "word_chars", 0.5, 0.2),
     ("dup_lines", "n_dup_lines", "n_lines", 0.4, 0.15),
     ("repeats", "n_repeat_words", "n_words", 0.4, 0.2),
 )
 RULES = (*(r[0] for r in RATIO_RULES), "word_length", "length")
-PRIOR, ROUNDS = 0.8, 25
+PRIOR, ROUNDS, SETTLED = 0.8, 15, 1e-3
 #: How a rule votes (good, abstains, bad) on good and on bad documents, as believed before any document.
-ON_GOOD, ON_BAD = (0.8, 0.17, 0.03), (0.5, 0.2, 0.3)
-#: The belief counts as much as so many documents of each class.
-BELIEF = 20.0
+ON_GOOD, ON_BAD = (0.8, 0.18, 0.02), (0.5, 0.2, 0.3)
+#: The belief counts as much as so many documents of each class, or this share of all, whichever is more.
+BELIEF, BELIEF_SHARE = 20.0, 0.05
 LEAST, MOST = 0.5, 0.95
 KEEP_FROM = 0.5
 
@@ -85,6 +86,7 @@ def counts(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": without("#*$%&|<>"),
         "n_marks": without("!?|{}~^_="),
+        "n_decorated": F.regexp_count(text, F.lit(r"[#*$%&!?|~^_=<>{}]{2,}")).cast("long"),
         "n_capitals": without(UPPER),
         "lines": lines,
     }
@@ -98,11 +100,11 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     wide = docs.withColumn(words, space_words(F.col(text_col)))
     wide = wide.select(
         *keep,
-        F.size(words).cast("long").alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["n_marks"].alias("n_marks"), c["n_capitals"].alias("n_capitals"),
+        F.size(words).cast("long").alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["n_marks"].alias("n_marks"), c["n_decorated"].alias("n_decorated"), c["n_capitals"].alias("n_capitals"),
         let(c["lines"], lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("lines"),
         repeat_words(F.col(words)).alias("n_repeat_words"),
     )
-    return wide.select(*keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_capitals", "lines.n_lines", "lines.n_dup_lines", "n_repeat_words")
+    return wide.select(*keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals", "lines.n_lines", "lines.n_dup_lines", "n_repeat_words")
 
 
 def base_failed() -> Column:
@@ -132,10 +134,11 @@ def posterior(model: Model, cast_votes: list[Column]) -> Column:
 def fit(features: DataFrame, rounds: int = ROUNDS) -> Model:
     """EM over the patterns of votes of all rows of ``features`` (the output of ``measured``).
 
-    No rows: the model of before. ``BELIEF`` keeps rules that seldom vote near what is believed of them.
+    Rows that fail the base rules are left out: they go anyway, and would fill the class of bad documents
+    with short ones. No rows: the model of before. ``BELIEF`` keeps rules that seldom vote near what is believed of them.
     """
     names = [f"v{i}" for i in range(len(RULES))]
-    patterns = cut(features.select(*(v.alias(n) for v, n in zip(votes(), names, strict=True))).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    patterns = cut(features.filter(~base_failed()).select(*(v.alias(n) for v, n in zip(votes(), names, strict=True))).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
     model = Model(PRIOR, ((ON_GOOD, ON_BAD),) * len(RULES))
     for _ in range(rounds):
         p = patterns.withColumn("p", posterior(model, [F.col(n) for n in names]))
@@ -144,17 +147,20 @@ def fit(features: DataFrame, rounds: int = ROUNDS) -> Model:
         total, good, *rest = p.agg(F.sum("n"), F.sum(F.col("n") * F.col("p")), *sums).first()
         if not total:
             return model
+        belief = max(BELIEF, BELIEF_SHARE * total)
         accuracies = []
         for i in range(len(names)):
             both = []
             for k, believed in enumerate((ON_GOOD, ON_BAD)):
                 seen = rest[6 * i + 3 * k : 6 * i + 3 * k + 3]
-                both.append(tuple(round((x + BELIEF * b) / (sum(seen) + BELIEF), 9) for x, b in zip(seen, believed, strict=True)))
+                both.append(tuple(round((x + belief * b) / (sum(seen) + belief), 9) for x, b in zip(seen, believed, strict=True)))
             accuracies.append(tuple(both))
         after = Model(round(min(MOST, max(LEAST, good / total)), 9), tuple(accuracies))
-        if after == model:
-            break
+        flat = lambda m: [m.prior, *(x for rule in m.accuracies for side in rule for x in side)]
+        moved = max(abs(x - y) for x, y in zip(flat(model), flat(after), strict=True))
         model = after
+        if moved < SETTLED:
+            break
     return model
 
 
