@@ -280,7 +280,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", nu
     gone = cut(found.filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
     few = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[gone_id], "left_anti")
-    return left.dropDuplicates([id_col]) if found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() else left
+    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if not again.limit(1).count():
+        return left
+    has_id = F.col(id_col).isNotNull()
+    return left.filter(has_id).dropDuplicates([id_col]).unionByName(left.filter(~has_id))
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
