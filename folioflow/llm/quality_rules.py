@@ -98,13 +98,13 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     c = counts(docs, text_col)
     keep = [x for x in docs.columns if x != text_col]
     wide = docs.withColumn(words, space_words(F.col(text_col)))
-    wide = wide.select(
-        *keep,
-        F.size(words).cast("long").alias("n_words"), c["word_chars"].alias("word_chars"), c["n_symbols"].alias("n_symbols"), c["n_marks"].alias("n_marks"), c["n_decorated"].alias("n_decorated"), c["n_capitals"].alias("n_capitals"),
+    made = F.struct(
+        F.size(words).cast("long").alias("n_words"), *(c[n].alias(n) for n in ("word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals")),
         let(c["lines"], lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("lines"),
         repeat_words(F.col(words)).alias("n_repeat_words"),
     )
-    return wide.select(*keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals", "lines.n_lines", "lines.n_dup_lines", "n_repeat_words")
+    # The one-row generator keeps filters on the counts above it; pushed below, each mention of a count would compute it anew.
+    return wide.select(*keep, F.inline(F.array(made))).select(*keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals", "lines.n_lines", "lines.n_dup_lines", "n_repeat_words")
 
 
 def base_failed() -> Column:
