@@ -1,7 +1,8 @@
 """Training-order materialisation: a keyed permutation gives each sequence its slot, ranges of slots become fixed-stride shards.
 
-1. Documents become sequences of ``LENGTH`` byte-level token ids (UTF-8 bytes; ``END`` and ``PAD`` are bytes
-   that UTF-8 never uses). Sequences are numbered by the partitions' counts, without a sort.
+1. The documents of a partition, each with ``END`` behind it, are packed into sequences of ``LENGTH`` byte-level
+   token ids (UTF-8 bytes; ``END`` and ``PAD`` are bytes that UTF-8 never uses). Sequences are numbered by
+   the partitions' counts, without a sort.
 2. A keyed Feistel network over the next power of four, walked until it falls below the number of
    sequences, sends each number to its slot: one to one, with no table, wherever it is computed.
 3. A shard holds ``per_shard`` slots in a row and is one file of equal records, written by Spark's own writer,
@@ -10,6 +11,7 @@
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -66,20 +68,32 @@ class Permutation:
         return self._walk(slots, True)
 
 
-def _bodies(text: bytes | None) -> Iterator[bytes]:
-    data = (text or b"") + bytes([END])
-    for at in range(0, len(data), LENGTH):
-        yield data[at : at + LENGTH].ljust(LENGTH, bytes([PAD]))
+class _Packer:
+    """Cuts a stream of texts, each with ``END`` behind it, into sequences; only the last one needs ``PAD``."""
+
+    def __init__(self):
+        self.held = bytearray()
+
+    def add(self, texts: Iterator[bytes | None]) -> list[bytes]:
+        for text in texts:
+            self.held += text or b""
+            self.held.append(END)
+        whole = len(self.held) // LENGTH * LENGTH
+        cut, self.held = bytes(self.held[:whole]), self.held[whole:]
+        return [cut[at : at + LENGTH] for at in range(0, whole, LENGTH)]
+
+    def last(self) -> list[bytes]:
+        return [bytes(self.held).ljust(LENGTH, bytes([PAD]))] if self.held else []
 
 
 def plan(docs: DataFrame, text_col: str = "text") -> tuple[dict[int, int], int]:
     """First number of each partition of ``docs``, and the number of sequences. One row per partition comes to the driver."""
-    count = F.ceil((F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1) / F.lit(LENGTH)).cast("long")
-    rows = docs.select(F.spark_partition_id().alias("p"), count.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
+    size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
+    rows = docs.select(F.spark_partition_id().alias("p"), size.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
     first, total = {}, 0
     for p, n in sorted((r.p, r.n) for r in rows):
         first[p] = total
-        total += n
+        total += -(-n // LENGTH)
     return first, total
 
 
@@ -87,8 +101,8 @@ def materialise(docs: DataFrame, path: str, text_col: str = "text", key: int = K
     """Writes the shards below ``path`` and returns the number of sequences.
 
     ``docs`` must give the same partitions whenever it is read, as files do; a partition that comes out
-    otherwise than it was counted stops the job, so no slot is filled twice or left. A null or empty text is a
-    sequence that only ends. Repeated rows are sequences of their own. An empty table writes nothing.
+    otherwise than it was counted stops the job, so no slot is filled twice or left. A null or empty text
+    only ends. Repeated rows are packed as often as they come. An empty table writes nothing.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
     first, total = plan(texts, "text")
@@ -100,9 +114,8 @@ def materialise(docs: DataFrame, path: str, text_col: str = "text", key: int = K
 
     def run(batches: Iterator[pa.RecordBatch]):
         p = TaskContext.get().partitionId()
-        number = first.get(p, 0)
-        for batch in batches:
-            bodies = [b for text in batch.column(0).cast(pa.large_binary()) for b in _bodies(text.as_py())]
+        number, packer = first.get(p, 0), _Packer()
+        for bodies in itertools.chain((packer.add(x.as_py() for x in batch.column(0).cast(pa.large_binary())) for batch in batches), (packer.last() for _ in range(1))):
             slots = order.slots(np.arange(number, number + len(bodies))) if bodies else np.empty(0, np.int64)
             number += len(bodies)
             for at in range(0, len(bodies), 8192):
