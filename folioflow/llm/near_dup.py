@@ -7,10 +7,11 @@
 3. Signatures are split into ``CHUNKS`` chunks. If two signatures differ in at most ``MAX_DISTANCE`` symbols,
    some chunk differs in at most ``CHUNK_ERRORS`` (pigeonhole), so for every choice of the symbols that may
    differ the rest of the chunk is an index key: all pairs within the distance meet at some key.
-4. First, each key's members are compared with its smallest id only, which links a group of near
-   copies in a linear number of comparisons. Links make components.
-5. Only keys that still hold two components or more are left. Their members are dealt into cells
-   of bounded size that together hold every pair; signatures screen, full sets confirm.
+4. First, each key's members are compared with its smallest id only, then, in keys that still hold two
+   components or more, with one member drawn per key, ``ROUNDS`` times. Each round is linear in the members,
+   and links what is linked often: a group of near copies grows together without its pairs being listed.
+5. Keys that hold two components even then are compared in full: their members are dealt into cells of
+   bounded size that together hold every pair once; signatures screen, full sets confirm.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
 SCREEN_DISTANCE = 21
 #: A cell holds so many members of a key on each side at most.
 CELL = 2000
+#: Rounds of comparisons with drawn members.
+ROUNDS = 3
 NUMERATOR, DENOMINATOR = 85, 100
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -102,7 +105,7 @@ def sketched(docs: DataFrame) -> DataFrame:
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
-    """``key`` (the symbols of a chunk that must agree, with the chunk and the choice), and ``id``: CHUNKS * CHUNK rows for each row of ``classes``."""
+    """``key`` (the symbols of a chunk that must agree, with the chunk and the choice), ``which`` (chunk and choice) and ``id``: CHUNKS * CHUNK rows for each row of ``classes``."""
     keep = [[p for p in range(CHUNK) if p != out] for out in range(CHUNK)]
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -115,9 +118,10 @@ def index_keys(classes: DataFrame) -> DataFrame:
             which = np.arange(CHUNKS * CHUNK, dtype=np.uint64).reshape(CHUNKS, CHUNK)
             keys = _mixed(keys ^ _mixed(which + np.uint64(1)))  # one number for symbols, chunk and choice
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), CHUNKS * CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(ids)], ["key", "id"])
+            places = np.tile(which.reshape(-1).astype(np.int8), len(symbols))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).astype(np.int64)), pa.array(places), pa.array(ids)], ["key", "which", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(run, "key long, which tinyint, id long")
 
 
 def near(a: pa.ChunkedArray | pa.Array, b: pa.Array) -> np.ndarray:
@@ -208,14 +212,21 @@ def star_pairs(keys: DataFrame) -> DataFrame:
 
 
 def left_over(keys: DataFrame, roots: DataFrame) -> DataFrame:
-    """``key``, ``id``, ``root``, ``n`` for the members of keys that hold two components or more."""
-    of = keys.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    """``key``, ``which``, ``id``, ``root``, ``n`` for the members of keys that hold two components or more."""
+    of = keys.select("key", "which", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     open_keys = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n")
     return of.join(open_keys, "key")
 
 
+def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the members of a key with one of them, drawn by a hash, where their components differ. One pair for each member and drawn one at most."""
+    drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "root")).alias("c")).select("key", F.col("c.id").alias("c"), F.col("c.root").alias("c_root"))
+    met = members.join(drawn, "key").filter("root <> c_root")
+    return met.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+
+
 def cell_pairs(members: DataFrame, classes: DataFrame, numerator: int, denominator: int, cell: int = CELL) -> DataFrame:
-    """(a, b) of all pairs of a key in two components that sizes and signatures allow.
+    """(a, b) of all pairs of a key in two components that sizes and signatures allow, each from the first key that it shares.
 
     A key with n members is dealt into ceil(n / cell) blocks, and each pair of blocks is a cell, so no
     task holds more than two blocks, and still each pair meets.
@@ -224,14 +235,14 @@ def cell_pairs(members: DataFrame, classes: DataFrame, numerator: int, denominat
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root")
+    cells = dealt.select("key", "which", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root")
     with_sig = cells.join(classes.select("id", "n_shingles", "sig"), "id")
 
     def run(key, whole):
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         ids, roots, sizes, blocks_ = (whole.column(k).to_numpy() for k in ("id", "root", "n_shingles", "block"))
         sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
-        x, y = key[1].as_py(), key[2].as_py()
+        which, x, y = (k.as_py() for k in key[1:])
         left = np.flatnonzero(blocks_ == x)
         right = np.flatnonzero(blocks_ == y)
         for i in left:
@@ -239,12 +250,17 @@ def cell_pairs(members: DataFrame, classes: DataFrame, numerator: int, denominat
             others = others[roots[others] != roots[i]]
             low, high = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
             others = others[low * denominator >= high * numerator]
-            others = others[(sigs[others] != sigs[i]).sum(axis=1) <= SCREEN_DISTANCE]
+            differ = (sigs[others] != sigs[i]).reshape(-1, CHUNKS, CHUNK)
+            errors = differ.sum(axis=2)
+            chunk = (errors <= CHUNK_ERRORS).argmax(axis=1)
+            here = np.arange(len(others))
+            choice = np.where(errors[here, chunk] > 0, differ[here, chunk].argmax(axis=1), 0)
+            others = others[(chunk * CHUNK + choice == which) & (errors.sum(axis=1) <= SCREEN_DISTANCE)]
             if len(others):
                 found.append((np.maximum(ids[others], ids[i]), np.minimum(ids[others], ids[i])))
         return pa.table({"a": np.concatenate([x[0] for x in found]), "b": np.concatenate([x[1] for x in found])})
 
-    return with_sig.groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return with_sig.groupBy("key", "which", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -262,11 +278,19 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numera
     first = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("b"))
     copies = cut(known.join(first, ["n_shingles", "f1", "f2"]).filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct(), "copies")
     keys = cut(index_keys(classes), "keys")
-    stars = cut(confirmed(cut(screened(star_pairs(keys), classes, numerator, denominator), "pairs"), named, numerator, denominator), "links")
-    roots = cut(components(stars), "roots")
-    rest = cut(left_over(keys, roots), "left-over")
-    more = cut(cell_pairs(rest, classes, numerator, denominator), "pairs")
-    links = stars.union(confirmed(more, named, numerator, denominator)) if more.limit(1).count() else stars
+    tested = lambda pairs: cut(confirmed(cut(screened(pairs, classes, numerator, denominator), "pairs"), named, numerator, denominator), "links")
+    links = tested(star_pairs(keys))
+    rest = keys
+    for turn in range(ROUNDS):
+        rest = cut(left_over(rest, cut(components(links), "roots")), "left-over")
+        if not rest.limit(1).count():
+            break
+        links = links.union(tested(drawn_pairs(rest, turn)))
+    else:
+        rest = cut(left_over(rest, cut(components(links), "roots")), "left-over")
+        more = cut(cell_pairs(rest, classes, numerator, denominator), "pairs")
+        if more.limit(1).count():
+            links = links.union(confirmed(more, named, numerator, denominator))
     final = cut(components(links.union(copies)), "components")
     joined = sketches.join(final, sketches["doc_id"] == final["id"], "left")
     root = F.coalesce("root", "doc_id")
