@@ -1,0 +1 @@
+"""A PySpark-native engine for document and text processing."""
