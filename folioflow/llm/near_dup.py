@@ -11,7 +11,8 @@
    components or more, with one member drawn per key, ``ROUNDS`` times. Each round is linear in the members,
    and links what is linked often: a group of near copies grows together without its pairs being listed.
 5. Keys that hold two components even then are compared in full: their members are dealt into cells of
-   bounded size that together hold every pair once; signatures screen, full sets confirm.
+   bounded size that together hold every pair once; signatures and the smallest hashes of the sets screen
+   (exactly, for sets of up to ``LOWEST``), full sets confirm.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SCREEN_DISTANCE = 21
 #: A cell holds so many members of a key on each side at most.
 CELL = 2000
 #: Rounds of comparisons with drawn members.
-ROUNDS = 3
+ROUNDS = 2
+#: The smallest hashes of a set that a cell compares (the whole set, if it has no more), and how far below the similarity asked for an estimate from them may be, in standard deviations.
+LOWEST, DEVIATIONS = 256, 5.5
 NUMERATOR, DENOMINATOR = 85, 100
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -225,7 +228,39 @@ def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
     return met.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
 
 
-def cell_pairs(members: DataFrame, classes: DataFrame, numerator: int, denominator: int, cell: int = CELL) -> DataFrame:
+def lowest(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``low``: the ``LOWEST`` smallest hashes of the sets of ``ids``, 32 bits of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        hashes = _Hashes()
+        for batch in batches:
+            low = [(shingle_set(t.as_py(), hashes)[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
+
+    return texts_of(docs, ids).select("id", "text").mapInArrow(run, "id long, low binary")
+
+
+def similar_enough(low: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``others`` may be as similar to ``i`` as asked. Rows of ``low`` are sorted and filled up with the largest number.
+
+    Up to the smaller of the last hashes of two cut sets both are known whole, so the share of common hashes
+    there is that of a random sample of the union; sets that aren't cut are compared in full.
+    """
+    top = np.uint32(2**32 - 1)
+    last = np.where(sizes > LOWEST, low[:, -1], top)
+    limit = np.minimum(last[others], last[i])[:, None]
+    mine, theirs = low[i], low[others]
+    place = np.minimum(np.searchsorted(mine, theirs), LOWEST - 1)
+    within = (theirs <= limit) & (np.arange(LOWEST) < sizes[others][:, None])
+    shared = ((mine[place] == theirs) & within).sum(axis=1)
+    own = (np.arange(LOWEST) < sizes[i]) & (mine <= limit)
+    union = np.maximum(within.sum(axis=1) + own.sum(axis=1) - shared, 1)
+    whole = limit[:, 0] == top
+    slack = np.where(whole, 0.0, DEVIATIONS * np.sqrt(similarity * (1 - similarity) / union))
+    return shared + 1 >= (similarity - slack) * union
+
+
+def cell_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, numerator: int, denominator: int, cell: int = CELL) -> DataFrame:
     """(a, b) of all pairs of a key in two components that sizes and signatures allow, each from the first key that it shares.
 
     A key with n members is dealt into ceil(n / cell) blocks, and each pair of blocks is a cell, so no
@@ -236,13 +271,15 @@ def cell_pairs(members: DataFrame, classes: DataFrame, numerator: int, denominat
     dealt = members.withColumn("blocks", blocks).withColumn("block", block)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("key", "which", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root")
-    with_sig = cells.join(classes.select("id", "n_shingles", "sig"), "id")
+    low = cut(lowest(docs, cut(members.select("id").distinct(), "left-over-ids")), "lowest")
+    with_sig = cells.join(classes.select("id", "n_shingles", "sig"), "id").join(low, "id")
 
     def run(key, whole):
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
         ids, roots, sizes, blocks_ = (whole.column(k).to_numpy() for k in ("id", "root", "n_shingles", "block"))
         sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
         which, x, y = (k.as_py() for k in key[1:])
+        lows = np.array([np.pad(np.frombuffer(v, "<u4"), (0, LOWEST - len(v) // 4), constant_values=2**32 - 1) for v in whole.column("low").to_pylist()], np.uint32)
         left = np.flatnonzero(blocks_ == x)
         right = np.flatnonzero(blocks_ == y)
         for i in left:
@@ -256,6 +293,8 @@ def cell_pairs(members: DataFrame, classes: DataFrame, numerator: int, denominat
             here = np.arange(len(others))
             choice = np.where(errors[here, chunk] > 0, differ[here, chunk].argmax(axis=1), 0)
             others = others[(chunk * CHUNK + choice == which) & (errors.sum(axis=1) <= SCREEN_DISTANCE)]
+            if len(others):
+                others = others[similar_enough(lows, sizes, i, others, numerator / denominator)]
             if len(others):
                 found.append((np.maximum(ids[others], ids[i]), np.minimum(ids[others], ids[i])))
         return pa.table({"a": np.concatenate([x[0] for x in found]), "b": np.concatenate([x[1] for x in found])})
@@ -288,7 +327,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numera
         links = links.union(tested(drawn_pairs(rest, turn)))
     else:
         rest = cut(left_over(rest, cut(components(links), "roots")), "left-over")
-        more = cut(cell_pairs(rest, classes, numerator, denominator), "pairs")
+        more = cut(cell_pairs(rest, classes, named, numerator, denominator), "pairs")
         if more.limit(1).count():
             links = links.union(confirmed(more, named, numerator, denominator))
     final = cut(components(links.union(copies)), "components")
