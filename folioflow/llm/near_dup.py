@@ -46,7 +46,7 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _FACTORS = _RANDOM.integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RANDOM.integers(0, 2**63, SYMBOLS, np.uint64)
 _POSITIONS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_WORDS_HELD = 1_000_000
+_WORDS_HELD = 300_000
 
 
 class _Hashes(dict):

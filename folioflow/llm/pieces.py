@@ -30,7 +30,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Longer words are encoded by themselves, so that no state is kept of them.
 LONGEST = 200
 UNKNOWN_PENALTY = 10.0
@@ -195,7 +195,7 @@ class Model:
         found = self.lengths_to.get(tail)
         if found is None:
             found = next((self.lengths_to[tail[-n:]] for n in (2, 1) if tail[-n:] in self.lengths_to), (1,))
-            if len(self.lengths_to) < 1_000_000:
+            if len(self.lengths_to) < 200_000:
                 self.lengths_to[tail] = found
         return tuple(n for n in found if n <= end)
 
@@ -230,7 +230,7 @@ class Model:
                     fits = apart.get(key)
                     if fits is None:
                         left = names[before] if before >= 0 else chr(-before - 2)
-                        if len(apart) > 2_000_000:
+                        if len(apart) > 400_000:
                             apart.clear()
                         fits = apart[key] = self.merged(left + names[k]) == [left, names[k]]
                     if not fits:

@@ -29,7 +29,7 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 0.01, 1e-4
 PREDICT_FROM = 0.7
 HELD_OUT = 2
 FEATURES = 4 * DIM + 3
-_WORDS_HELD = 1_000_000
+_WORDS_HELD = 300_000
 _RUNS = (re.compile(rb"[A-Z]+"), re.compile(rb"[a-z]+"), re.compile(rb"[0-9]+"), re.compile(rb"[\x80-\xff]+"), re.compile(rb"([^Aa0\x80])\1+"))
 
 
