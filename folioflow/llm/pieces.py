@@ -268,6 +268,7 @@ class Encoder:
         fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known, self.older = {}, self.known
+            self.lossy.intersection_update(self.older)
             fresh = words
         if self.older:
             again = fresh.intersection(self.older)
@@ -301,7 +302,9 @@ class Encoder:
         return "".join(out)
 
     def gives_back(self, text: str | None) -> bool:
-        """Whether decoding the ids of a text that was encoded gives it back. Words were decoded when they were new, and a text's ids are its words' ids in a row."""
+        """Whether decoding the ids of a text of the last batch gives it back. Words were decoded when they were new, and a text's ids are its words' ids in a row. A mark of the text's own comes back as a space."""
+        if MARK in (text or ""):
+            return False
         return not self.lossy or self.lossy.isdisjoint(self.split(text or ""))
 
 
@@ -325,7 +328,7 @@ def _batches(column: pa.Array, size: int = 2000) -> Iterator[list[str | None]]:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, check: bool = True) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and, with ``check``, ``round_trip`` (decoding gives the text back) per row.
 
-    Null and empty texts have no ids. U+2581 in a text is the model's own mark for a space and is read as one.
+    Null and empty texts have no ids. U+2581 in a text is the model's own mark for a space and is read as one, so such a text has no round trip.
     The model's bytes are read on the driver and travel with the task, so executors need no file.
     """
     with open(model_path or default_model(), "rb") as f:
