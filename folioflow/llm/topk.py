@@ -150,13 +150,14 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     spark = vectors.sparkSession
     numbers = whole_numbers(vectors, id_col, vector_col, scale)
     blocks = cut(blocks_of(numbers), "blocks")
-    asked = cut(numbers.filter(queries), "queries")
+    # A written number deals the queries out, so rows that share an id or a vector don't fill one group.
+    asked = cut(numbers.filter(queries).withColumn("turn", F.xxhash64("vec_id", F.monotonically_increasing_id())), "queries")
     groups = -(-asked.count() // group)
     path = shared_dir(spark, "found")
     schema = "query_row int, query_id long, vec_id long, score long"
     spark.createDataFrame([], "query_id long, rank int, vec_id long, score long").write.parquet(path)
     for g in range(groups):
-        rows = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).collect()  # about ``group`` rows of the stated query set
+        rows = asked.filter(F.pmod("turn", F.lit(groups)) == g).collect()  # about ``group`` rows of the stated query set
         q_ids = np.array([r.vec_id for r in rows], np.int64)
         by_dim = {d: np.array([i for i, r in enumerate(rows) if len(r.v) == d]) for d in {len(r.v) for r in rows}}
         matrices = {d: np.array([rows[i].v for i in at], np.float64).reshape(len(at), d) for d, at in by_dim.items()}
