@@ -69,7 +69,7 @@ def records(decided: DataFrame, date: str) -> Column:
     return F.concat(head, http, body)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 10_000, **cols: str) -> None:
+def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, date: str = "1970-01-01T00:00:00Z", compression: str = "gzip", records_per_file: int = 2_000, **cols: str) -> None:
     """Writes one record per row of ``pages`` below ``path``; an empty table gives no record."""
     rows = headers(pages, **cols)
     again = cut(revisits(rows, least_bytes), "revisits")
@@ -78,18 +78,63 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES,
     writer.text(path)
 
 
-def _parse(data: bytes) -> Iterator[tuple]:
+def _inflated(data: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of an archive in parts; a gzip file may hold one member or one for each record."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    member = None
+    for at in range(0, len(data), step):
+        part = data[at : at + step]
+        while part:
+            member = member or zlib.decompressobj(31)
+            yield member.decompress(part)
+            part, member = (member.unused_data, None) if member.eof else (b"", member)
+    if member:
+        raise ValueError("the archive ends inside a gzip member")
+
+
+class _Window:
+    """What is held of a stream: one record and a part more, whatever the archive's length."""
+
+    def __init__(self, parts: Iterator[bytes]):
+        self.parts, self.held, self.at = parts, bytearray(), 0
+
+    def fill(self, n: int) -> bool:
+        """Whether ``n`` bytes are held; reads on where they aren't yet."""
+        while len(self.held) < n:
+            part = next(self.parts, None)
+            if part is None:
+                return False
+            self.held += part
+        return True
+
+    def head(self) -> int:
+        """Where the blank line after the header begins."""
+        begin = 0
+        while (stop := self.held.find(b"\r\n\r\n", begin)) < 0:
+            begin = max(0, len(self.held) - 3)
+            if not self.fill(len(self.held) + 1):
+                raise ValueError(f"the record at byte {self.at} has no header's end")
+        return stop
+
+    def drop(self, n: int) -> None:
+        del self.held[:n]
+        self.at += n
+
+
+def _parse(parts: Iterator[bytes]) -> Iterator[tuple]:
     """The records of an archive, with payloads; raises where a digest, a length or the end of a record is wrong."""
-    view, at, n = memoryview(data), 0, len(data)
-    while at < n:
-        stop = data.index(b"\r\n\r\n", at)
-        version, *lines = bytes(view[at:stop]).split(b"\r\n")
+    window = _Window(parts)
+    while window.fill(1):
+        stop, data, at = window.head(), window.held, window.at
+        version, *lines = bytes(data[:stop]).split(b"\r\n")
         if not version.startswith(b"WARC/1."):
             raise ValueError(f"no record at byte {at}")
         head = {k.lower(): v.strip() for k, _, v in (x.decode().partition(":") for x in lines)}
         block = stop + 4
         after = block + int(head["content-length"])
-        if data[after : after + 4] != b"\r\n\r\n":
+        if not window.fill(after + 4) or data[after : after + 4] != b"\r\n\r\n":
             raise ValueError(f"the record at byte {at} has no end")
         start = data.index(b"\r\n\r\n", block, after) + 4
         algorithm, _, digest = head["warc-payload-digest"].partition(":")
@@ -97,14 +142,14 @@ def _parse(data: bytes) -> Iterator[tuple]:
             digest = base64.b32decode(digest.upper()).hex()
         size, payload, kind = int(head["warc-payload-length"]), None, head["warc-type"]
         if kind == "response":
-            payload = bytes(view[start:after])
+            payload = bytes(data[start:after])
             digest, size, told = hashlib.sha1(payload).hexdigest(), len(payload), (digest, size)
             if told != (digest, size):
                 raise ValueError(f"the record at byte {at} has another payload than its header tells")
         ids = [head[x].removeprefix("<urn:page:").removesuffix(">") if x in head else "none" for x in ("warc-record-id", "warc-refers-to")]
         page, refers = (None if x == "none" else int(x) for x in ids)
         yield page, kind, refers, head["warc-target-uri"], digest, size, payload
-        at = after + 4
+        window.drop(after + 4)
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -117,16 +162,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True, batch_b
     def parse(batches):
         for batch in batches:
             for data in batch.column(0):
-                data = data.as_py()
-                if data[:2] == b"\x1f\x8b":
-                    left, parts = data, []
-                    while left:  # a file may hold one member or one for each record
-                        member = zlib.decompressobj(31)
-                        parts.append(member.decompress(left))
-                        left = member.unused_data
-                    data = b"".join(parts)
                 rows, held = [], 0
-                for row in _parse(data):
+                for row in _parse(_inflated(data.as_py())):
                     rows.append(row[: len(names)])
                     held += len(row[-1] or b"") * payloads + 200
                     if held > batch_bytes:
