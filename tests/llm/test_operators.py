@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing names, against brute force."""
 
 import collections
+import gzip
 import hashlib
 import random
 import re
@@ -129,6 +130,8 @@ def test_pieces(docs, none):
     got = pieces.encode(docs).collect()
     assert all(r.round_trip for r in got) and pieces.encode(none).count() == 0
     assert all(r.ids == lib.encode(_texts()[r.doc_id] or "") for r in got if r.doc_id is not None)
+    marked = pieces.encode(docs.filter("doc_id = 3").withColumn("text", F.lit("a\u2581b"))).first()
+    assert not marked.round_trip and marked.ids == lib.encode("a\u2581b")
     back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(_texts()))
 
@@ -143,6 +146,11 @@ def test_warc(spark, tmp_path):
     assert {k: (r.record_type, r.refers_to) for k, r in found.items()} == {1: ("revisit", 2), 2: ("response", None), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), None: ("response", None)}
     assert all(found[i].payload_digest == hashlib.sha1((h or "").encode()).hexdigest() and found[i].payload_bytes == len((h or "").encode()) for i, _, h in rows)
     assert {r.page_id: bytes(r.payload) for r in warc.resolve(got).collect()} == {i: (h or "").encode() for i, _, h in rows}
+    many = [b"WARC/1.1\r\nWARC-Type: revisit\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Target-URI: u\r\nWARC-Payload-Digest: sha1:0\r\nWARC-Payload-Length: 0\r\nContent-Length: 4\r\n\r\n\r\n\r\n\r\n\r\n" % i for i in range(50)]
+    for data in (b"".join(many), gzip.compress(b"".join(many)), b"".join(map(gzip.compress, many))):
+        assert [x[0] for x in warc._parse(warc._inflated(data, 7))] == list(range(50))
+    with pytest.raises(ValueError, match="gzip member"):
+        list(warc._parse(warc._inflated(gzip.compress(b"".join(many))[:-9], 7)))
     warc.write_archives(pages.limit(0), f"{tmp_path}/e")
     assert warc.read_archives(spark, f"{tmp_path}/e").count() == 0
 
