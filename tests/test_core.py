@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import markdown as M
 from folioflow.functions import text as X
 from folioflow.operators import answers as A
+from folioflow.operators import references as R
 from folioflow.operators import results as P
 from folioflow.operators import segments as S
 from folioflow.operators.images import merge_down
@@ -58,6 +59,13 @@ def test_blocks(spark):
     assert one(spark, "", M.blocks) == []
 
 
+def test_bundle_is_cut_in_parts(spark):
+    rows = [("k", "md", f"p{i}", "x" * (i % 7) * 3, i) for i in range(300)] + [("empty", "md", "p", " ", 1), ("empty", "md", "q", None, 2), (None, "md", "n", "t", 1), ("k", None, "none", "t", -1)]
+    got = {r.k: r.bundle for r in R.bundle(spark.createDataFrame(rows, "k string, kind string, path string, content string, ord int"), ["k"], limit=700).collect()}
+    blocks = [f"[reference] md / {p}\n{c}" for k, _, p, c, _ in rows[:300] if c]
+    assert got == {"k": "\n\n".join(blocks)[:700], "empty": "(no references)", None: "[reference] md / n\nt"}
+
+
 def test_replies(spark):
     rows = [('[{"id":1,"answer":"<answer>a</answer>"},1,{"id":"1","answer":"b"}]',), ('{"ans":[{"id":"2","answer":"c"}]}',), ("{bad",), ('[{"id":"3","answer":"x"}] trailing',), (None,)]
     got = P.answers(spark.createDataFrame(rows, "reply string"), id_cols=()).collect()
