@@ -16,7 +16,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -98,13 +98,48 @@ class Model:
         self.least = min((s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL), default=0.0)
         #: Whether the merge rules leave two pieces as they are where they stand side by side.
         self._apart: dict[int, bool] = {}
-        #: Pieces that the merge rules make out of their characters.
-        self.made = {p: k for p, k in self.ids.items() if len(p) == 1 or kind == BPE and self.merged(p) == [p]}
-        #: By the last characters of a prefix, three at most, the lengths of the pieces that may end it, longest first.
-        lengths: dict[str, set[int]] = {}
-        for p in self.made:
-            lengths.setdefault(p[-3:], set()).add(len(p))
-        self.lengths_to = {end: tuple(sorted({k for n in (1, 2, 3) for k in lengths.get(end[-n:], ())}, reverse=True)) for end in lengths}
+        #: Pieces that an encoding may hold: with BPE, those that the merge rules make out of their characters.
+        self.made = {p: k for p, k in self.ids.items() if len(p) == 1 or kind == UNIGRAM or self.merged(p) == [p]}
+        self._build_automaton()
+
+    def _build_automaton(self) -> None:
+        """The pieces as an automaton: a node stands for the longest end of what was read that begins a piece.
+
+        ``_ends`` holds for each node the pieces that end there as (length, id), longest first. Nodes are numbered in steps
+        of ``1 << 21``, so a node and a character make one key.
+        """
+        step, fail, ends, order = {}, [0], [()], [[]]
+        for piece, k in self.made.items():
+            node = 0
+            for depth, char in enumerate(map(ord, piece)):
+                if (after := step.get(node | char)) is None:
+                    after = step[node | char] = len(ends) << 21
+                    ends.append(())
+                    fail.append(0)
+                    if len(order) <= depth + 1:
+                        order.append([])
+                    order[depth + 1].append((node, char, after))
+                node = after
+            ends[node >> 21] = ((len(piece), k),)
+        for level in order[2:]:  # a node's own pieces, then those of the longest end that is a node too
+            for node, char, after in level:
+                back = fail[node >> 21]
+                while back and back | char not in step:
+                    back = fail[back >> 21]
+                fail[after >> 21] = step.get(back | char, 0)
+                more = ends[fail[after >> 21] >> 21]
+                ends[after >> 21] = ends[after >> 21] + more if ends[after >> 21] else more
+        self._step, self._fail, self._ends = step, fail, ends
+
+    def _next(self, node: int, char: int) -> int:
+        """The node after one more character, remembered within a bound."""
+        step, back = self._step, node
+        while back and back | char not in step:
+            back = self._fail[back >> 21]
+        found = step.get(back | char, 0)
+        if len(step) < 400_000:
+            step[node | char] = found
+        return found
 
     def opening(self) -> set[str]:
         """ASCII characters other than letters that no piece holds after a character that is neither one of them nor a mark.
@@ -119,8 +154,8 @@ class Model:
 
     # BPE by its merge rules, for short strings and for what the forward states can't tell.
 
-    def merged(self, word: str) -> list[str]:
-        """The pieces that merging the best-scored neighbours first, the leftmost of equals, leaves."""
+    def merged(self, word: str, border: int = 0) -> list[str]:
+        """The pieces that merging the best-scored neighbours first, the leftmost of equals, leaves; none, once a merge reaches over ``border``."""
         parts: list[str | None] = list(word)
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -136,6 +171,8 @@ class Model:
             _, i, j, both = heapq.heappop(queue)
             if parts[i] is None or parts[j] is None or after[i] != j or parts[i] + parts[j] != both:
                 continue
+            if j == border:
+                return []
             parts[i], parts[j] = both, None
             after[i] = after[j]
             if after[j] >= 0:
@@ -160,7 +197,7 @@ class Model:
     def encode_sorted(self, words: list[str]) -> Iterator[tuple[str, tuple[int, ...]]]:
         """The ids of each of ``words``, which are sorted; forward states are kept for the prefix shared with the next word."""
         forward = self._forward_bpe if self.kind == BPE else self._forward_unigram
-        state: list = [(0.0, -1, ())]
+        state: list = [(0, -1, (), 0.0)]
         last = ""
         for word in words:
             if len(word) > LONGEST:
@@ -180,7 +217,7 @@ class Model:
     def _alone(self, word: str) -> tuple[int, ...]:
         if self.kind == BPE:
             return tuple(self.id_list(self.merged(word)))
-        state: list = [(0.0, -1, ())]
+        state: list = [(0, -1, (), 0.0)]
         self._forward_unigram(word, state)
         return state[-1][2]
 
@@ -189,56 +226,47 @@ class Model:
         more = tuple(self.id_list([piece]))
         return ids if more == (self.unk,) == ids[-1:] else ids + more
 
-    def _lengths(self, word: str, end: int) -> tuple[int, ...]:
-        """Lengths of the pieces that may end at ``end``; remembered for ends that no piece has."""
-        tail = word[max(0, end - 3) : end]
-        found = self.lengths_to.get(tail)
-        if found is None:
-            found = next((self.lengths_to[tail[-n:]] for n in (2, 1) if tail[-n:] in self.lengths_to), (1,))
-            if len(self.lengths_to) < 200_000:
-                self.lengths_to[tail] = found
-        return tuple(n for n in found if n <= end)
-
     def _forward_unigram(self, word: str, state: list) -> None:
-        """States (best score, last piece's id, ids) of the prefixes of ``word`` that ``state`` doesn't hold yet."""
+        """States (node, last piece's id, ids, best score) of the prefixes of ``word`` that ``state`` doesn't hold yet."""
+        step, ends, scores = self._step, self._ends, self.scores
+        node = state[-1][0]
         for end in range(len(state), len(word) + 1):
             char = word[end - 1]
-            start, score, k = end - 1, state[end - 1][0] + self.least - UNKNOWN_PENALTY, None
-            for n in self._lengths(word, end):
-                at = end - n
-                own = self.ids.get(word[at:end])
-                if own is not None and (value := state[at][0] + self.scores[own]) > score:
-                    start, score, k = at, value, own
+            if (after := step.get(node | ord(char))) is None:
+                after = self._next(node, ord(char))
+            node = after
+            start, score, k = end - 1, state[end - 1][3] + self.least - UNKNOWN_PENALTY, None
+            for n, own in ends[node >> 21]:
+                if (value := state[end - n][3] + scores[own]) > score:
+                    start, score, k = end - n, value, own
             ids = state[start][2]
-            state.append((score, k, ids + (k,) if k is not None else self._joined(ids, char)))
+            state.append((node, k, ids + (k,) if k is not None else self._joined(ids, char), score))
 
     def _forward_bpe(self, word: str, state: list) -> None:
-        """States (0, last piece's id, ids) of the prefixes of ``word`` that ``state`` doesn't hold yet; an unknown character's id is its code point's negative less one."""
-        made, apart, names, lengths = self.made.get, self._apart, self.pieces, self.lengths_to
+        """States (node, last piece's id, ids) of the prefixes of ``word`` that ``state`` doesn't hold yet; an unknown character's id is its code point's negative less two."""
+        step, ends, apart, names = self._step, self._ends, self._apart, self.pieces
+        node = state[-1][0]
         for end in range(len(state), len(word) + 1):
             char = word[end - 1]
-            for n in lengths.get(word[max(0, end - 3) : end]) or self._lengths(word, end):
-                if n > end:
-                    continue
-                start = end - n
-                k = made(word[start:end])
-                if k is None:
-                    continue
-                if start:
-                    before = state[start][1]
+            if (after := step.get(node | ord(char))) is None:
+                after = self._next(node, ord(char))
+            node = after
+            for n, k in ends[node >> 21]:
+                before, ids = state[end - n][1:3]
+                if n < end:
                     key = before << 20 | k
                     fits = apart.get(key)
                     if fits is None:
                         left = names[before] if before >= 0 else chr(-before - 2)
                         if len(apart) > 400_000:
                             apart.clear()
-                        fits = apart[key] = self.merged(left + names[k]) == [left, names[k]]
+                        fits = apart[key] = self.merged(left + names[k], len(left)) == [left, names[k]]
                     if not fits:
                         continue
-                state.append((0.0, k, state[start][2] + (k,)))
+                state.append((node, k, ids + (k,)))
                 break
             else:
-                state.append((0.0, -ord(char) - 2, self._joined(state[end - 1][2], char)))
+                state.append((node, -ord(char) - 2, self._joined(state[end - 1][2], char)))
 
 
 class Encoder:
@@ -281,13 +309,17 @@ class Encoder:
         for words in split:
             yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of ids; bytes that are no text become U+FFFD, control ids nothing, unknown ids a mark of the unknown."""
         text = self.decode_pieces(ids)
         return text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
 
-    def decode_pieces(self, ids: Iterable[int]) -> str:
+    def decode_pieces(self, ids: Sequence[int]) -> str:
         """The same with the space that the model puts before a text."""
+        try:
+            return "".join([self.text_of[i] for i in ids])
+        except KeyError:  # bytes, unknown or control ids
+            pass
         out, held = [], bytearray()
         for i in ids:
             if (b := self.byte_of.get(i)) is not None:
