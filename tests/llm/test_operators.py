@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
@@ -136,6 +137,32 @@ def test_pieces(docs, none):
     assert all(back[i] == (t or "") for i, t in enumerate(_texts()))
 
 
+def _unigram_model() -> bytes:
+    """A model file written by hand: letters, some longer pieces, no bytes, no normalisation."""
+
+    def field(number, data):
+        data = data.encode() if isinstance(data, str) else data
+        return bytes([number << 3 | 2, len(data) & 127 | (128 if len(data) > 127 else 0)]) + (bytes([len(data) >> 7]) if len(data) > 127 else b"") + data
+
+    held = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    held += [(p, -2.0 - 0.37 * i, 1) for i, p in enumerate([pieces.MARK, *"abcde", "ab", "bc", "abc", pieces.MARK + "a", "cde", pieces.MARK + "abcd", "deab", "ca", "é"])]
+    made = b"".join(field(1, field(1, p) + b"\x15" + struct.pack("<f", s) + bytes([0x18, t])) for p, s, t in held)
+    return made + field(2, b"\x18\x01") + field(3, field(1, "identity") + b"\x18\x01\x20\x00\x28\x01")
+
+
+def test_unigram_pieces(spark, tmp_path):
+    """Viterbi paths of a unigram model are the library's; unknown characters don't come back."""
+    import sentencepiece
+
+    data = _unigram_model()
+    (tmp_path / "u.model").write_bytes(data)
+    lib = sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = random.Random(4)
+    texts = [None, "", "abcd", "ab zz e", *("".join(rng.choice("aabbccde éz") for _ in range(rng.randrange(1, 60))) for _ in range(300))]
+    got = {r.doc_id: r for r in pieces.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model_path=str(tmp_path / "u.model")).collect()}
+    assert all(got[i].ids == lib.encode(t or "") and got[i].round_trip == ("z" not in (t or "")) for i, t in enumerate(texts))
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 1000
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", big + "\r\n\r\né"), (None, "u", big)]
