@@ -9,6 +9,8 @@ from folioflow.functions.text import strip, strip_markdown
 
 BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLOCKS = "array<struct<kind:string,text:string,cells:array<array<string>>>>"
+#: A table's lines, or any other line; each line begins with its mark: (s)eparator with bars, (b)ars, (r)ule without bars, (n)either.
+PARTS = r"[bs][^\n]*+\n[rs][^\n]*+(?:\n[bs][^\n]*+)*+|[^\n]++"
 
 
 def lines(text: Column) -> Column:
@@ -39,43 +41,25 @@ def blocks(text: Column) -> Column:
     A table begins at a table line before a separator line and goes on while lines are table lines; it takes
     its lines, so none can begin within it. Separators and blank rows inside it go, short rows are filled up,
     cells lose their Markdown. Other lines become paragraphs, one for each that isn't blank without its Markdown.
+    One pattern over the marked lines finds the parts, so the work grows with the text's length.
     """
-    row = lambda x: F.struct(x.alias("line"), is_table_line(x).alias("bar"), is_separator(x).alias("rule"))
-    marked = F.transform(lines(F.coalesce(text, F.lit(""))), row)
-    starts = lambda all_, i: F.get(all_, i)["bar"] & F.coalesce(F.get(all_, i + 1)["rule"], F.lit(False))
-
-    def of(all_: Column) -> Column:
-        first = F.struct(F.lit(False).alias("inside"), F.lit(-1).alias("skip"), F.array().cast("array<struct<t:boolean,new:boolean,line:string>>").alias("out"))
-
-        def step(state: Column, i: Column) -> Column:
-            x = F.get(all_, i)
-            new = ~state["inside"] & starts(all_, i) | (state["inside"] & ~x["bar"] & starts(all_, i) & (i > state["skip"]))
-            inside = new | (state["inside"] & (x["bar"] | (i <= state["skip"])))
-            here = F.struct(inside.alias("t"), new.alias("new"), x["line"].alias("line"))
-            return F.struct(inside.alias("inside"), F.when(new, i + 1).otherwise(state["skip"]).alias("skip"), F.concat(state["out"], F.array(here)).alias("out"))
-
-        return F.aggregate(F.sequence(F.lit(0), F.size(all_) - 1), first, step)["out"]
-
-    def grouped(out: Column) -> Column:
-        """Each paragraph line, and at each table's first line its whole table."""
-
-        def table(i: Column) -> Column:
-            rest = F.slice(out, i + 1, F.size(out))
-            length = F.coalesce(F.array_position(F.transform(F.slice(rest, F.lit(2), F.size(rest)), lambda x: ~x["t"] | x["new"]), True), F.lit(0))
-            mine = F.when(length > 0, F.slice(rest, F.lit(1), length.cast("int"))).otherwise(rest)
-            rows = F.filter(F.transform(F.filter(mine, lambda x: ~is_separator(x["line"])), lambda x: cells(x["line"])), lambda c: F.exists(c, lambda v: v != ""))
-            width = F.array_max(F.transform(rows, F.size))
-            return F.transform(rows, lambda c: F.transform(F.concat(c, F.array_repeat(F.lit(""), width - F.size(c))), strip_markdown))
-
-        nothing = F.lit(None)
-        each = lambda x, i: F.struct(
-            F.when(x["new"], "table").otherwise("paragraph").alias("kind"),
-            F.when(~x["t"], strip_markdown(x["line"])).otherwise(nothing.cast("string")).alias("text"),
-            F.when(x["new"], table(i)).otherwise(nothing.cast("array<array<string>>")).alias("cells"),
+    letter = lambda x: F.when(is_table_line(x), F.when(is_separator(x), "s").otherwise("b")).otherwise(F.when(is_separator(x), "r").otherwise("n"))
+    marked = F.array_join(F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: F.concat(letter(x), x)), "\n")
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def table(part: Column) -> Column:
+        kept = F.filter(F.split(part, "\n"), lambda x: ~F.substring(x, 1, 1).isin("s", "r"))
+        rows = F.filter(F.transform(kept, lambda x: cells(F.substr(x, F.lit(2)))), lambda c: F.exists(c, lambda v: v != ""))
+        filled = lambda rows, width: F.transform(rows, lambda c: F.transform(F.concat(c, F.array_repeat(F.lit(""), width - F.size(c))), strip_markdown))
+        return let(rows, lambda held: let(F.array_max(F.transform(held, F.size)), lambda width: filled(held, width)))
+
+    def block(part: Column) -> Column:
+        many = F.contains(part, F.lit("\n"))
+        return F.struct(
+            F.when(many, "table").otherwise("paragraph").alias("kind"),
+            F.when(~many, strip_markdown(F.substr(part, F.lit(2)))).otherwise(F.lit(None).cast("string")).alias("text"),
+            F.when(many, table(part)).otherwise(F.lit(None).cast("array<array<string>>")).alias("cells"),
         )
-        shown = F.filter(F.transform(out, each), lambda b: (F.coalesce(b["text"], F.lit("")) != "") | b["cells"].isNotNull())
-        return shown
 
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
-    made = let(marked, lambda all_: let(of(all_), grouped))
+    made = F.filter(F.transform(F.regexp_extract_all(marked, F.lit(PARTS), F.lit(0)), block), lambda b: (F.coalesce(b["text"], F.lit("")) != "") | b["cells"].isNotNull())
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast(BLOCKS)).otherwise(made)

@@ -92,12 +92,26 @@ def table_cells(spark, sf_dir):
 
 @query("SELECT doc_id, 3 AS n_blocks, [['a', 'b', ''], ['1', '', ''], ['x', 'y', left(lang, 2)]] AS cells, 'after ' || CAST(doc_id AS VARCHAR) AS last_text FROM documents")
 def table_blocks(spark, sf_dir):
-    """A paragraph, a table and a paragraph built around each text, read back as three blocks."""
+    """A paragraph, a table and a paragraph of fixed form, read back as three blocks; ``text_blocks`` does so with whole texts."""
     wrapped = F.concat(F.lit("before\n| a | b |\n|---|:---:|\n| 1 |\n| x | **y** | "), F.substring("lang", 1, 2), F.lit(" |\n---\nafter "), F.col("doc_id").cast("string"))
     found = _read(spark, sf_dir, "documents").select("doc_id", M.blocks(F.regexp_replace(wrapped, "\n---", "")).alias("b"))
     return found.select("doc_id", F.size("b").alias("n_blocks"), F.get("b", F.lit(1))["cells"].alias("cells"), F.get("b", F.lit(2))["text"].alias("last_text"))
 
 
+_ROW = f"list_transform(string_split(' ' || x || ' | ' || lang || ' ', '|'), lambda y: {_markdown_sql("regexp_replace(y, '^\\s+|\\s+$', '', 'g')")})"
+
+
+@query(f"WITH n AS (SELECT doc_id, lang, list_slice(l, 1, len(l) - CASE WHEN l[len(l)] = '' THEN 1 ELSE 0 END) AS l FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)), p AS (SELECT doc_id, list_filter(list_transform(l, lambda x: {_markdown_sql("regexp_replace(x, '\\s+$', '')")}), lambda x: x <> '') AS p, list_concat([['line', 'lang']], list_transform(l, lambda x: {_ROW})) AS r FROM n), w AS (SELECT doc_id, p, r, list_max(list_transform(r, lambda c: len(c))) AS w FROM p) SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, 'paragraph' AS kind, p[i] AS text, NULL AS cells FROM (SELECT doc_id, p, unnest(generate_series(1, len(p))) AS i FROM w) UNION ALL SELECT doc_id, CAST(len(p) AS INTEGER), 'table', NULL, list_transform(r, lambda c: list_concat(c, list_transform(range(w - len(c)), lambda i: ''))) FROM w UNION ALL SELECT doc_id, CAST(len(p) + 1 AS INTEGER), 'paragraph', 'end ' || CAST(doc_id AS VARCHAR), NULL FROM w")
+def text_blocks(spark, sf_dir):
+    """All blocks of each whole text, followed by a table with a row for each of its lines (ragged where a line holds bars) and a paragraph."""
+    split = F.split("text", "\n")
+    own = F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
+    rows = F.transform(own, lambda x: F.concat(F.lit("| "), x, F.lit(" | "), F.col("lang"), F.lit(" |\n")))
+    wrapped = F.concat("text", F.lit("\n| line | lang |\n|---|:---:|\n"), F.array_join(rows, ""), F.lit("end "), F.col("doc_id").cast("string"))
+    found = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(M.blocks(wrapped)).alias("pos", "b"))
+    return found.select("doc_id", "pos", "b.kind", "b.text", "b.cells")
+
+
 @query("WITH RECURSIVE q AS (SELECT conv_id, turn, 1 AS round FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, round + 1 FROM q WHERE round < 10 AND (conv_id * 7 + turn * 3 + round) % 4 <> 0) SELECT conv_id, turn, CAST(max(round) AS INTEGER) AS rounds, bool_or((conv_id * 7 + turn * 3 + round) % 4 = 0) AS passed FROM q GROUP BY conv_id, turn")
 def review_rounds(spark, sf_dir):
     """Rounds that a deterministic reviewer asks for, ten at most: the rounds are a bounded sequence, so no loop is needed."""

@@ -1,4 +1,7 @@
 import json
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,6 +62,39 @@ def test_blocks(spark):
     assert one(spark, "", M.blocks) == []
 
 
+def _blocks(text):
+    """``M.blocks`` line by line."""
+    inner = lambda x: [c.strip() for c in re.sub(r"\|$", "", re.sub(r"^\|", "", x.strip())).split("|")]
+    rule = lambda x: all(re.fullmatch(":?-{3,}:?", c) for c in inner(x))
+    bar = lambda x: x.strip().count("|") >= 2
+    held, out, i = text.split("\n"), [], 0
+    while i < len(held):
+        if bar(held[i]) and i + 1 < len(held) and rule(held[i + 1]):
+            j = i + 2
+            while j < len(held) and bar(held[j]):
+                j += 1
+            rows = [c for c in (inner(x) for x in held[i:j] if not rule(x)) if any(c)]
+            width = max(map(len, rows), default=0)
+            out.append(("table", None, [c + [""] * (width - len(c)) for c in rows]))
+            i = j
+        else:
+            out += [("paragraph", held[i].strip(), None)] if held[i].strip() else []
+            i += 1
+    return out
+
+
+def test_blocks_of_whole_texts(spark):
+    """Ragged tables, rules, blank lines and long texts, against a loop; a quadratic fold doesn't end within the limit."""
+    drawn = random.Random(3)
+    kinds = ["| a | b |", "a|b|c|d", "|---|---|", "---", "| --- |", "", "  ", "word", "| | |", "||", "|:---:|", "x | y"]
+    texts = ["\n".join(drawn.choice(kinds) for _ in range(drawn.randint(1, 60))) for _ in range(300)]
+    texts += ["\n".join(["p | q"] * 6000 + ["| h |", "|---|"] + [f"| {i} |" + " x |" * (i % 5) for i in range(6000)] + ["end"])]
+    began = time.time()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, c string").select("i", M.blocks(F.col("c")).alias("b")).collect()
+    assert time.time() - began < 60
+    assert all([(b.kind, b.text, b.cells) for b in r.b] == _blocks(texts[r.i]) for r in got) and len(got) == len(texts)
+
+
 def test_bundle_is_cut_in_parts(spark):
     rows = [("k", "md", f"p{i}", "x" * (i % 7) * 3, i) for i in range(300)] + [("empty", "md", "p", " ", 1), ("empty", "md", "q", None, 2), (None, "md", "n", "t", 1), ("k", None, "none", "t", -1)]
     got = {r.k: r.bundle for r in R.bundle(spark.createDataFrame(rows, "k string, kind string, path string, content string, ord int"), ["k"], limit=700).collect()}
