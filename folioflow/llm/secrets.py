@@ -43,10 +43,10 @@ SENSITIVE = (
 HARMLESS = re.compile(r"(?i)(token(izer|s|_?type|_?count|_?limit|_?id)|max_?token|author|public_?key|_?(file|path|url|name|length|field|hint|policy|expiry)$)")
 PLACEHOLDER = re.compile(r"(?i)^(<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|x+|\*+|\.+|(your|my|example|sample|dummy|test|fake|change_?me|placeholder|redacted|none|null|true|false|undefined)[\w\-]*)$")
 SCORE_FROM = 0.55
-LONGEST = 512
 
-_STRING = r'"(?:[^"\\\n]|\\.){0,4096}"|\'(?:[^\'\\\n]|\\.){0,4096}\'|`[^`\n]{0,4096}`'
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]{{0,127}})["'\]]{{0,2}}[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?P<value>{_STRING}|[^\s,;#"'`(){{}}\[\]]+)""")
+#: Strings and names of any length; possessive, so that a search never goes back over what it has read.
+_STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\'|`[^`\n]*+`'
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{{0,2}}[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?P<value>{_STRING}|[^\s,;#"'`(){{}}\[\]]+)""")
 _MORE = re.compile(rf"[\x20\t]*[+.]?[\x20\t]*\n?[\x20\t]*[+][\x20\t]*({_STRING})")
 _NAME = re.compile(r"^\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?$")
 
@@ -61,7 +61,7 @@ def name_weight(name: str) -> float:
 def literal_weight(literal: str, quoted: bool) -> float:
     """From 0 to 1: long, dense and mixed literals weigh more; placeholders, prose and code nothing."""
     n = len(literal)
-    if n < 8 or n > LONGEST or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+    if n < 8 or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
         return 0.0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
     kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal), re.search("[^A-Za-z0-9]", literal))))

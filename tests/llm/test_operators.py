@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pytest
@@ -82,6 +83,25 @@ def test_secrets(docs, none):
     assert [x[0] for x in secrets.spans_of('k = "Zx9#mQ2!vb77"\npassword_main = k')] == ["literal"]
 
 
+@pytest.mark.parametrize("n", [513, 2000, 5000, 10000])
+def test_long_secrets(spark, n):
+    drawn = random.Random(n)
+    key = "".join(drawn.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    for before, after in (('private_key = "', '"'), ("signingKey: '", "'"), ("credential = `", "`"), ("encryption-key=", ""), ("z" * 300 + '_private_key = "', '"')):
+        text = f"x\n{before}{key}{after}\ny"
+        start = text.index(key)
+        assert secrets.spans_of(text) == [("literal", start, start + n, start)]
+        got = secrets.redact(spark.createDataFrame([(1, text, len(text))], "doc_id long, text string, n_chars long")).first().text if n == 10000 else secrets.redacted(text, secrets.spans_of(text))
+        assert got == f"x\n{before}[SECRET]{after}\ny"
+
+
+def test_secrets_take_linear_time():
+    began = time.time()
+    for text in ('key="' + "a" * 2_000_000, 'x="' + "\\" * 1_000_001, "k" * 2_000_000, 'k="' * 300_000, "k='`\"" * 200_000):
+        secrets.lexed_spans(text)
+    assert time.time() - began < 20
+
+
 def test_mixing(docs, none):
     rows = mixing.copies(docs.select("doc_id", "text", "source")).collect()
     assert len(rows) == docs.count() and mixing.copies(none).count() == 0
