@@ -46,9 +46,10 @@ SCORE_FROM = 0.55
 
 #: Strings and names of any length; possessive, so that a search never goes back over what it has read.
 _STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\'|`[^`\n]*+`'
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{{0,2}}[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?P<value>{_STRING}|[^\s,;#"'`(){{}}\[\]]+)""")
+_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{{0,2}}[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?:(?P<string>{_STRING})|(?=[^\s,;#"'`(){{}}\[\]]))""")
+_BARE = re.compile(r"""[^\s,;#"'`(){}\[\]]++""")
 _MORE = re.compile(rf"[\x20\t]*[+.]?[\x20\t]*\n?[\x20\t]*[+][\x20\t]*({_STRING})")
-_NAME = re.compile(r"^\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?$")
+_NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?")
 
 
 def name_weight(name: str) -> float:
@@ -58,14 +59,18 @@ def name_weight(name: str) -> float:
     return next((w for stem, w in SENSITIVE if stem in flat), 0.0)
 
 
-def literal_weight(literal: str, quoted: bool) -> float:
-    """From 0 to 1: long, dense and mixed literals weigh more; placeholders, prose and code nothing."""
+def literal_weight(literal: str, quoted: bool, counts: Counter | None = None) -> float:
+    """From 0 to 1: long, dense and mixed literals weigh more; placeholders, prose and code nothing. ``counts``: of its characters, where they are known."""
     n = len(literal)
-    if n < 8 or PLACEHOLDER.match(literal) or any(c.isspace() for c in literal):
+    if n < 8 or PLACEHOLDER.match(literal):
         return 0.0
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(literal).values())
-    kinds = sum(map(bool, (re.search("[a-z]", literal), re.search("[A-Z]", literal), re.search("[0-9]", literal), re.search("[^A-Za-z0-9]", literal))))
-    if kinds < 2 or not quoted and not re.search("[0-9]", literal):
+    held = {x: c for x, c in (Counter(literal) if counts is None else counts).items() if c}
+    if any(map(str.isspace, held)):
+        return 0.0
+    bits = -sum(c / n * math.log2(c / n) for c in held.values())
+    letters = "".join(held)
+    kinds = sum(map(bool, (re.search("[a-z]", letters), re.search("[A-Z]", letters), re.search("[0-9]", letters), re.search("[^A-Za-z0-9]", letters))))
+    if kinds < 2 or not quoted and not re.search("[0-9]", letters):
         return 0.0
     return min(1.0, 0.35 + 0.1 * kinds + 0.1 * min(bits, 4.0))
 
@@ -82,27 +87,41 @@ def base_spans(text: str, kinds=("assign", "access", "hex")) -> list[tuple[str,
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a sensitive name, by assignment or through other names."""
-    held: dict[str, tuple[str, bool, list[tuple[int, int]]]] = {}
+    """(start, end, score) of the literals that reach a sensitive name, by assignment or through other names.
+
+    A bare value that isn't such a literal may hold pairs (``config: pwd=...``), so the search goes on at its start.
+    """
+    held: dict[str, tuple[bool, list[tuple[int, int]]]] = {}
     best: dict[tuple[int, int], float] = {}
-    at = 0
+    at = end = counted = 0
+    counts = None
     while m := _PAIR.search(text, at):
-        at = m.end()
-        value, start, end = m["value"], m.start("value"), m.end("value")
-        if quoted := value[0] in "\"'`":
-            literal, parts = value[1:-1], [(start + 1, end - 1)]
+        at = start = m.end()
+        if quoted := m["string"] is not None:
+            parts = [(m.start("string") + 1, at - 1)]
             while more := _MORE.match(text, at):  # "a" + "b"
-                literal, at = literal + more[1][1:-1], more.end()
-                parts.append((more.start(1) + 1, more.end(1) - 1))
-        elif (ref := _NAME.match(value)) and ref[1] in held:
-            literal, quoted, parts = held[ref[1]]
+                at = more.end()
+                parts.append((more.start(1) + 1, at - 1))
         else:
-            literal, parts = value, [(start, end)]
-        held[m["name"]] = literal, quoted, parts
+            if start >= end:  # else within the last bare value, and ends where that ends
+                end, counts = _BARE.match(text, start).end(), None
+            parts = [(start, end)]
+            if (ref := _NAME.fullmatch(text, start, end)) and ref[1] in held:
+                quoted, parts = held[ref[1]]
+        held[m["name"]] = quoted, parts
         if weight := name_weight(m["name"]):
-            if (score := weight * literal_weight(literal, quoted)) >= SCORE_FROM:
+            literal, known = "".join(text[b:e] for b, e in parts), None
+            if own := parts == [(start, end)]:  # counted once for all pairs in a bare value
+                if counts is None:
+                    counts = Counter(literal)
+                else:
+                    counts.subtract(text[counted:start])
+                counted, known = start, counts
+            if (score := weight * literal_weight(literal, quoted, known)) >= SCORE_FROM:
                 for part in parts:
                     best[part] = max(score, best.get(part, 0.0))
+                if own:
+                    at = end
     return [(*part, score) for part, score in sorted(best.items())]
 
 

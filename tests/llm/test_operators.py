@@ -95,9 +95,19 @@ def test_long_secrets(spark, n):
         assert got == f"x\n{before}[SECRET]{after}\ny"
 
 
+@pytest.mark.parametrize(
+    ("before", "key"),
+    [("config: pwd=", "Zx81kk29Qq"), ("INFO: auth=", "Ab3kPq91zz"), ("url=https://h/?credential=", "Ab3kPq91zz"), ("x = y = pwd = ", "Zx81kk29Qq"), ("a=b=c:d=pwd=", "Zx81kk29Qq"), ("pwd=", "Zx81=pwd=kk29Qq")],
+)
+def test_secrets_within_bare_values(before, key):
+    text = f"{before}{key}\nend"
+    assert secrets.spans_of(text) == [("literal", len(before), len(before) + len(key), len(before))]
+    assert secrets.redacted(text, secrets.spans_of(text)) == f"{before}[SECRET]\nend"
+
+
 def test_secrets_take_linear_time():
     began = time.time()
-    for text in ('key="' + "a" * 2_000_000, 'x="' + "\\" * 1_000_001, "k" * 2_000_000, 'k="' * 300_000, "k='`\"" * 200_000):
+    for text in ('key="' + "a" * 2_000_000, 'x="' + "\\" * 1_000_001, "k" * 2_000_000, 'k="' * 300_000, "k='`\"" * 200_000, "a=" * 300_000, "auth=" * 40_000):
         secrets.lexed_spans(text)
     assert time.time() - began < 20
 
