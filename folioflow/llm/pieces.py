@@ -274,8 +274,6 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.model, self.known, self.older = model, {}, {}
-        #: Words that decoding doesn't give back (none, for models with byte pieces).
-        self.lossy: set[str] = set()
         opening = "".join(map(re.escape, sorted(model.opening())))
         rest = f"[^{MARK}{opening}]"
         self._words = re.compile(f"{MARK}+[{opening}]*{rest}*|[{opening}]+{rest}*|{rest}+")
@@ -296,16 +294,12 @@ class Encoder:
         fresh = words.difference(self.known)
         if len(self.known) + len(fresh) > REMEMBERED:
             self.known, self.older = {}, self.known
-            self.lossy.intersection_update(self.older)
             fresh = words
         if self.older:
             again = fresh.intersection(self.older)
             self.known.update((w, self.older[w]) for w in again)
             fresh = fresh.difference(again)
-        for word, ids in self.model.encode_sorted(sorted(fresh)):
-            self.known[word] = ids
-            if self.decode_pieces(ids) != word.replace(MARK, " "):
-                self.lossy.add(word)
+        self.known.update(self.model.encode_sorted(sorted(fresh)))
         for words in split:
             yield np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
 
@@ -317,7 +311,7 @@ class Encoder:
     def decode_pieces(self, ids: Sequence[int]) -> str:
         """The same with the space that the model puts before a text."""
         try:
-            return "".join([self.text_of[i] for i in ids])
+            return "".join(map(self.text_of.__getitem__, ids))
         except KeyError:  # bytes, unknown or control ids
             pass
         out, held = [], bytearray()
@@ -333,12 +327,6 @@ class Encoder:
             out.append(held.decode("utf-8", "replace"))
         return "".join(out)
 
-    def gives_back(self, text: str | None) -> bool:
-        """Whether decoding the ids of a text of the last batch gives it back. Words were decoded when they were new, and a text's ids are its words' ids in a row. A mark of the text's own comes back as a space."""
-        if MARK in (text or ""):
-            return False
-        return not self.lossy or self.lossy.isdisjoint(self.split(text or ""))
-
 
 _ENCODERS: dict[bytes, Encoder] = {}
 
@@ -357,6 +345,18 @@ def _batches(column: pa.Array, size: int = 2000) -> Iterator[list[str | None]]:
         yield column.slice(at, size).to_pylist()
 
 
+def encoded_rows(encoder: Encoder, texts: list[str | None], check: bool) -> list[pa.Array]:
+    """``n_tokens``, ``ids`` and, with ``check``, ``round_trip``: whether each row of ``ids``, as it stands in the array, decodes to its text."""
+    ids = list(encoder.encode_batch(texts))
+    flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    rows = pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))
+    columns = [pa.array(np.diff(offsets).astype(np.int64)), rows]
+    if check:
+        columns.append(pa.array([encoder.decode(rows[i].values.to_numpy().tolist()) == (t or "") for i, t in enumerate(texts)], pa.bool_()))
+    return columns
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, check: bool = True) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and, with ``check``, ``round_trip`` (decoding gives the text back) per row.
 
@@ -371,12 +371,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             at = 0
             for texts in _batches(batch.column(1)):
-                ids = list(encoder.encode_batch(texts))
-                flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                columns = [batch.column(0).slice(at, len(texts)), pa.array(np.diff(offsets).astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))]
-                if check:
-                    columns.append(pa.array([encoder.gives_back(t) for t in texts]))
+                columns = [batch.column(0).slice(at, len(texts)), *encoded_rows(encoder, texts, check)]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "round_trip"][: len(columns)])
 

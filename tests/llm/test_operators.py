@@ -112,6 +112,17 @@ def test_secrets_take_linear_time():
     assert time.time() - began < 20
 
 
+def test_round_trip_reads_the_ids_that_are_given_out():
+    """Lost and swapped words are told, though each word by itself decodes."""
+    with open(pieces.default_model(), "rb") as f:
+        encoder = pieces.Encoder(pieces.Model(f.read()))
+    texts, split = ["one two three", None, "", " x  y", "caf\u00e9 \U0001f600 \x00", "one"], encoder.split
+    assert pieces.encoded_rows(encoder, texts, True)[2].to_pylist() == [True] * len(texts)
+    for wrong in (lambda t: split(t)[:-1], lambda t: split(t)[::-1]):
+        encoder.split = wrong
+        assert pieces.encoded_rows(encoder, ["one two three"], True)[2].to_pylist() == [False]
+
+
 def test_mixing(docs, none):
     rows = mixing.copies(docs.select("doc_id", "text", "source")).collect()
     assert len(rows) == docs.count() and mixing.copies(none).count() == 0
