@@ -37,7 +37,11 @@ UNKNOWN_PENALTY = 10.0
 
 
 def default_model() -> str:
-    """The public model that is installed beside the library; ``model_path`` takes any other."""
+    """The public model that is installed beside the library.
+
+    ``model_path`` takes other unigram and BPE models without a character map and without ``remove_extra_whitespaces``
+    (the default of training); others raise ``ValueError``. User-defined pieces are treated as normal ones.
+    """
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
