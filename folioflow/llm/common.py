@@ -20,23 +20,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor and the driver see.
 
-    Only where the session has no such setting (tests on one machine) a temporary folder serves.
+    Only a session on this machine alone (a local master) may do without the setting; a temporary folder serves
+    it. On a cluster each executor would write such a folder to its own disk, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioflow-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get()
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there and survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def drop_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
+
+
+class Scratch:
+    """The tables that one run writes on its way, in one folder of the shared one; each is deleted when it is no longer read.
+
+    ``with Scratch(spark, "tag") as scratch:`` deletes at the end what ``cut`` wrote, but for tables written with
+    ``keep=True``, which the run's result still reads: those are part of the result, and ``drop_kept`` deletes them.
+    """
+
+    kept: list[tuple[SparkSession, str]] = []
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.path, self.passing = spark, shared_dir(spark, tag), []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+
+    def folder(self, tag: str, keep: bool = False) -> str:
+        path = f"{self.path}/{tag}-{uuid.uuid4().hex[:12]}"
+        if keep:
+            Scratch.kept.append((self.spark, path))
+        else:
+            self.passing.append(path)
+        return path
+
+    def cut(self, df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+        """Writes ``df`` to the shared folder and reads it back: lineage ends there and survives lost executors."""
+        path = self.folder(tag, keep)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        for path in self.passing:
+            drop_dir(self.spark, path)
+        self.passing = []
+
+
+def drop_kept(since: int = 0) -> None:
+    """Deletes the tables that results of this session read, but for the first ``since``; call it when those results have been written."""
+    while len(Scratch.kept) > since:
+        drop_dir(*Scratch.kept.pop())
 
 
 def lower_ascii(text: Column) -> Column:

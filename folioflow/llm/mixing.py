@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.llm.common import cut, fresh, space_words, table
+from folioflow.llm.common import Scratch, fresh, space_words, table
 
 MAX_RATE = 3
 CYCLE = (1, 2, 3)
@@ -57,7 +57,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     size, total, target, number, src = fresh(docs, "size", "source_size", "target", "copies", "source")
     sized = docs.withColumn(size, F.size(space_words(F.col(text_col))).cast("long"))
     per = source_targets(sized, source_col, size).select(F.col("source").alias(src), F.col("source_size").alias(total), F.col("target").alias(target))
-    per = cut(per, "sources")  # a written table has a known size: where it is small, Spark joins without dealing out the texts
+    per = Scratch(docs.sparkSession, "mixing").cut(per, "sources", keep=True)  # a written table has a known size: where it is small, Spark joins without dealing out the texts
     rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(0.0)
     whole = F.floor(rate)
     drawn = whole + (coin(F.col(id_col), seed) < rate - whole).cast("long")
