@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and assignment-aware lexing of source and configuration syntax.
 
-The lexer reads name-literal pairs (``name = "literal"``, ``"name": "literal"``, ``NAME=literal``), carries
-literals through names that are assigned to other names, joins literals added with ``+``, and scores
-each literal by how sensitive the name is that it reaches. Work is per text, in one pass over Arrow
-batches; a compiled regular-expression filter passes over texts that can hold nothing.
+The lexer reads a text once, as tokens: comments, strings (plain, triple-quoted, escaped), markup elements, section
+headings, braces, indented mappings and the pairs of a name and a value (``name = "literal"``, ``"name": "literal"``,
+``NAME=literal``, ``<name>literal</name>``, ``name: |`` with its lines). Constants are carried through names that are assigned
+to other names, in the block where they were bound, and through ``+``. A literal's score is how sensitive the
+name is that it reaches, or the heading it stands under, times how much it looks like a secret. Work is per
+text and grows with its length; a compiled filter passes over texts that name nothing sensitive.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import pyarrow as pa
@@ -26,30 +29,47 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-#: What a text must hold for each; the same or more texts than those with a match.
-FILTERS = {
-    "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
-    "access": r"AKIA[A-Z0-9]{12}",
-    "hex": r"[0-9a-f]{32}",
-    "literal": r"""(?i)(pass|pwd|secret|token|key|credential|auth)[A-Za-z0-9_.\-]*["'\]]{0,2}\s*(:=|=>|[:=])""",
-}
-
 #: A name's weight is that of the first stem found in it, separators left out.
 SENSITIVE = (
     ("password", 0.95), ("passwd", 0.95), ("passphrase", 0.95), ("pwd", 0.85), ("secret", 0.9), ("privatekey", 0.9), ("apikey", 0.9), ("accesskey", 0.85),
     ("authtoken", 0.9), ("token", 0.8), ("credential", 0.8), ("encryptionkey", 0.85), ("signingkey", 0.85), ("auth", 0.6),
 )
+#: What a text must hold for each kind; the same or more texts than those with a match. A name without a stem has no weight, so the stems tell for literals, with the separators that ``name_weight`` leaves out.
+FILTERS = {
+    "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
+    "access": r"AKIA[A-Z0-9]{12}",
+    "hex": r"[0-9a-f]{32}",
+    "literal": "(?i)" + "|".join(r"[_.\-]*".join(stem) for stem, _ in SENSITIVE),
+}
 #: Names that hold a stem but no secret.
 HARMLESS = re.compile(r"(?i)(token(izer|s|_?type|_?count|_?limit|_?id)|max_?token|author|public_?key|_?(file|path|url|name|length|field|hint|policy|expiry)$)")
-PLACEHOLDER = re.compile(r"(?i)^(<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|x+|\*+|\.+|(your|my|example|sample|dummy|test|fake|change_?me|placeholder|redacted|none|null|true|false|undefined)[\w\-]*)$")
+PLACEHOLDER = re.compile(r"(?i)<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|x+|\*+|\.+|(your|my|example|sample|dummy|test|fake|change_?me|placeholder|redacted|none|null|true|false|undefined)[\w\-]*")
 SCORE_FROM = 0.55
+#: A literal under a sensitive heading counts as one of that name if its own name says nothing (``VALUE_NAMES``), else at this share.
+UNDER_HEADING = 0.7
+VALUE_NAMES, LABEL_NAMES = frozenset(("value", "val", "data", "content", "default", "text")), frozenset(("name", "key", "id"))
 
 #: Strings and names of any length; possessive, so that a search never goes back over what it has read.
 _STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\'|`[^`\n]*+`'
-_PAIR = re.compile(rf"""(?<![A-Za-z0-9_.\-])(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*+)["'\]]{{0,2}}[\x20\t]*(?P<op>:=|=>|=(?!=)|:(?!:|//))[\x20\t]*(?:(?P<string>{_STRING})|(?=[^\s,;#"'`(){{}}\[\]]))""")
-_BARE = re.compile(r"""[^\s,;#"'`(){}\[\]]++""")
-_MORE = re.compile(rf"[\x20\t]*[+.]?[\x20\t]*\n?[\x20\t]*[+][\x20\t]*({_STRING})")
-_NAME = re.compile(r"\$?\{?([A-Za-z_][A-Za-z0-9_.\-]*)\}?")
+_WORD = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_TYPE = r"(?:&'static[\x20]str|&?str|[Ss]tring|bytes|[Aa]ny|Optional\[str\]|Final(?:\[str\])?)\??"
+_TOKEN = re.compile(
+    rf"""(?P<pair>(?P<escape>\\{{0,3}}+)(?P<quote>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_WORD})(?P=escape)(?P=quote)\]?(?:[\x20\t]*:?[\x20\t]*{_TYPE})?[\x20\t]*(?P<op>:=|=>|\+=|!==?|={{1,3}}|:(?!:|//)))"""
+    r"""|(?P<comment>/\*|<!--|(?:(?<=\s)|(?<![\s\S]))(?:\#|//)[^\n]*+)"""
+    r"""|(?P<triple>"{3}|'{3})"""
+    rf"""|(?P<string>(?<![A-Za-z0-9])(?:{_STRING})|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+")"""
+    r"""|(?P<element><(?P<tag>[A-Za-z_][A-Za-z0-9_.:\-]*+)(?P<attributes>(?:\s[^<>]*+)?+)>(?P<body>[^<>]*+)(?P<end></(?P=tag)\s*>)?)"""
+    r"""|(?P<closing></(?P<closed>[A-Za-z_][A-Za-z0-9_.:\-]*+)\s*>)"""
+    r"""|(?P<heading>(?<![^\n])[\x20\t]*\[{1,2}(?P<section>[^\[\]\n]++)\]{1,2}[\x20\t]*(?![^\n]))"""
+    r"""|(?P<brace>[{}])"""
+)
+_TERM = re.compile(rf"""[\x20\t]*(?:(?P<paren>\(\s*)?+(?:[bBrRuUfF]{{1,2}})?(?:(?P<triple>"{{3}}|'{{3}})|(?P<string>{_STRING})|(?P<escaped>\\+"[^"\\\n]*+\\+"|\\+'[^'\\\n]*+\\+'))|(?P<block>[|>][+\-]?\d?[\x20\t]*+\n)|(?P<brace>\{{)|(?P<ends>(?![^\n])))""")
+_BARE = re.compile(r"""[\x20\t]*([^\s,;#"'`(){}\[\]]++)""")
+_REFERENCE = re.compile(rf"\$?\{{?({_WORD})\}}?(?=[\s,;)+.]|$)")
+_JOIN = re.compile(r"[\x20\t]*+(?:\n[\x20\t]*+)?[+.][\x20\t]*+(?:\n[\x20\t]*+)?")
+_GAP = re.compile(r"\s*+")
+_LEAD = re.compile(r"[\x20\t]*+(?:-[\x20\t]++)*+")
+_LINE = re.compile(r"[^\n]*+\n?")
 
 
 def name_weight(name: str) -> float:
@@ -59,13 +79,10 @@ def name_weight(name: str) -> float:
     return next((w for stem, w in SENSITIVE if stem in flat), 0.0)
 
 
-def literal_weight(literal: str, quoted: bool, counts: Counter | None = None) -> float:
-    """From 0 to 1: long, dense and mixed literals weigh more; placeholders, prose and code nothing. ``counts``: of its characters, where they are known."""
-    n = len(literal)
-    if n < 8 or PLACEHOLDER.match(literal):
-        return 0.0
-    held = {x: c for x, c in (Counter(literal) if counts is None else counts).items() if c}
-    if any(map(str.isspace, held)):
+def literal_weight(n: int, counts: Counter, quoted: bool) -> float:
+    """From 0 to 1, from a literal's length and the counts of its characters: dense and mixed literals weigh more; prose and code nothing."""
+    held = {x: c for x, c in counts.items() if c}
+    if n < 8 or any(map(str.isspace, held)):
         return 0.0
     bits = -sum(c / n * math.log2(c / n) for c in held.values())
     letters = "".join(held)
@@ -75,6 +92,284 @@ def literal_weight(literal: str, quoted: bool, counts: Counter | None = None) ->
     return min(1.0, 0.35 + 0.1 * kinds + 0.1 * min(bits, 4.0))
 
 
+class _Value:
+    """A constant: one literal, or several that are put together. Its characters are counted once, when they are asked for."""
+
+    __slots__ = ("counts", "credited", "folded", "n", "parts", "quoted", "span")
+
+    def __init__(self, span: tuple[int, int] | None, quoted: bool, folded: str | None = None, parts: tuple = ()):
+        self.span, self.quoted, self.folded, self.parts, self.counts, self.credited = span, quoted, folded, parts, None, False
+        self.n = sum(p.n for p in parts) if parts else len(folded) if folded is not None else span[1] - span[0]
+
+    def counted(self, text: str) -> Counter:
+        if self.counts is None:  # both parts of a sum were counted when it was made
+            self.counts = sum((p.counts for p in self.parts), Counter()) if self.parts else Counter(text[slice(*self.span)] if self.folded is None else self.folded)
+        return self.counts
+
+    def placeholder(self, text: str) -> bool:
+        return self.span is not None and PLACEHOLDER.fullmatch(text, *self.span) is not None
+
+    def spans(self) -> list[tuple[int, int]]:
+        """Places of the literals that weren't given before."""
+        found, todo = [], [self]
+        while todo:
+            value = todo.pop()
+            if not value.credited:
+                value.credited = True
+                todo += value.parts
+                if value.span:
+                    found.append(value.span)
+        return found
+
+
+class _Frame:
+    """What a brace, an element, a heading or an indented mapping opens: the weight of its name and the bindings that its end undoes."""
+
+    __slots__ = ("indent", "kind", "label", "undo", "weight")
+
+    def __init__(self, kind: str, weight: float, label: str = "", indent: int = 0):
+        self.kind, self.weight, self.label, self.indent, self.undo = kind, weight, label, indent, []
+
+
+class _Lexer:
+    def __init__(self, text: str):
+        self.text, self.held, self.best, self.unclosed = text, {}, {}, set()
+
+    def closing(self, mark: str, at: int, stop: int) -> int:
+        """Where ``mark`` comes next; a mark that didn't come once isn't looked for again up to the same end."""
+        if (mark, stop) in self.unclosed:
+            return -1
+        found = self.text.find(mark, at, stop)
+        if found < 0:
+            self.unclosed.add((mark, stop))
+        return found
+
+    def trimmed(self, start: int, stop: int) -> _Value:
+        """A literal over one or more lines, without space around it. Indents, line ends and armour lines (``-----``) are no part of it."""
+        body = self.text[start:stop]
+        start += len(body) - len(body.lstrip())
+        lines = [x.strip() for x in body.strip().split("\n")]
+        if len(lines) == 1:
+            return _Value((start, start + len(lines[0])), True)
+        return _Value((start, start + len(body.strip())), True, "".join(x for x in lines if not x.startswith("-----")))
+
+    def block(self, at: int, stop: int, indent: int) -> int:
+        """End of the lines from ``at`` on that are indented by more than ``indent``, or blank."""
+        while at < stop:
+            line = _LINE.match(self.text, at, stop)
+            lead = _GAP.match(self.text, at, line.end()).end()
+            if lead < line.end() and lead - at <= indent:
+                break
+            at = line.end()
+        return at
+
+    def value(self, at: int, stop: int, indent: int) -> tuple[_Value | None, int, str]:
+        """The constant that begins at ``at``, where it ends, and what it was read as."""
+        parts, kind, adjacent = [], "", False
+        while True:
+            m = _TERM.match(self.text, at, stop)
+            group = m.lastgroup if m else None
+            if group in ("brace", "ends", "paren") or group == "block" and parts:
+                kind = kind or group
+                break
+            if group == "block":
+                end = self.block(m.end(), stop, indent)
+                return self.trimmed(m.end(), end), end, "block"
+            if group == "triple":
+                adjacent = adjacent or m["paren"] is not None
+                end = self.closing(m["triple"], m.end(), stop)
+                if end < 0:
+                    break
+                parts.append(self.trimmed(m.end(), end))
+                at = end + 3
+            elif group:
+                adjacent = adjacent or m["paren"] is not None
+                edge = 1 if group == "string" else (len(m["escaped"]) - len(m["escaped"].lstrip("\\"))) + 1
+                parts.append(_Value((m.start(group) + edge, m.end(group) - edge), True))
+                at = m.end()
+                inner = self.text[slice(*parts[-1].span)] if self.text[parts[-1].span[0]] in "${" else ""
+                if inner and (ref := _REFERENCE.fullmatch(inner)) and ref[1] in self.held:
+                    parts[-1] = self.held[ref[1]]
+            else:
+                gap = _GAP.match(self.text, at, stop).end()
+                ref = _REFERENCE.match(self.text, gap, stop)
+                if not ref or ref[1] not in self.held:
+                    break
+                parts.append(self.held[ref[1]])
+                at = ref.end()
+            kind = kind or ("reference" if group is None else "literal")
+            join = _JOIN.match(self.text, at, stop)
+            after = join.end() if join else _GAP.match(self.text, at, stop).end() if adjacent else None
+            if after is None or not self.goes_on(after, stop):
+                break
+            at = after
+        if len(parts) < 2:
+            return (parts[0] if parts else None), at, kind
+        for part in parts:
+            part.counted(self.text)
+        made = _Value(None, any(p.quoted for p in parts), parts=tuple(parts))
+        made.counted(self.text)
+        return made, at, kind
+
+    def goes_on(self, at: int, stop: int) -> bool:
+        m = _TERM.match(self.text, at, stop)
+        if m and m.lastgroup in ("triple", "string", "escaped"):
+            return True
+        ref = _REFERENCE.match(self.text, at, stop)
+        return bool(ref) and ref[1] in self.held
+
+    def bind(self, frame: _Frame, name: str, value: _Value) -> None:
+        frame.undo.append((name, self.held.get(name)))
+        self.held[name] = value
+
+    def close(self, frame: _Frame) -> None:
+        for name, before in reversed(frame.undo):
+            if before is None:
+                self.held.pop(name, None)
+            else:
+                self.held[name] = before
+
+    def credit(self, value: _Value, weight: float, counts: Counter | None = None) -> bool:
+        score = weight * literal_weight(value.n, value.counted(self.text) if counts is None else counts, value.quoted)
+        if score < SCORE_FROM or value.placeholder(self.text):
+            return False
+        for span in value.spans():
+            self.best[span] = max(score, self.best.get(span, 0.0))
+        return True
+
+    def region(self, at: int, stop: int, inherited: float = 0.0) -> None:
+        """Reads the tokens from ``at`` to ``stop``; what is bound in here is unbound at the end, but for the whole text."""
+        text, frames, blocks = self.text, [_Frame("", inherited)], [_Frame("", 0.0)]
+        seen = line = at
+        lead = _LEAD.match(text, at, stop).end()
+        label, bare_end, counted, counts = "", 0, 0, None
+        while m := _TOKEN.search(text, at, stop):
+            group, at = m.lastgroup, m.end()
+            if (k := text.rfind("\n", seen, m.start())) >= 0:
+                line = k + 1
+                lead = _LEAD.match(text, line, stop).end()
+            seen = m.start()
+            weight = frames[-1].weight
+            if group == "comment":
+                if m["comment"] in ("/*", "<!--"):
+                    end = self.closing({"/*": "*/", "<!--": "-->"}[m["comment"]], at, stop)
+                    if end < 0:
+                        continue
+                    self.region(at, end, weight)
+                    at = end
+                else:
+                    self.region(m.start() + 1, at, weight)
+            elif group == "triple":
+                if (end := self.closing(m["triple"], at, stop)) >= 0:
+                    self.region(at, end, weight)
+                    at = end + 3
+            elif group == "string":
+                self.region(m.start() + 1, at - 1, weight)
+            elif group == "element":
+                if m["attributes"]:
+                    self.region(*m.span("attributes"), weight)
+                own = name_weight(m["tag"])
+                if m["end"]:
+                    value = self.trimmed(*m.span("body"))
+                    if not (value.n and self.told(value, m["tag"], own, weight, "")):
+                        self.region(*m.span("body"), max(weight, own))
+                else:
+                    at = m.end("attributes") + 1
+                    if own and not m["attributes"].endswith("/"):
+                        frames.append(_Frame("element", max(weight, own), m["tag"]))
+            elif group == "closing":
+                if any(f.kind == "element" and f.label == m["closed"] for f in frames[-8:]):
+                    while (f := frames.pop()).kind != "element" or f.label != m["closed"]:
+                        pass
+            elif group == "heading":
+                while len(frames) > 1 and frames[-1].kind in ("heading", "mapping"):
+                    frames.pop()
+                if own := name_weight(m["section"]):
+                    frames.append(_Frame("heading", own))
+            elif group == "brace":
+                if m[0] == "{":
+                    frames.append(_Frame("brace", weight))
+                    blocks.append(frames[-1])
+                elif len(blocks) > 1:
+                    while frames.pop() is not blocks[-1]:
+                        pass
+                    self.close(blocks.pop())
+            else:
+                name, op, start = m["name"], m["op"], m.end()
+                first = m.start("name") - lead <= 1 and lead >= line and m.start() >= line
+                indent = lead - line
+                if first:
+                    while len(frames) > 1 and frames[-1].kind == "mapping" and frames[-1].indent >= indent:
+                        frames.pop()
+                    weight = frames[-1].weight
+                value, end, kind = self.value(start, stop, indent)
+                own = name_weight(name)
+                if kind == "brace":
+                    frames.append(_Frame("brace", max(weight, own)))
+                    blocks.append(frames[-1])
+                    at = _TERM.match(text, start, stop).end()
+                    continue
+                if kind == "ends":
+                    if own and first and op == ":":
+                        frames.append(_Frame("mapping", max(weight, own), indent=indent))
+                    continue
+                known = None
+                if value is None:
+                    nested = start < bare_end
+                    if nested:  # within the last bare value, and ends where that ends
+                        begin, end = start, bare_end
+                    elif bare := _BARE.match(text, start, stop):
+                        begin, end = bare.span(1)
+                    else:
+                        label = ""
+                        continue
+                    kind = "" if nested else "bare"
+                    value, at = _Value((begin, end), False), begin  # the bare value may hold pairs (``config: pwd=...``)
+                    if own or name.lower() in VALUE_NAMES and weight:
+                        if not nested or counts is None:
+                            counts = Counter(text[begin:end])
+                        else:  # counted once for all pairs in a bare value
+                            counts.subtract(text[counted:begin])
+                        counted, bare_end, known = begin, end, counts
+                    elif not nested:
+                        bare_end, counts = end, None
+                else:
+                    at = end
+                if op == "+=" and name in self.held:
+                    for part in (self.held[name], value):
+                        part.counted(text)
+                    value = _Value(None, True, parts=(self.held[name], value))
+                    value.counted(text)
+                if op[0] not in "!" and op not in ("==", "==="):
+                    self.bind(blocks[-1], name, value)
+                taken = self.told(value, name, own, weight, label, known)
+                if taken and kind != "reference":
+                    at = end
+                elif kind == "literal" and not taken and value.span and value.folded is None and value.n:
+                    self.region(*value.span, weight)
+                plain = value.span is not None and value.folded is None and kind in ("literal", "bare") and name.lower() in LABEL_NAMES
+                label = text[slice(*value.span)] if plain else ""
+        for frame in reversed(blocks[1:] + (blocks[:1] if (inherited or stop < len(text)) else [])):
+            self.close(frame)
+
+    def told(self, value: _Value, name: str, own: float, around: float, label: str, counts: Counter | None = None) -> bool:
+        """Whether the value is a secret by its own name, by the label before it or by what it stands under."""
+        neutral = name.lower() in VALUE_NAMES
+        weight = own
+        if neutral:
+            weight = max(own, around, name_weight(label) if label else 0.0)
+        elif not own and around and not HARMLESS.search(name):
+            weight = UNDER_HEADING * around
+        return weight >= SCORE_FROM and self.credit(value, weight, counts)
+
+
+def lexed_spans(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the literals that reach a sensitive name, by assignment, through other names, or by what they stand under."""
+    lexer = _Lexer(text)
+    lexer.region(0, len(text))
+    return [(*span, score) for span, score in sorted(lexer.best.items())]
+
+
 def base_spans(text: str, kinds=("assign", "access", "hex")) -> list[tuple[str, int, int, int]]:
     """(kind, start, end, start of the secret itself), leftmost and non-overlapping per kind; matches that are too short are dropped after they have been consumed."""
     found = []
@@ -86,50 +381,16 @@ def base_spans(text: str, kinds=("assign", "access", "hex")) -> list[tuple[str,
     return found
 
 
-def lexed_spans(text: str) -> list[tuple[int, int, float]]:
-    """(start, end, score) of the literals that reach a sensitive name, by assignment or through other names.
-
-    A bare value that isn't such a literal may hold pairs (``config: pwd=...``), so the search goes on at its start.
-    """
-    held: dict[str, tuple[bool, list[tuple[int, int]]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    at = end = counted = 0
-    counts = None
-    while m := _PAIR.search(text, at):
-        at = start = m.end()
-        if quoted := m["string"] is not None:
-            parts = [(m.start("string") + 1, at - 1)]
-            while more := _MORE.match(text, at):  # "a" + "b"
-                at = more.end()
-                parts.append((more.start(1) + 1, at - 1))
-        else:
-            if start >= end:  # else within the last bare value, and ends where that ends
-                end, counts = _BARE.match(text, start).end(), None
-            parts = [(start, end)]
-            if (ref := _NAME.fullmatch(text, start, end)) and ref[1] in held:
-                quoted, parts = held[ref[1]]
-        held[m["name"]] = quoted, parts
-        if weight := name_weight(m["name"]):
-            literal, known = "".join(text[b:e] for b, e in parts), None
-            if own := parts == [(start, end)]:  # counted once for all pairs in a bare value
-                if counts is None:
-                    counts = Counter(literal)
-                else:
-                    counts.subtract(text[counted:start])
-                counted, known = start, counts
-            if (score := weight * literal_weight(literal, quoted, known)) >= SCORE_FROM:
-                for part in parts:
-                    best[part] = max(score, best.get(part, 0.0))
-                if own:
-                    at = end
-    return [(*part, score) for part, score in sorted(best.items())]
-
-
 def spans_of(text: str, kinds=KINDS) -> list[tuple[str, int, int, int]]:
     """All spans by start, then kind; a literal that lies in a span of another kind adds none."""
     found = base_spans(text, kinds)
-    if "literal" in kinds:
-        found += [("literal", s, e, s) for s, e, _ in lexed_spans(text) if not any(b <= s and e <= f for _, b, f, _ in found)]
+    if "literal" in kinds and (lexed := lexed_spans(text)):
+        ends = {k: [x[2] for x in found if x[0] == k] for k in kinds}  # spans of a kind don't overlap: the first that ends late enough tells
+        starts = {k: [x[1] for x in found if x[0] == k] for k in kinds}
+        for s, e, _ in lexed:
+            at = {k: bisect_left(ends[k], e) for k in kinds}
+            if not any(at[k] < len(ends[k]) and starts[k][at[k]] <= s for k in kinds):
+                found.append(("literal", s, e, s))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -149,7 +410,11 @@ RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id`` and ``RESULT``. Null and empty texts have no spans; repeated rows give repeated results."""
+    """One row per row of ``docs``: ``doc_id`` and ``RESULT``.
+
+    Null and empty texts have no spans; repeated rows give repeated results, an empty table gives none. Texts,
+    names and literals may be of any length, and time grows with it. Other columns aren't read.
+    """
 
     def run(batches):
         for batch in batches:
