@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import UPPER, cut, fresh, space_words, table
+from folioflow.llm.common import UPPER, Scratch, fresh, space_words, table
 
 #: For each rule: counted against, bad from this ratio, good below this ratio (abstains between).
 RATIO_RULES = (
@@ -53,20 +53,21 @@ class Model:
 def repeat_words(words: Column) -> Column:
     """Words covered by 3-word windows that stand twice or more in the text, the first included.
 
-    Windows are sorted with their places; those equal to a neighbour are kept, and each kept place
-    covers the words up to the next kept place, three at most. A text without two equal windows ends early.
+    Windows are sorted by hash with their places; those whose hash another one has are sorted again by their
+    words, so equal hashes alone don't count. Each place that is left covers the words up to the next one,
+    three at most. A text without two equal hashes ends early.
     """
     windows = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
 
-    def covered(each: Column) -> Column:
-        ranked = F.sort_array(F.transform(each, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-
-        def twice(sorted_windows: Column) -> Column:
-            equal = lambda x, j: (F.get(sorted_windows, j - 1)["h"] == x["h"]) | (F.get(sorted_windows, j + 1)["h"] == x["h"])
-            return F.sort_array(F.transform(F.filter(sorted_windows, lambda x, j: F.coalesce(equal(x, j), F.lit(False))), lambda x: x["i"]))
+    def twice(ranked: Column) -> Column:
+        equal = lambda x, j: (F.get(ranked, j - 1)["w"] == x["w"]) | (F.get(ranked, j + 1)["w"] == x["w"])
+        return F.filter(ranked, lambda x, j: F.coalesce(equal(x, j), F.lit(False)))
 
-        places = let(ranked, twice)
-        total = let(places, lambda p: F.aggregate(p, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")))["n"])
+    def covered(each: Column) -> Column:
+        hashed = let(F.sort_array(F.transform(each, lambda h, i: F.struct(h.alias("w"), i.alias("i")))), twice)
+        spelled = let(F.sort_array(F.transform(hashed, lambda x: F.struct(F.slice(words, x["i"] + 1, F.lit(3)).alias("w"), x["i"].alias("i")))), twice)
+        places = F.sort_array(F.transform(spelled, lambda x: x["i"]))
+        total = F.aggregate(places, F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n")), lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(3), i - s["last"])).alias("n")))["n"]
         return F.when(F.size(F.array_distinct(each)) == F.size(each), F.lit(0).cast("long")).otherwise(total)
 
     return let(windows, covered)
@@ -92,19 +93,28 @@ def counts(docs: DataFrame, text_col: str = "text") -> dict[str, Column]:
     }
 
 
-def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and counts of the method's own."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals", "lines.n_lines", "lines.n_dup_lines", "n_repeat_words")
+
+
+def with_counts(docs: DataFrame, name: str, text_col: str = "text") -> DataFrame:
+    """``docs`` and a struct ``name`` of the counts of each row's whole text; ``COUNTS`` tells its fields."""
     (words,) = fresh(docs, "words")
     c = counts(docs, text_col)
-    keep = [x for x in docs.columns if x != text_col]
-    wide = docs.withColumn(words, space_words(F.col(text_col)))
     made = F.struct(
         F.size(words).cast("long").alias("n_words"), *(c[n].alias(n) for n in ("word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals")),
         let(c["lines"], lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("lines"),
         repeat_words(F.col(words)).alias("n_repeat_words"),
     )
+    return docs.withColumn(words, space_words(F.col(text_col))).select(*(F.col(f"`{x}`") for x in docs.columns), made.alias(name))
+
+
+def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and counts of the method's own."""
+    (name,) = fresh(docs, "counts")
+    keep = [F.col(f"`{x}`") for x in docs.columns if x != text_col]
     # The one-row generator keeps filters on the counts above it; pushed below, each mention of a count would compute it anew.
-    return wide.select(*keep, F.inline(F.array(made))).select(*keep, "n_words", "word_chars", "n_symbols", "n_marks", "n_decorated", "n_capitals", "lines.n_lines", "lines.n_dup_lines", "n_repeat_words")
+    held = with_counts(docs, name, text_col).select(*keep, F.explode(F.array(name)).alias(name))
+    return held.select(*keep, *(f"{name}.{x}" for x in COUNTS))
 
 
 def base_failed() -> Column:
@@ -138,7 +148,12 @@ def fit(features: DataFrame, rounds: int = ROUNDS) -> Model:
     with short ones. No rows: the model of before. ``BELIEF`` keeps rules that seldom vote near what is believed of them.
     """
     names = [f"v{i}" for i in range(len(RULES))]
-    patterns = cut(features.filter(~base_failed()).select(*(v.alias(n) for v, n in zip(votes(), names, strict=True))).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "vote-patterns")
+    counted = features.filter(~base_failed()).select(*(v.alias(n) for v, n in zip(votes(), names, strict=True))).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    with Scratch(features.sparkSession, "quality") as scratch:
+        return _fitted(scratch.cut(counted.coalesce(1), "vote-patterns"), names, rounds)
+
+
+def _fitted(patterns: DataFrame, names: list[str], rounds: int) -> Model:
     model = Model(PRIOR, ((ON_GOOD, ON_BAD),) * len(RULES))
     for _ in range(rounds):
         p = patterns.withColumn("p", posterior(model, [F.col(n) for n in names]))
@@ -172,15 +187,19 @@ def judged(features: DataFrame, model: Model) -> DataFrame:
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept, unchanged. Null and empty texts go; repeated rows are judged alike and stay repeated.
 
-    The text is measured twice, for the fit and for the decision, which costs less than a join of
-    verdicts to texts. An empty table gives an empty table.
+    Each text is measured once: rows are written with their counts, the model is fitted on the counts alone,
+    and the result is a filter on what was written. A posterior of exactly ``KEEP_FROM`` keeps. Texts of any
+    length are measured whole. An empty table gives an empty table.
     """
-    model = fit(measured(docs.select(F.col(text_col).alias("text"))))
-    row, kept = fresh(docs, "row", "kept")
-    features = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), F.col(text_col).alias("text"))
-    return judged(measured(features), model).filter("kept").select(f"{row}.*")
+    row, counted = fresh(docs, "row", "counts")
+    scratch = Scratch(docs.sparkSession, "quality")
+    held = scratch.cut(with_counts(docs, counted, text_col), "measured", keep=True)
+    fields = [f"{counted}.{x}" for x in COUNTS]
+    model = fit(held.select(*fields))
+    return judged(held.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(row), *fields), model).filter("kept").select(f"{row}.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = cut(measured(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-counts")
+    scratch = Scratch(spark, "quality")
+    features = scratch.cut(measured(table(spark, sf_dir, "documents").select("doc_id", "text")), "counts", keep=True)
     return judged(features, fit(features)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
