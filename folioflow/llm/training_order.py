@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import shared_dir, table
+from folioflow.llm.common import Scratch, table
 
 LENGTH = 511
 #: Each record ends with a line feed, which shows a reader that it stands right.
@@ -86,15 +86,14 @@ class _Packer:
         return [bytes(self.held).ljust(LENGTH, bytes([PAD]))] if self.held else []
 
 
-def plan(docs: DataFrame, text_col: str = "text") -> tuple[dict[int, int], int]:
-    """First number of each partition of ``docs``, and the number of sequences. One row per partition comes to the driver."""
+def plan(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """``n + 1`` numbers for ``n`` partitions of ``docs``: the first sequence of each, then how many there are. One row per partition comes to the driver."""
     size = F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long") + 1
     rows = docs.select(F.spark_partition_id().alias("p"), size.alias("n")).groupBy("p").agg(F.sum("n").alias("n")).collect()
-    first, total = {}, 0
-    for p, n in sorted((r.p, r.n) for r in rows):
-        first[p] = total
-        total += -(-n // LENGTH)
-    return first, total
+    counts = np.zeros(max((r.p for r in rows), default=-1) + 2, np.int64)
+    for r in rows:
+        counts[r.p + 1] = -(-r.n // LENGTH)
+    return np.cumsum(counts)
 
 
 def materialise(docs: DataFrame, path: str, text_col: str = "text", key: int = KEY, per_shard: int = PER_SHARD) -> int:
@@ -102,27 +101,29 @@ def materialise(docs: DataFrame, path: str, text_col: str = "text", key: int = K
 
     ``docs`` must give the same partitions whenever it is read, as files do; a partition that comes out
     otherwise than it was counted stops the job, so no slot is filled twice or left. A null or empty text
-    only ends. Repeated rows are packed as often as they come. An empty table writes nothing.
+    only ends; a very long one runs over as many sequences as it needs. Repeated rows are packed as often as they
+    come. Other columns aren't read. An empty table writes nothing.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    first, total = plan(texts, "text")
+    firsts = plan(texts, "text")
+    total = int(firsts[-1])
     if not total:
         return 0
     order = Permutation(total, key)
     shards = -(-total // per_shard)
-    ends = {p: n for p, n in zip(sorted(first), [*sorted(first.values())[1:], total], strict=True)}
+    sent = docs.sparkSession.sparkContext.broadcast(firsts)  # 8 bytes a partition, once an executor; no task's closure holds them
 
     def run(batches: Iterator[pa.RecordBatch]):
-        p = TaskContext.get().partitionId()
-        number, packer = first.get(p, 0), _Packer()
+        p, packer = TaskContext.get().partitionId(), _Packer()
+        number, end = (int(sent.value[min(k, len(sent.value) - 1)]) for k in (p, p + 1))
         for bodies in itertools.chain((packer.add(x.as_py() for x in batch.column(0).cast(pa.large_binary())) for batch in batches), (packer.last() for _ in range(1))):
             slots = order.slots(np.arange(number, number + len(bodies))) if bodies else np.empty(0, np.int64)
             number += len(bodies)
             for at in range(0, len(bodies), 8192):
                 part = slots[at : at + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array((part // per_shard).astype(np.int32)), pa.array(part), pa.array(bodies[at : at + 8192], pa.binary())], ["shard", "slot", "value"])
-        if p in ends and number != ends[p]:
-            raise RuntimeError(f"partition {p} now ends at sequence {number}, it was counted to end at {ends[p]}")
+        if number != end:
+            raise RuntimeError(f"partition {p} now ends at sequence {number}, it was counted to end at {end}")
 
     rows = texts.mapInArrow(run, "shard int, slot long, value binary")
     dealt = rows.repartitionById(shards, F.col("shard")) if hasattr(rows, "repartitionById") else rows.repartition(shards, "shard")
@@ -131,7 +132,10 @@ def materialise(docs: DataFrame, path: str, text_col: str = "text", key: int = K
 
 
 def read_shards(spark: SparkSession, path: str, first_slot: int = 0, per_shard: int = PER_SHARD) -> DataFrame:
-    """``slot``, ``shard``, ``byte_offset``, ``n_tokens`` (``END`` included), ``crc``, ``tokens`` of all records from ``first_slot`` on; earlier shards aren't opened."""
+    """``slot``, ``shard``, ``byte_offset``, ``n_tokens`` (``END`` included), ``crc``, ``tokens`` of all records from ``first_slot`` on.
+
+    Shards are partitions of the folder, so earlier ones aren't opened; of the shard that holds ``first_slot`` only the records from there on are read out.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -140,7 +144,7 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0, per_shard:
                 if len(records) % STRIDE or (records[LENGTH::STRIDE] != 10).any():
                     raise ValueError(f"shard {shard} isn't made of whole records")
                 records = records.reshape(-1, STRIDE)[:, :LENGTH]
-                for at in range(0, len(records), 4096):
+                for at in range(max(0, first_slot - shard * per_shard), len(records), 4096):
                     part = records[at : at + 4096]
                     here = np.arange(at, at + len(part))
                     yield pa.RecordBatch.from_arrays(
@@ -149,13 +153,12 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0, per_shard:
                     )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract("path", r"/shard=(\d+)/", 1).cast("int")
-    files = files.select(shard.alias("shard"), "content").filter(F.col("shard") >= first_slot // per_shard)
-    return files.mapInArrow(run, "slot long, shard int, byte_offset long, n_tokens long, crc long, tokens binary").filter(F.col("slot") >= first_slot)
+    files = files.filter(F.col("shard") >= first_slot // per_shard).select(F.col("shard").cast("int"), "content")
+    return files.mapInArrow(run, "slot long, shard int, byte_offset long, n_tokens long, crc long, tokens binary")
 
 
 def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "shards")
+    path = Scratch(spark, "training").folder("shards", keep=True)
     schema = "slot long, shard int, byte_offset long, n_tokens long, crc long"
     if not materialise(table(spark, sf_dir, "documents").select("text"), path):
         return spark.createDataFrame([], schema)
