@@ -1,9 +1,9 @@
 """MinHash near-duplicates by a multi-index Hamming join, confirmed on full shingle sets, closed to components.
 
-1. One pass over the texts gives each document its set size, a 128-bit fingerprint of its shingle set
-   and a signature of ``SYMBOLS`` b-bit MinHash symbols.
-2. Documents with one fingerprint are one class and are linked without comparing (map-side sums; a
-   group of copies costs a row per task). From here on only class representatives take part.
+1. One pass over the texts gives each document its set size, a SHA-256 of its sequence of words and a signature of
+   ``SYMBOLS`` b-bit MinHash symbols.
+2. Documents with one sequence of words are one class, which takes no comparison (map-side sums; a group of
+   copies costs a row per task). From here on only class representatives take part.
 3. Signatures are split into ``CHUNKS`` chunks. If two signatures differ in at most ``MAX_DISTANCE`` symbols,
    some chunk differs in at most ``CHUNK_ERRORS`` (pigeonhole), so for every choice of the symbols that may
    differ the rest of the chunk is an index key: all pairs within the distance meet at some key.
@@ -11,12 +11,15 @@
    components or more, with one member drawn per key, ``ROUNDS`` times. Each round is linear in the members,
    and links what is linked often: a group of near copies grows together without its pairs being listed.
 5. Keys that hold two components even then are compared in full: their members are dealt into cells of
-   bounded size that together hold every pair once; signatures and the smallest hashes of the sets screen
-   (exactly, for sets of up to ``LOWEST``), full sets confirm.
+   bounded size that together hold every pair once, with their whole sets.
+6. Links are confirmed on whole sets. Sets are compared as 64-bit hashes of shingles, and as the shingles
+   themselves where the count is within ``SLACK`` shingles of the threshold, so an error would take more equal hashes
+   of different shingles than that in one pair. A document that many others are compared with is sent to each of several tasks.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,21 +28,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BROADCAST_IDS, cut, fresh, table
+from folioflow.llm.common import BROADCAST_IDS, Scratch, fresh, table
 
 WIDTH = 5
 SYMBOLS, BITS, CHUNKS, CHUNK_ERRORS = 40, 16, 8, 1
 CHUNK = SYMBOLS // CHUNKS
 #: Pairs within this distance are sure to meet: with one more error, each chunk could hold two.
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
-#: Pairs that met are confirmed on full sets up to this distance (a pair at the similarity asked for is beyond it once in 10 million).
+#: The method's distance: pairs that met are compared on full sets up to it (a pair at 0.85 is beyond it once in 10 million, one at 0.80 once in a million).
 SCREEN_DISTANCE = 21
-#: A cell holds so many members of a key on each side at most.
-CELL = 2000
+#: A cell holds about so many members of a key, and so many shingles, on each side.
+CELL, CELL_SHINGLES = 2000, 2_000_000
 #: Rounds of comparisons with drawn members.
 ROUNDS = 2
-#: The smallest hashes of a set that a cell compares (the whole set, if it has no more), and how far below the similarity asked for an estimate from them may be, in standard deviations.
-LOWEST, DEVIATIONS = 256, 5.5
+#: Counts so near the threshold are taken again on the shingles themselves.
+SLACK = 4
+#: Keys with more than this share of a table's rows are joined by broadcast: there are at most as many as its inverse.
+HOT_SHARE, HOT_LEAST = 1000, 16
 NUMERATOR, DENOMINATOR = 85, 100
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
@@ -65,9 +70,13 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles. ``bytes`` lower and split by ASCII alone, as asked for."""
-    words = (text or b"").lower().split()
+def words_of(text: bytes | None) -> list[bytes]:
+    """``bytes`` lower and split by ASCII alone, as asked for."""
+    return (text or b"").lower().split()
+
+
+def shingle_set(words: list[bytes], hashes: dict) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text's words."""
     if not words:
         return np.empty(0, np.uint64)
     ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -80,6 +89,13 @@ def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    if len(words) < WIDTH:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(WIDTH)), strict=False))
+
+
 def signature(shingles: np.ndarray) -> bytes:
     """``SYMBOLS`` symbols of ``BITS`` bits, each from the smallest of the shingles under its own permutation."""
     least = np.full(SYMBOLS, 2**64 - 1, np.uint64)
@@ -90,21 +106,39 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``f1``, ``f2`` (sum and mixed sum of the set's hashes) and ``sig`` per row; ``sig`` is null for empty sets."""
+    """``doc_id``, ``n_shingles``, ``same`` (SHA-256 of the words) and ``sig`` per row; the last two are null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = _Hashes()
         for batch in batches:
-            sizes, f1, f2, sigs = [], [], [], []
+            sizes, same, sigs = [], [], []
             for text in batch.column(1).cast(pa.large_binary()):
-                s = shingle_set(text.as_py(), hashes)
+                words = words_of(text.as_py())
+                s = shingle_set(words, hashes)
                 sizes.append(len(s))
-                f1.append(int(s.sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
-                f2.append(int(_mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else None)
-                sigs.append(signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                same.append(hashlib.sha256(b" ".join(words)).digest() if words else None)
+                sigs.append(signature(s) if words else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(same, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "same", "sig"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, sig binary")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sig binary")
+def hot_bound(total: int) -> int:
+    return max(HOT_LEAST, total // HOT_SHARE)
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """``left`` joined to ``right``, which has each key once, with ``n``, how many of the ``total`` rows of ``left`` have it at most.
+
+    Keys that would fill a task are broadcast; as each has a share of at least 1 / ``HOT_SHARE``, or ``HOT_LEAST`` rows of a small
+    table, there are no more than ``HOT_SHARE`` of them.
+    """
+    bound = hot_bound(total)
+    hot = right.filter(F.col("n") >= bound)
+    if not hot.limit(1).count():
+        return left.join(right.drop("n"), key)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col("n") < bound).drop("n"), key)
+    return left.join(F.broadcast(hot.drop("n")), key).unionByName(rest)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -136,7 +170,8 @@ def near(a: pa.ChunkedArray | pa.Array, b: pa.Array) -> np.ndarray:
 def screened(pairs: DataFrame, classes: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Of ``pairs`` (a, b) those whose set sizes and signatures allow the similarity."""
     side = lambda name: classes.select(F.col("id").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    often = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    both = hot_join(pairs.join(side("a"), "a"), side("b").join(often, "b"), "b", pairs.count())
     sizes = F.least("n_a", "n_b") * denominator >= F.greatest("n_a", "n_b") * numerator
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -147,51 +182,79 @@ def screened(pairs: DataFrame, classes: DataFrame, numerator: int, denominator:
     return both.filter(sizes).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of ``ids``, one row each. Ids are broadcast only after they have been counted; beyond the bound it is a shuffled join."""
+def texts_of(scratch: Scratch, docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """``id``, ``text``: the texts of ``ids``, each once. Ids are broadcast only after they have been counted; beyond the bound it is a shuffled join."""
     few = ids.count() <= BROADCAST_IDS
     found = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    return cut(found.dropDuplicates(["id"]), "texts")
+    return scratch.cut(found.dropDuplicates(["id", "text"]) if repeated else found, "texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Of ``pairs`` (a, b) those with ``denominator * |A & B| >= numerator * |A | B|`` on their full sets."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
-    texts = texts_of(docs, ids)
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+class _Held:
+    """A text's words and its set."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        hashes, last, held = _Hashes(), None, None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            yes = []
-            for i in range(batch.num_rows):
-                if b[i] != last:  # members of one key come with the same smaller id
-                    last, held = b[i], shingle_set((batch.column(3)[i].as_py() or "").encode(), hashes)
-                other = shingle_set((batch.column(2)[i].as_py() or "").encode(), hashes)
-                shared = len(np.intersect1d(other, held, assume_unique=True))
-                yes.append(denominator * shared >= numerator * (len(other) + len(held) - shared))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(yes, pa.bool_()))
+    def __init__(self, text: bytes, hashes: dict):
+        self.words = words_of(text)
+        self.set = shingle_set(self.words, hashes)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    def linked(self, other: _Held, numerator: int, denominator: int) -> bool:
+        shared = len(np.intersect1d(self.set, other.set, assume_unique=True))
+        margin = denominator * shared - numerator * (len(self.set) + len(other.set) - shared)
+        if abs(margin) > SLACK * (numerator + denominator):
+            return margin > 0
+        a, b = shingles(self.words), shingles(other.words)
+        return denominator * len(a & b) >= numerator * len(a | b)
 
 
-def components(links: DataFrame) -> DataFrame:
+def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, numerator: int, denominator: int, repeated: bool) -> DataFrame:
+    """Of ``pairs`` (a, b) those with ``denominator * |A & B| >= numerator * |A | B|`` on their full sets.
+
+    The text of ``b`` goes once to the task that compares it with its partners; a ``b`` with many partners goes to several.
+    """
+    total = pairs.count()
+    ids = scratch.cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    texts = texts_of(scratch, docs, ids, repeated)
+    bound = hot_bound(total)
+    hubs = pairs.groupBy("b").count().filter(F.col("count") >= bound).select("b", F.ceil(F.col("count") / bound).alias("salts"))  # at most HOT_SHARE rows
+    salted = pairs.join(F.broadcast(hubs), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    members = salted.join(texts.withColumnRenamed("id", "a"), "a").select("b", "salt", "a", "text")
+    centres = salted.select("b", "salt").distinct().join(texts.withColumnRenamed("id", "b"), "b").select("b", "salt", F.lit(None).cast("long").alias("a"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        hashes, now, held = _Hashes(), None, []
+        for batch in batches:
+            b, salt, a = (batch.column(k).to_pylist() for k in range(3))
+            found = []
+            for i, text in enumerate(batch.column(3).cast(pa.large_binary())):
+                one = _Held(text.as_py(), hashes)
+                if a[i] is None:  # the texts of b come before its partners
+                    if now != (b[i], salt[i]):
+                        now, held = (b[i], salt[i]), []
+                    held.append(one)
+                elif any(x.linked(one, numerator, denominator) for x in held):
+                    found.append((a[i], b[i]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    dealt = centres.unionByName(members).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """``id``, ``root`` (the smallest id reachable) for each id in ``links`` (a, b) that is not its own root.
 
     Every label hooks to its smallest neighbour, chains of hooks are halved until they are flat, and links
     between labels are what the next round sees; the number of rounds grows with the logarithm of
     the longest path. Each round is a written table, so a lost executor costs no more than a round.
+    A label with many links is one row of the other side of each join, which adaptive execution splits.
     """
     spark = links.sparkSession
-    edges = cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = scratch.cut(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
     while edges.limit(1).count():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")), "hooks")
+        hooks = scratch.cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("root")), "hooks")
         while True:
             up = hooks.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            jumped = cut(hooks.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("root")).alias("moved")), "hooks")
+            jumped = scratch.cut(hooks.join(up, "root", "left").select("id", F.coalesce("up", "root").alias("root"), (F.coalesce("up", "root") != F.col("root")).alias("moved")), "hooks")
             moved = jumped.filter("moved").limit(1).count()
             hooks = jumped.drop("moved")
             if not moved:
@@ -200,88 +263,91 @@ def components(links: DataFrame) -> DataFrame:
             labels = hooks
         else:
             step = hooks.select(F.col("id").alias("root"), F.col("root").alias("up"))
-            labels = cut(labels.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "labels")
+            labels = scratch.cut(labels.join(step, "root", "left").select("id", F.coalesce("up", "root").alias("root")), "labels")
         at = lambda name: hooks.select(F.col("id").alias(name), F.col("root").alias(f"r{name}"))  # noqa: E731,B023
-        edges = cut(edges.join(at("a"), "a").join(at("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        edges = scratch.cut(edges.join(at("a"), "a").join(at("b"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
     if labels is None:
         return spark.createDataFrame([], "id long, root long")
     return labels.filter("id <> root")
 
 
-def star_pairs(keys: DataFrame) -> DataFrame:
-    """(a, b): each member of a key with the key's smallest id."""
-    centres = keys.groupBy("key").agg(F.min("id").alias("b"), F.max("id").alias("top")).filter("b < top").drop("top")
-    return keys.join(centres, "key").filter("id > b").select(F.col("id").alias("a"), "b").distinct()
+def shared_keys(scratch: Scratch, classes: DataFrame) -> DataFrame:
+    """``key``, ``which``, ``id``, ``low`` (the key's smallest id) for the members of keys that two ids or more share."""
+    keys = scratch.cut(index_keys(classes), "keys")
+    lows = scratch.cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("low < top").drop("top"), "lows")
+    return scratch.cut(hot_join(keys, lows, "key", keys.count()), "shared-keys")
 
 
-def left_over(keys: DataFrame, roots: DataFrame) -> DataFrame:
+def left_over(scratch: Scratch, keys: DataFrame, links: DataFrame) -> DataFrame:
     """``key``, ``which``, ``id``, ``root``, ``n`` for the members of keys that hold two components or more."""
-    of = keys.select("key", "which", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_keys = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n")
-    return of.join(open_keys, "key")
+    roots = scratch.cut(components(scratch, links), "roots")
+    of = scratch.cut(keys.select("key", "which", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+    open_keys = scratch.cut(of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n", F.col("n").alias("members")), "open-keys")
+    return scratch.cut(hot_join(of, open_keys, "key", of.count()), "left-over")
 
 
-def drawn_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the members of a key with one of them, drawn by a hash, where their components differ. One pair for each member and drawn one at most."""
-    drawn = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "root")).alias("c")).select("key", F.col("c.id").alias("c"), F.col("c.root").alias("c_root"))
-    met = members.join(drawn, "key").filter("root <> c_root")
-    return met.select(F.greatest("id", "c").alias("a"), F.least("id", "c").alias("b")).distinct()
+def drawn_pairs(scratch: Scratch, members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): the members of a key with one of them (``b``), drawn by a hash, where their components differ. One pair for each member and drawn one at most."""
+    one = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "root")).alias("c")
+    drawn = scratch.cut(members.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).select("key", F.col("c.id").alias("b"), F.col("c.root").alias("b_root"), "n"), "drawn")
+    return hot_join(members, drawn, "key", members.count()).filter("root <> b_root").select(F.col("id").alias("a"), "b").distinct()
 
 
-def lowest(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id``, ``low``: the ``LOWEST`` smallest hashes of the sets of ``ids``, 32 bits of each."""
+def whole_sets(scratch: Scratch, docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """``id``, ``set``: the sorted hashes of the sets of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         hashes = _Hashes()
         for batch in batches:
-            low = [(shingle_set(t.as_py(), hashes)[:LOWEST] >> np.uint64(32)).astype("<u4").tobytes() for t in batch.column(1).cast(pa.large_binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(low, pa.binary())], ["id", "low"])
+            sets = [shingle_set(words_of(t.as_py()), hashes).astype("<u8").tobytes() for t in batch.column(1).cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
-    return texts_of(docs, ids).select("id", "text").mapInArrow(run, "id long, low binary")
+    return texts_of(scratch, docs, ids, repeated).select("id", "text").mapInArrow(run, "id long, set binary")
 
 
-def similar_enough(low: np.ndarray, sizes: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of ``others`` may be as similar to ``i`` as asked. Rows of ``low`` are sorted and filled up with the largest number.
+def shared_with(dense: np.ndarray, offsets: np.ndarray, i: int, others: np.ndarray, flag: np.ndarray, at_once: int = 4_000_000) -> np.ndarray:
+    """How many hashes set ``i`` shares with each of ``others``. ``dense``: the sets one after another, as numbers below ``len(flag)``."""
+    mine = dense[offsets[i] : offsets[i + 1]]
+    flag[mine] = True
+    sizes = offsets[others + 1] - offsets[others]
+    found = []
+    for part in np.split(np.arange(len(others)), np.flatnonzero(np.diff(np.cumsum(sizes) // at_once)) + 1):
+        n = sizes[part]
+        ends = np.cumsum(n)
+        places = np.arange(ends[-1]) + np.repeat(offsets[others[part]] - ends + n, n)
+        found.append(np.add.reduceat(flag[dense[places]], ends - n, dtype=np.int64))
+    flag[mine] = False
+    return np.concatenate(found)
 
-    Up to the smaller of the last hashes of two cut sets both are known whole, so the share of common hashes
-    there is that of a random sample of the union; sets that aren't cut are compared in full.
-    """
-    top = np.uint32(2**32 - 1)
-    last = np.where(sizes > LOWEST, low[:, -1], top)
-    limit = np.minimum(last[others], last[i])[:, None]
-    mine, theirs = low[i], low[others]
-    place = np.minimum(np.searchsorted(mine, theirs), LOWEST - 1)
-    within = (theirs <= limit) & (np.arange(LOWEST) < sizes[others][:, None])
-    shared = ((mine[place] == theirs) & within).sum(axis=1)
-    own = (np.arange(LOWEST) < sizes[i]) & (mine <= limit)
-    union = np.maximum(within.sum(axis=1) + own.sum(axis=1) - shared, 1)
-    whole = limit[:, 0] == top
-    slack = np.where(whole, 0.0, DEVIATIONS * np.sqrt(similarity * (1 - similarity) / union))
-    return shared + 1 >= (similarity - slack) * union
-
-
-def cell_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, numerator: int, denominator: int, cell: int = CELL) -> DataFrame:
-    """(a, b) of all pairs of a key in two components that sizes and signatures allow, each from the first key that it shares.
-
-    A key with n members is dealt into ceil(n / cell) blocks, and each pair of blocks is a cell, so no
-    task holds more than two blocks, and still each pair meets.
+
+def cell_pairs(scratch: Scratch, members: DataFrame, classes: DataFrame, docs: DataFrame, numerator: int, denominator: int, repeated: bool, cell: int = CELL) -> DataFrame:
+    """(a, b): links that join all components of a key which its pairs link, each from the first key that the two share; counts within ``SLACK`` of the threshold are still to be confirmed.
+
+    A key with n members is dealt into ceil(n / cell) blocks (more, if their sets are large), and each pair of blocks is a
+    cell, so no task holds more than two blocks, and still each pair meets. Whole sets are compared there;
+    components that are linked in a cell are one from then on, so few pairs leave it.
     """
-    blocks = F.ceil(F.col("n") / cell).cast("int")
-    block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", block)
+    about = scratch.cut(classes.select("id", "n_shingles", "sig", "same").join(members.select("id").distinct(), "id", "left_semi"), "left-over-classes")
+    sized = scratch.cut(members.join(about.groupBy("id").agg(F.max("n_shingles").alias("size")), "id"), "sized")
+    blocks = scratch.cut(sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum("size") / CELL_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("key", "which", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root")
-    low = cut(lowest(docs, cut(members.select("id").distinct(), "left-over-ids")), "lowest")
-    with_sig = cells.join(classes.select("id", "n_shingles", "sig"), "id").join(low, "id")
+    sets = scratch.cut(whole_sets(scratch, docs, about.select("id").distinct(), repeated), "sets")
+    whole_rows = cells.join(about.select("id", "sig").dropDuplicates(["id"]), "id").join(sets.filter(F.length("set") > 0), "id")
 
     def run(key, whole):
         found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-        ids, roots, sizes, blocks_ = (whole.column(k).to_numpy() for k in ("id", "root", "n_shingles", "block"))
+        ids, roots, blocks_ = (whole.column(k).to_numpy() for k in ("id", "root", "block"))
+        roots = roots.copy()
         sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), "<u2").reshape(-1, SYMBOLS)
         which, x, y = (k.as_py() for k in key[1:])
-        lows = np.array([np.pad(np.frombuffer(v, "<u4"), (0, LOWEST - len(v) // 4), constant_values=2**32 - 1) for v in whole.column("low").to_pylist()], np.uint32)
-        left = np.flatnonzero(blocks_ == x)
-        right = np.flatnonzero(blocks_ == y)
+        parts = whole.column("set").to_pylist()
+        sizes = np.array([len(v) // 8 for v in parts])
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        distinct, dense = np.unique(np.frombuffer(b"".join(parts), "<u8"), return_inverse=True)
+        flag, slack = np.zeros(len(distinct), bool), SLACK * (numerator + denominator)
+        left, right = np.flatnonzero(blocks_ == x), np.flatnonzero(blocks_ == y)
         for i in left:
             others = right[right > i] if x == y else right
             others = others[roots[others] != roots[i]]
@@ -293,58 +359,84 @@ def cell_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, numerato
             here = np.arange(len(others))
             choice = np.where(errors[here, chunk] > 0, differ[here, chunk].argmax(axis=1), 0)
             others = others[(chunk * CHUNK + choice == which) & (errors.sum(axis=1) <= SCREEN_DISTANCE)]
-            if len(others):
-                others = others[similar_enough(lows, sizes, i, others, numerator / denominator)]
-            if len(others):
-                found.append((np.maximum(ids[others], ids[i]), np.minimum(ids[others], ids[i])))
+            if not len(others):
+                continue
+            shared = shared_with(dense, offsets, i, others, flag)
+            margin = denominator * shared - numerator * (sizes[i] + sizes[others] - shared)
+            sure = others[margin > slack]
+            _, first = np.unique(roots[sure], return_index=True)
+            doubtful = others[np.abs(margin) <= slack]
+            linked = np.concatenate([sure[first], doubtful[~np.isin(roots[doubtful], roots[sure])]])
+            roots[np.isin(roots, roots[sure])] = roots[i]
+            found.append((np.maximum(ids[linked], ids[i]), np.minimum(ids[linked], ids[i])))
         return pa.table({"a": np.concatenate([x[0] for x in found]), "b": np.concatenate([x[1] for x in found])})
 
-    return with_sig.groupBy("key", "which", "x", "y").applyInArrow(run, "a long, b long")
+    return whole_rows.groupBy("key", "which", "x", "y").applyInArrow(run, "a long, b long")
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
     Null and empty texts have an empty set and are linked with nothing. Rows of one id and set give equal
-    rows; an id with several texts links them. A row without an id is a document of its own: its
-    ``component_id`` is null and it is kept.
+    rows; an id with several texts links them, and what is near any of them. A row without an id is a document of its
+    own: its ``component_id`` is null and it is kept. Very long texts are compared whole. An empty table gives no rows.
     """
+    with Scratch(docs.sparkSession, "near-dup") as scratch:
+        return _linked(scratch, docs, id_col, text_col, numerator, denominator, keep=True)
+
+
+def _linked(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, numerator: int, denominator: int, keep: bool) -> DataFrame:
     named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketches = cut(sketched(named), "sketches")
+    sketches = scratch.cut(sketched(named), "sketches", keep)
     known = sketches.filter("doc_id is not null and n_shingles > 0")
-    # A class may hold an id twice, and an id may have several sets: both are links of ids.
-    classes = cut(known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).dropDuplicates(["id"]), "classes")
-    first = known.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("b"))
-    copies = cut(known.join(first, ["n_shingles", "f1", "f2"]).filter("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct(), "copies")
-    keys = cut(index_keys(classes), "keys")
-    tested = lambda pairs: cut(confirmed(cut(screened(pairs, classes, numerator, denominator), "pairs"), named, numerator, denominator), "links")
-    links = tested(star_pairs(keys))
+    classes = scratch.cut(known.groupBy("same").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    again = scratch.cut(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min(F.xxhash64("same")) != F.max(F.xxhash64("same"))).alias("several")).filter("n > 1"), "repeated-ids")
+    repeated = again.limit(1).count() > 0
+    keys = shared_keys(scratch, classes)
+    
+    def tested(pairs: DataFrame) -> DataFrame:
+        near_ones = scratch.cut(screened(scratch.cut(pairs, "met"), classes, numerator, denominator).distinct(), "pairs")
+        return scratch.cut(confirmed(scratch, near_ones, named, numerator, denominator, repeated), "links")
+
+    links = tested(keys.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     rest = keys
     for turn in range(ROUNDS):
-        rest = cut(left_over(rest, cut(components(links), "roots")), "left-over")
+        rest = left_over(scratch, rest, links)
         if not rest.limit(1).count():
             break
-        links = links.union(tested(drawn_pairs(rest, turn)))
+        links = links.union(tested(drawn_pairs(scratch, rest, turn)))
     else:
-        rest = cut(left_over(rest, cut(components(links), "roots")), "left-over")
-        more = cut(cell_pairs(rest, classes, named, numerator, denominator), "pairs")
-        if more.limit(1).count():
-            links = links.union(confirmed(more, named, numerator, denominator))
-    final = cut(components(links.union(copies)), "components")
-    joined = sketches.join(final, sketches["doc_id"] == final["id"], "left")
-    root = F.coalesce("root", "doc_id")
+        rest = left_over(scratch, rest, links)
+        if rest.limit(1).count():
+            more = scratch.cut(cell_pairs(scratch, rest, classes, named, numerator, denominator, repeated).distinct(), "pairs")
+            links = links.union(confirmed(scratch, more, named, numerator, denominator, repeated))
+    if repeated:  # ids with several texts join their classes
+        of = known.join(again.filter("several").select("doc_id"), "doc_id", "left_semi").join(classes.select("same", "id"), "same").select("doc_id", F.col("id").alias("a")).distinct()
+        links = links.union(of.join(of.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b"))
+    roots = scratch.cut(components(scratch, links), "components")
+    # Only classes with copies, or below another root, change anything; those that would fill a task are broadcast.
+    moved = classes.select("same", "id", "n").join(roots, "id", "left").filter("n > 1 or root is not null").select("same", F.coalesce("root", "id").alias("component_id"), "n")
+    moved = scratch.cut(moved, "moved", keep)
+    bound = hot_bound(sketches.count())
+    hot = moved.filter(F.col("n") >= bound).select("same", F.col("component_id").alias("hot"))  # at most HOT_SHARE rows
+    marked = sketches.join(F.broadcast(hot), "same", "left")
+    # A row that has its root, or has no words, gets a key of its own, which no class has.
+    key = F.when(F.col("hot").isNull() & F.col("same").isNotNull(), F.col("same")).otherwise(F.unhex(F.hex(F.xxhash64("doc_id"))))
+    joined = marked.withColumn("key", key).join(moved.filter(F.col("n") < bound).select(F.col("same").alias("key"), "component_id"), "key", "left")
+    root = F.when(F.col("doc_id").isNotNull(), F.coalesce("hot", "component_id", "doc_id"))
     return joined.select("doc_id", "n_shingles", root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id; of repeated rows of it, one."""
-    found = link(docs, id_col, text_col, numerator, denominator)
     (gone_id,) = fresh(docs, "gone")
-    gone = cut(found.filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    with Scratch(docs.sparkSession, "near-dup") as scratch:
+        found = _linked(scratch, docs, id_col, text_col, numerator, denominator, keep=False)
+        gone = scratch.cut(found.filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone", keep=True)
+        repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
     few = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone[gone_id], "left_anti")
-    again = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if not again.limit(1).count():
+    if not repeated:
         return left
     has_id = F.col(id_col).isNotNull()
     return left.filter(has_id).dropDuplicates([id_col]).unionByName(left.filter(~has_id))
