@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding: distinct marked words of a batch, sorted into a trie, share their prefixes' forward scores.
 
 The words of a batch that are new are sorted, which makes the batch a trie in depth-first order: each
-word starts from the forward state of the prefix it shares with the word before. For unigram models the
-state of a prefix is its best score and last piece (Viterbi). For BPE models, where the best-scored
-path is not the model's answer, the state is the last piece of the prefix's own encoding: of the
-pieces that end there, it is the one that merges with what precedes it nowhere (two neighbours
-that the merge rules leave apart). So a prefix is worked out once, however many words share it.
+word starts from the forward state of the prefix it shares with the word before, its best score and last
+piece (Viterbi). So a prefix is worked out once, however many words share it.
+
+Viterbi needs piece scores that add up. Unigram models have them. A BPE model's scores are only the order of its
+merges; ``unigram_reading`` turns that order into log probabilities by a rule, which makes a unigram model of the same
+pieces and ids (nothing is trained; the library gives the same ids for that model). With ``viterbi=False`` a
+BPE model is applied by its merges instead: the forward state is then the last piece of the prefix's own
+encoding, of the pieces that end there the one that merges with what precedes it nowhere.
 
 Work is per partition: no word table is shuffled, and what a worker remembers is bounded.
 """
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import re
 import struct
 from collections.abc import Iterable, Iterator, Sequence
@@ -31,22 +35,68 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers.
 REMEMBERED = 150_000
-#: Longer words are encoded by themselves, so that no state is kept of them.
+#: Words with more characters are encoded by themselves, with the same ids: states of so many prefixes aren't kept for the next word.
 LONGEST = 200
 UNKNOWN_PENALTY = 10.0
 
 
-def default_model() -> str:
-    """The public model that is installed beside the library.
+#: The session setting that names a model file; where it is unset, the module ``public_tokenizers`` of the environment is asked, if it is there.
+MODEL_SETTING = "spark.folioflow.pieces.model"
+#: ``unigram_reading`` gives the piece of rank r the score -ln(r + FLATTEN), in steps of 1 / STEPS (so that sums are exact).
+FLATTEN, STEPS = 1000, 256
 
-    ``model_path`` takes other unigram and BPE models without a character map and without ``remove_extra_whitespaces``
-    (the default of training); others raise ``ValueError``. User-defined pieces are treated as normal ones.
-    """
-    import public_tokenizers
 
+def default_model(spark: SparkSession | None = None) -> str:
+    """The path of the model in use.
+
+    Unigram and BPE models are taken; those with a character map, with ``remove_extra_whitespaces`` (the default of
+    training), with user-defined pieces, or BPE models with unused pieces raise ``ValueError``.
+    """
+    if spark is not None and (path := spark.conf.get(MODEL_SETTING, None)):
+        return path
+    try:
+        import public_tokenizers
+    except ImportError as gone:
+        raise RuntimeError(f"no model: pass model_path or set {MODEL_SETTING}") from gone
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def _varint(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(number: int, value: int | bytes | float) -> bytes:
+    if isinstance(value, bytes):
+        return _varint(number << 3 | 2) + _varint(len(value)) + value
+    if isinstance(value, float):
+        return _varint(number << 3 | 5) + struct.pack("<f", value)
+    return _varint(number << 3) + _varint(value)
+
+
+def unigram_reading(data: bytes) -> bytes:
+    """A unigram model file with the pieces, ids, types and settings of a BPE model's; other models are given back as they are.
+
+    Pieces rank by their merges' order and score as ranks do by Zipf's law, flattened at the top, so an encoding
+    takes few pieces, and of equally few the more usual ones.
+    """
+    held = list(_fields(data))
+    spec = next((dict(_fields(v)) for n, v in held if n == 2), {})
+    if spec.get(3, UNIGRAM) != BPE:
+        return data
+    pieces = [dict(_fields(v)) for n, v in held if n == 1]
+    scores = [struct.unpack("<f", p[2])[0] if 2 in p else 0.0 for p in pieces]
+    ranked = sorted((i for i, p in enumerate(pieces) if p.get(3, NORMAL) in (NORMAL, UNUSED)), key=lambda i: (-scores[i], i))
+    for rank, i in enumerate(ranked):
+        scores[i] = -round(math.log(rank + FLATTEN) * STEPS) / STEPS
+    out = [_field(1, _field(1, p.get(1, b"")) + _field(2, float(s)) + _field(3, p.get(3, NORMAL))) for p, s in zip(pieces, scores, strict=True)]
+    out.append(_field(2, b"".join(_field(n, v) for n, v in (spec | {3: UNIGRAM}).items() if isinstance(v, int))))
+    return b"".join(out + [_field(3, b"".join(_field(n, x) for n, x in _fields(v))) for n, v in held if n == 3])
+
+
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Field numbers and values of a protocol buffer message."""
     at = 0
@@ -95,9 +145,11 @@ class Model:
                 charmap, dummy, squeeze = spec.get(2, b""), bool(spec.get(3, 1)), bool(spec.get(4, 1))
         if charmap or squeeze or kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and BPE models without text normalisation are supported")
+        if USER_DEFINED in self.types or kind == BPE and UNUSED in self.types:
+            raise ValueError("models with user-defined pieces, and BPE models with unused ones, aren't supported")
         self.kind, self.dummy_prefix = kind, dummy
         self.unk = self.types.index(UNKNOWN)
-        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t in (NORMAL, USER_DEFINED, UNUSED)}
+        self.ids = {p: i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == BYTE} if byte_fallback else {}
         self.least = min((s for s, t in zip(self.scores, self.types, strict=True) if t == NORMAL), default=0.0)
         #: Whether the merge rules leave two pieces as they are where they stand side by side.
@@ -221,9 +273,23 @@ class Model:
     def _alone(self, word: str) -> tuple[int, ...]:
         if self.kind == BPE:
             return tuple(self.id_list(self.merged(word)))
-        state: list = [(0, -1, (), 0.0)]
-        self._forward_unigram(word, state)
-        return state[-1][2]
+        step, ends, node, scores, back = self._step, self._ends, 0, [0.0], [(0, None)]
+        for end, char in enumerate(word, 1):
+            if (after := step.get(node | ord(char))) is None:
+                after = self._next(node, ord(char))
+            node = after
+            start, score, k = end - 1, scores[end - 1] + self.least - UNKNOWN_PENALTY, None
+            for n, own in ends[node >> 21]:
+                if (value := scores[end - n] + self.scores[own]) > score:
+                    start, score, k = end - n, value, own
+            scores.append(score)
+            back.append((start, k))
+        found, end = [], len(word)
+        while end:
+            start, k = back[end]
+            found.append(self.pieces[k] if k is not None else word[end - 1])
+            end = start
+        return tuple(self.id_list(reversed(found)))
 
     def _joined(self, ids: tuple[int, ...], piece: str) -> tuple[int, ...]:
         """``ids`` and those of a piece, which may be unknown."""
@@ -282,7 +348,7 @@ class Encoder:
         rest = f"[^{MARK}{opening}]"
         self._words = re.compile(f"{MARK}+[{opening}]*{rest}*|[{opening}]+{rest}*|{rest}+")
         whole = [p.replace(MARK, " ") for p in model.pieces]
-        self.text_of = {i: p for i, (p, t) in enumerate(zip(whole, model.types, strict=True)) if t in (NORMAL, USER_DEFINED, UNUSED)}
+        self.text_of = {i: p for i, (p, t) in enumerate(zip(whole, model.types, strict=True)) if t in (NORMAL, UNUSED)}
         self.byte_of = {i: b for b, i in model.bytes.items()}
 
     def split(self, text: str) -> list[str]:
@@ -361,14 +427,17 @@ def encoded_rows(encoder: Encoder, texts: list[str | None], check: bool) -> list
     return columns
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, check: bool = True) -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, check: bool = True, viterbi: bool = True) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` and, with ``check``, ``round_trip`` (decoding gives the text back) per row.
 
-    Null and empty texts have no ids. U+2581 in a text is the model's own mark for a space and is read as one, so such a text has no round trip.
+    Null and empty texts have no ids; texts and words of any length are encoded whole; repeated rows give repeated results.
+    U+2581 in a text is the model's own mark for a space and is read as one, so such a text has no round trip.
+    ``viterbi``: whether a BPE model is read as ``unigram_reading`` tells, or applied by its merges.
     The model's bytes are read on the driver and travel with the task, so executors need no file.
     """
-    with open(model_path or default_model(), "rb") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+    with open(model_path or default_model(docs.sparkSession), "rb") as f:
+        data = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast(unigram_reading(data) if viterbi else data)
 
     def run(batches: Iterator[pa.RecordBatch]):
         encoder = encoder_of(sent.value)
@@ -385,7 +454,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_path: str | None = None) -> DataFrame:
     """``doc_id``, ``text`` for rows of ids; null ids give null."""
-    with open(model_path or default_model(), "rb") as f:
+    with open(model_path or default_model(encoded.sparkSession), "rb") as f:
         sent = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -165,19 +165,51 @@ def test_near_dup_against_brute_force(spark):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(root))
 
 
-def test_pieces(docs, none):
+def _library(viterbi=True):
     import sentencepiece
 
-    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    got = pieces.encode(docs).collect()
+    with open(pieces.default_model(), "rb") as f:
+        data = f.read()
+    return sentencepiece.SentencePieceProcessor(model_proto=pieces.unigram_reading(data) if viterbi else data)
+
+
+@pytest.mark.parametrize("viterbi", [True, False])
+def test_pieces(docs, none, viterbi):
+    lib = _library(viterbi)
+    got = pieces.encode(docs, viterbi=viterbi).collect()
     assert all(r.round_trip for r in got) and pieces.encode(none).count() == 0
     assert all(r.ids == lib.encode(_texts()[r.doc_id] or "") for r in got if r.doc_id is not None)
-    marked = pieces.encode(docs.filter("doc_id = 3").withColumn("text", F.lit("a\u2581b"))).first()
+    marked = pieces.encode(docs.filter("doc_id = 3").withColumn("text", F.lit("a\u2581b")), viterbi=viterbi).first()
     assert not marked.round_trip and marked.ids == lib.encode("a\u2581b")
-    back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()}
+    back = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs, viterbi=viterbi)).collect()}
     assert all(back[i] == (t or "") for i, t in enumerate(_texts()))
 
 
+def test_pieces_of_drawn_texts():
+    """Equal to the library on words of all lengths and alphabets; the shared states give what each word by itself does; no pair of pieces is worse than the merges' encoding."""
+    lib, by_merges = _library(), _library(False)
+    with open(pieces.default_model(), "rb") as f:
+        encoder = pieces.Encoder(pieces.Model(pieces.unigram_reading(f.read())))
+    rng = random.Random(8)
+    stems = ["the", "quality", "über", "數據", "naïve", "internationalisation", "x", "1984", "\n", "\t", "  ", "😀", "ß", "-", "...", "Ångström", "données"]
+    texts = ["".join(rng.choice(stems) + rng.choice(["", " ", rng.choice("abcdefghij")]) for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    texts += ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (199, 200, 201, 3000)]
+    got = [x.tolist() for x in encoder.encode_batch(texts)]
+    assert got == [lib.encode(t) for t in texts]
+    for word in {w for t in texts for w in encoder.split(t)}:
+        assert encoder.model._alone(word) == encoder.known[word]
+    assert sum(map(len, got)) <= sum(len(by_merges.encode(t)) for t in texts)
+
+
+def test_models_that_are_not_read():
+    spec = b"".join(pieces._field(3, pieces._field(n, v)) for n, v in ((4, 0),))
+    for kind, model in ((pieces.USER_DEFINED, pieces.UNIGRAM), (pieces.UNUSED, pieces.BPE)):
+        held = [("<unk>", pieces.UNKNOWN), ("a", pieces.NORMAL), ("b", kind)]
+        data = b"".join(pieces._field(1, pieces._field(1, p.encode()) + pieces._field(2, -1.0) + pieces._field(3, t)) for p, t in held) + pieces._field(2, pieces._field(3, model)) + spec
+        with pytest.raises(ValueError, match="aren't supported"):
+            pieces.Model(data)
+
+
 def _unigram_model() -> bytes:
     """A model file written by hand: letters, some longer pieces, no bytes, no normalisation."""
 

@@ -113,7 +113,8 @@ def test_stages(spark, folder, tmp_path):
         taken[tuple(r)] += math.floor(rate) + (drawn < rate - math.floor(rate))
     assert mixed.columns == docs.columns and counted(mixed) == +taken
 
-    lib = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    with open(pieces.default_model(), "rb") as f:
+        lib = sentencepiece.SentencePieceProcessor(model_proto=pieces.unigram_reading(f.read()))
     encoded = step("pieces", mixed).collect()
     whole = collections.Counter((r.doc_id, tuple(r.ids)) for r in encoded)
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in encoded)
