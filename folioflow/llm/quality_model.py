@@ -1,16 +1,18 @@
 """A quality classifier: random-indexing word vectors pooled per document, and a small calibrated network.
 
-1. Word vectors are sums, over all documents, of the sparse random index vectors of a word's neighbours.
-   Words and word shapes are hashed into ``BUCKETS`` rows, so a task's state has one size whatever it reads;
-   tasks' sums are added block by block in streams.
-2. A document is pooled from its words' vectors once, and the pooled numbers are written.
-3. The network learns from a bounded sample of labelled training rows on the driver (``SAMPLE``), its
+1. Words are counted over all documents. Those that are frequent enough (``least_frequent``) have a vector each; all others
+   share ``REST`` vectors by a hash, and each word also has the vector of its shape. No word is left out.
+2. A vector is the sum, over all documents, of the sparse random index vectors of a word's neighbours. A task
+   sends on one row of sums per vector that it met, whatever it reads; rows are added by vector.
+3. A document is pooled from its words' vectors once, and the pooled numbers are written.
+4. The network learns from a bounded sample of labelled training rows on the driver (``SAMPLE``), its
    temperature from a part that it didn't learn from; then it scores every document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +21,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import cut, table
-
-BUCKETS, SHAPES, DIM, NONZERO, WINDOW = 1 << 14, 1 << 10, 32, 2, 2
-BLOCKS = 16
+from folioflow.llm.common import Scratch, table
+
+#: Most words with a vector of their own, vectors that all other words share, vectors of shapes; together fewer than 65,536.
+VOCABULARY, REST, SHAPES = 1 << 15, 1 << 13, 1 << 10
+ROWS = VOCABULARY + REST + SHAPES
+#: Longer words (in bytes) have no vector of their own, so the vocabulary's size is bounded.
+LONGEST_WORD = 64
+DIM, NONZERO, WINDOW = 64, 4, 2
+#: Frequencies are told apart in so many steps for each doubling.
+STEPS = 8
+#: Words that are worked on at once.
+AT_ONCE = 200_000
 #: Labelled rows that the network may learn from, those with the smallest hashes.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 0.01, 1e-4
@@ -37,36 +47,46 @@ def shape(word: bytes) -> bytes:
     """The kinds of a word's characters, runs as one: ``Word!!`` has the shape ``Aa!``."""
     for pattern, mark in zip(_RUNS, (b"A", b"a", b"0", b"a", rb"\1"), strict=True):
         word = pattern.sub(mark, word)
-    return word[:12]
+    return word
 
 
 class _Words(dict):
     """Row of a word and of its shape, as one number, kept for words seen before, within a bound."""
 
+    def __init__(self, vocabulary: list[bytes]):
+        super().__init__()
+        self.own = {w: i for i, w in enumerate(vocabulary)}
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _WORDS_HELD:
             self.clear()
-        own = xxhash.xxh3_64_intdigest(word.lower()) % (BUCKETS - SHAPES)
-        like = BUCKETS - SHAPES + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
+        low = word.lower()
+        own = self.own.get(low)
+        if own is None:
+            own = VOCABULARY + xxhash.xxh3_64_intdigest(low) % REST
+        like = VOCABULARY + REST + xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
         value = self[word] = own | like << 32
         return value
 
 
-def index_vectors() -> tuple[np.ndarray, np.ndarray]:
-    """For each row the places of its ones and their signs."""
+def index_vectors() -> np.ndarray:
+    """For each row ``NONZERO`` ones or minus ones at random places (a place drawn twice keeps the last)."""
     random = np.random.Generator(np.random.PCG64(7))
-    return random.integers(0, DIM, (BUCKETS, NONZERO)), random.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+    made = np.zeros((ROWS, DIM), np.int8)
+    places, signs = random.integers(0, DIM, (ROWS, NONZERO)), random.choice(np.array([-1, 1], np.int8), (ROWS, NONZERO))
+    np.put_along_axis(made, places, signs, axis=1)
+    return made
 
 
 def _rows_of(texts, words: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For about a million words of whole texts at once: row of each word, of its shape, and number of words per text."""
+    """For about ``AT_ONCE`` words of whole texts at once: row of each word, of its shape, and number of words per text."""
     own, sizes, held = [], [], 0
     for text in texts:
         tokens = (text or b"").split()
         own.append(np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens)))
         sizes.append(len(tokens))
         held += len(tokens)
-        if held > 1_000_000:
+        if held > AT_ONCE:
             yield _split(own, sizes)
             own, sizes, held = [], [], 0
     if sizes:
@@ -75,72 +95,153 @@ def _rows_of(texts, words: dict) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def _split(own: list, sizes: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both = np.concatenate(own)
-    return both & 0xFFFFFFFF, both >> 32, np.array(sizes)
+    return (both & 0xFFFF).astype(np.uint16), (both >> 32).astype(np.uint16), np.array(sizes)
 
 
 def _texts(batch: pa.RecordBatch, at: int) -> Iterator[bytes | None]:
     return (x.as_py() for x in batch.column(at).cast(pa.large_binary()))
 
 
-def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """``BUCKETS`` x ``DIM`` unit rows (2 MB), from the neighbours within ``WINDOW`` of every word of every text."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``word``, ``n``: how often each lower-cased word of up to ``LONGEST_WORD`` bytes stands in all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]):
-        words, total = _Words(), np.zeros(BUCKETS * DIM)
-        place, sign = index_vectors()
+        held: Counter = Counter()
+
+        def told():
+            made = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            held.clear()
+            return made
+
         for batch in batches:
-            for own, like, sizes in _rows_of(_texts(batch, 0), words):
-                text = np.repeat(np.arange(len(sizes)), sizes)
-                for step in range(1, WINDOW + 1):
-                    near = text[step:] == text[:-step]
-                    for first, then in ((slice(None, -step), slice(step, None)), (slice(step, None), slice(None, -step))):
-                        for target, context in ((own, own), (own, like), (like, like)):
-                            t, c = target[first][near] * DIM, context[then][near]
-                            for z in range(NONZERO):
-                                total += np.bincount(t + place[c, z], sign[c, z], BUCKETS * DIM)
-        sums = total.astype(np.int64).reshape(BLOCKS, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], ["block", "sums"])
+            for text in _texts(batch, 0):
+                held.update((text or b"").lower().split())
+                if len(held) > _WORDS_HELD:
+                    yield told()
+        yield told()
+
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word binary, n long")
+    return parts.filter(F.octet_length("word") <= LONGEST_WORD).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def least_frequent(counts: DataFrame, most: int = VOCABULARY) -> int:
+    """The lowest step of frequency from which on there are at most ``most`` words. One row per step (some hundred) comes to the driver."""
+    steps = sorted(((r.step, r.n) for r in counts.groupBy(_step()).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
+    words, least = 0, (steps[0][0] + 1 if steps else 0)
+    for step, n in steps:
+        words += n
+        if words > most:
+            break
+        least = step
+    return least
+
+
+def _step():
+    return F.floor(F.log2("n") * STEPS).cast("int").alias("step")
+
+
+def vocabulary(scratch: Scratch, docs: DataFrame, text_col: str = "text") -> list[bytes]:
+    """The words with a vector of their own, in order: those as frequent as the bound on their number allows, over all documents."""
+    counts = scratch.cut(word_counts(docs, text_col), "word-counts")
+    rows = counts.filter(_step() >= least_frequent(counts)).select("word").collect()  # at most VOCABULARY words of LONGEST_WORD bytes
+    return sorted(bytes(r.word) for r in rows)
+
+
+def neighbour_sums(own: np.ndarray, like: np.ndarray, sizes: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
+    """Adds to ``total`` the index vectors of the neighbours within ``WINDOW`` of each word, by the word's row and by its shape's."""
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for start in range(0, len(own), AT_ONCE):  # a long text takes several turns
+        low, high = max(0, start - WINDOW), min(len(own), start + AT_ONCE + WINDOW)
+        here, inner = text[low:high], slice(start - low, min(len(own), start + AT_ONCE) - low)
+        shapes = index[like[low:high]]
+        for target, context in ((own, shapes + index[own[low:high]]), (like, shapes)):
+            around = np.zeros(context.shape, np.int8)
+            for step in range(1, WINDOW + 1):
+                near = (here[step:] == here[:-step])[:, None]
+                around[step:] += context[:-step] * near
+                around[:-step] += context[step:] * near
+            rows = target[low:high][inner]
+            order = np.argsort(rows, kind="stable")
+            ranked = rows[order]
+            first = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] + 1))
+            total[ranked[first]] += np.add.reduceat(around[inner][order], first, axis=0, dtype=np.int64)
+
+
+def word_vectors(docs: DataFrame, words: list[bytes], text_col: str = "text") -> np.ndarray:
+    """``ROWS`` x ``DIM`` unit rows (11 MB), from the neighbours of every word of every text; a row that no word has is zero."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        known, index, total = _Words(sent.value), index_vectors(), np.zeros((ROWS, DIM), np.int64)
+        for batch in batches:
+            for own, like, sizes in _rows_of(_texts(batch, 0), known):
+                neighbour_sums(own, like, sizes, index, total)
+        met = np.flatnonzero(total.any(axis=1))
+        for part in np.array_split(met, max(1, len(met) // 8192)):
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([_packed(x) for x in total[part]], pa.binary())], ["row", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]):
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(data.as_py(), np.int64)
-                totals[block] = totals[block] + x if block in totals else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([x.tobytes() for x in totals.values()], pa.binary())], ["block", "sums"])
+            for row, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = _unpacked(data.as_py())
+                totals[row] = totals[row] + x if row in totals else x
+        unit = [(x / max(np.linalg.norm(x), 1e-9)).astype("<f4").tobytes() for x in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(unit, pa.binary())], ["row", "sums"])
 
-    schema = "block int, sums binary"
+    schema = "row int, sums binary"
     parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
-    rows = parts.repartition(BLOCKS, "block").mapInArrow(add, schema).collect()  # BLOCKS rows of one size
-    vectors = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS))
-    for row in rows:
-        vectors[row.block] = np.frombuffer(row.sums, np.int64)
-    vectors = vectors.reshape(BUCKETS, DIM)
-    return (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    vectors = np.zeros((ROWS, DIM), np.float32)
+    for row in parts.repartition("row").mapInArrow(add, schema).collect():  # at most ROWS rows of one size
+        vectors[row.row] = np.frombuffer(row.sums, "<f4")
+    return vectors
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold them all."""
+    most = np.abs(x).max()
+    return x.astype("<i1" if most < 128 else "<i2" if most < 1 << 15 else "<i4" if most < 1 << 31 else "<i8").tobytes()
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``x``: mean vector of the words, of their shapes, of the distinct words, spread of the shapes, and three counts, as float32."""
-    sent = docs.sparkSession.sparkContext.broadcast(vectors)
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{len(data) // DIM}").astype(np.int64)
+
+
+def _summed(values: np.ndarray, rows: np.ndarray, text: np.ndarray, n: int, square: bool = False) -> np.ndarray:
+    """For each of ``n`` texts the sum of ``values[rows]`` over its places; ``text`` is sorted."""
+    made = np.zeros((n, values.shape[1]))
+    for start in range(0, len(rows), AT_ONCE):
+        here = text[start : start + AT_ONCE]
+        first = np.flatnonzero(np.diff(here, prepend=-1))
+        x = values[rows[start : start + AT_ONCE]]
+        made[here[first]] += np.add.reduceat(x * x if square else x, first, axis=0, dtype=np.float64)
+    return made
+
+
+def pooled_rows(own: np.ndarray, like: np.ndarray, sizes: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each text: mean vector of its words, of their shapes, of its distinct words, spread of the shapes, and three counts."""
+    n = len(sizes)
+    x = np.zeros((n, FEATURES))
+    text = np.repeat(np.arange(n), sizes)
+    words = np.maximum(sizes, 1)[:, None]
+    distinct, kinds = (np.unique(text << 16 | rows) for rows in (own, like))
+    of_words, of_kinds = (np.bincount(k >> 16, minlength=n) for k in (distinct, kinds))
+    shapes = _summed(v, like, text, n) / words
+    x[:, :DIM], x[:, DIM : 2 * DIM] = _summed(v, own, text, n) / words, shapes
+    x[:, 2 * DIM : 3 * DIM] = _summed(v, (distinct & 0xFFFF).astype(np.uint16), distinct >> 16, n) / np.maximum(of_words, 1)[:, None]
+    x[:, 3 * DIM : 4 * DIM] = np.sqrt(np.maximum(_summed(v, like, text, n, square=True) / words - shapes**2, 0))
+    x[:, -3], x[:, -2], x[:, -1] = np.log1p(sizes) / 8, of_words / words[:, 0], of_kinds / words[:, 0]
+    return x
+
+
+def pooled(docs: DataFrame, words: list[bytes], vectors: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id``, ``x``: the pooled numbers of each row's whole text (``pooled_rows``), as float16."""
+    sent = docs.sparkSession.sparkContext.broadcast((words, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        words, v = _Words(), sent.value
+        known, v = _Words(sent.value[0]), sent.value[1]
         for batch in batches:
-            out = []
-            for own, like, sizes in _rows_of(_texts(batch, 1), words):
-                starts = np.concatenate([[0], np.cumsum(sizes)])
-                for i, n in enumerate(sizes):
-                    a, b = own[starts[i] : starts[i + 1]], like[starts[i] : starts[i + 1]]
-                    x = np.zeros(FEATURES, np.float32)
-                    if n:
-                        rows, counts = np.unique(a, return_counts=True)
-                        kinds, of = np.unique(b, return_counts=True)
-                        share = (of / n).astype(np.float32)
-                        mean = share @ v[kinds]
-                        x[:DIM], x[DIM : 2 * DIM], x[2 * DIM : 3 * DIM] = (counts / n).astype(np.float32) @ v[rows], mean, v[rows].mean(axis=0)
-                        x[3 * DIM : 4 * DIM] = np.sqrt(np.maximum(share @ v[kinds] ** 2 - mean**2, 0))
-                        x[-3:] = np.log1p(n) / 8, len(rows) / n, len(kinds) / n
-                    out.append(x.tobytes())
+            out = [x.astype("<f2").tobytes() for own, like, sizes in _rows_of(_texts(batch, 1), known) for x in pooled_rows(own, like, sizes, v)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -198,24 +299,32 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """Learns from at most ``sample`` labelled rows outside the held-out part, those with the smallest hashes of their ids; of an id labelled twice, the higher label."""
+    """Learns from at most ``sample`` labelled rows outside the held-out part, those with the smallest hashes of their ids.
+
+    Null labels and ids teach nothing. Of an id labelled twice the higher label holds; of an id with several texts
+    the one whose numbers come first, so reruns learn the same.
+    """
     chosen = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = features.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # ``sample`` rows at most
-    x = np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float64).reshape(-1, FEATURES)
+    rows = features.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # ``sample`` rows at most
+    x = np.array([np.frombuffer(r.x, "<f2") for r in rows], np.float64).reshape(-1, FEATURES)
     return Network().fit(x, np.array([r.quality for r in rows], float))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``held_out``, ``score``, ``predicted`` per row of ``docs``; null and empty texts are scored as texts without words.
 
-    Without labels the score is 0.5 throughout; with labels of one kind it is that label.
+    Without labels the score is 0.5 throughout; with labels of one kind it is that label. Repeated rows have equal
+    scores. A text is read whole, however long. An empty table gives no rows.
     """
-    features = cut(pooled(docs, word_vectors(docs)), "pooled")
+    docs, labels = docs.select("doc_id", "text"), labels.select("doc_id", "quality")
+    with Scratch(docs.sparkSession, "quality-model") as scratch:
+        words = vocabulary(scratch, docs)
+        features = scratch.cut(pooled(docs, words, word_vectors(docs, words)), "pooled", keep=True)
     sent = docs.sparkSession.sparkContext.broadcast(train(features, labels))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, FEATURES)
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<f2").reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.probabilities(x.astype(np.float64)))], ["doc_id", "score"])
 
     scored = features.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
@@ -223,4 +332,4 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
