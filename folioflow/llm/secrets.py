@@ -237,7 +237,7 @@ class _Lexer:
             self.best[span] = max(score, self.best.get(span, 0.0))
         return True
 
-    def region(self, at: int, stop: int, inherited: float = 0.0) -> None:
+    def region(self, at: int, stop: int, inherited: float = 0.0, comment: bool = False) -> None:
         """Reads the tokens from ``at`` to ``stop``; what is bound in here is unbound at the end, but for the whole text."""
         text, frames, blocks = self.text, [_Frame("", inherited)], [_Frame("", 0.0)]
         seen = line = at
@@ -257,8 +257,10 @@ class _Lexer:
                         continue
                     self.region(at, end, weight)
                     at = end
+                elif comment:
+                    at = m.start() + 1  # a mark within a comment is part of it
                 else:
-                    self.region(m.start() + 1, at, weight)
+                    self.region(m.start() + 1, at, weight, comment=True)
             elif group == "triple":
                 if (end := self.closing(m["triple"], at, stop)) >= 0:
                     self.region(at, end, weight)
@@ -278,9 +280,11 @@ class _Lexer:
                     if own and not m["attributes"].endswith("/"):
                         frames.append(_Frame("element", max(weight, own), m["tag"]))
             elif group == "closing":
-                if any(f.kind == "element" and f.label == m["closed"] for f in frames[-8:]):
-                    while (f := frames.pop()).kind != "element" or f.label != m["closed"]:
-                        pass
+                above = len(frames) - 1
+                while above > 0 and frames[above].kind != "brace" and frames[above].label != m["closed"]:
+                    above -= 1
+                if frames[above].kind == "element":  # with what was opened in it and isn't closed
+                    del frames[above:]
             elif group == "heading":
                 while len(frames) > 1 and frames[-1].kind in ("heading", "mapping"):
                     frames.pop()
