@@ -20,7 +20,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ CHUNK = SYMBOLS // CHUNKS
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
 #: The method's distance: pairs that met are compared on full sets up to it (a pair at 0.85 is beyond it once in 10 million, one at 0.80 once in a million).
 SCREEN_DISTANCE = 21
-#: A cell holds about so many members of a key, and so many shingles, on each side.
-CELL, CELL_SHINGLES = 2000, 2_000_000
+#: A cell holds about so many members of a key, and so many shingles, on each side; a key of some hundred members is dealt into ``SPLIT`` blocks too, so its cells are spread.
+CELL, CELL_SHINGLES, SPLIT = 2000, 2_000_000, 8
 #: Rounds of comparisons with drawn members.
 ROUNDS = 2
 #: Counts so near the threshold are taken again on the shingles themselves.
@@ -131,14 +131,15 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFra
     """``left`` joined to ``right``, which has each key once, with ``n``, how many of the ``total`` rows of ``left`` have it at most.
 
     Keys that would fill a task are broadcast; as each has a share of at least 1 / ``HOT_SHARE``, or ``HOT_LEAST`` rows of a small
-    table, there are no more than ``HOT_SHARE`` of them.
+    table, there are no more than ``HOT_SHARE`` of them. Their rows go on under a number of their own, so they are spread.
     """
-    bound = hot_bound(total)
-    hot = right.filter(F.col("n") >= bound)
-    if not hot.limit(1).count():
-        return left.join(right.drop("n"), key)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.filter(F.col("n") < bound).drop("n"), key)
-    return left.join(F.broadcast(hot.drop("n")), key).unionByName(rest)
+    bound, more = hot_bound(total), [c for c in right.columns if c not in (key, "n")]
+    side = lambda rows, name: rows.select(F.col(key).alias(f"__{name}_key"), F.struct(*more).alias(f"__{name}"))
+    marked = left.join(F.broadcast(side(right.filter(F.col("n") >= bound), "hot")), F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
+    spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*left.columns, F.lit("hot"))).otherwise(F.col(key))
+    joined = marked.withColumn("__key", spread).join(side(right.filter(F.col("n") < bound), "cold"), F.col("__key") == F.col("__cold_key"), "left")
+    found = joined.withColumn("__found", F.coalesce("__hot", "__cold")).filter("__found is not null")
+    return found.select(*left.columns, *(F.col(f"__found.{c}").alias(c) for c in more))
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
@@ -273,17 +274,23 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 def shared_keys(scratch: Scratch, classes: DataFrame) -> DataFrame:
     """``key``, ``which``, ``id``, ``low`` (the key's smallest id) for the members of keys that two ids or more share."""
-    keys = scratch.cut(index_keys(classes), "keys")
-    lows = scratch.cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("low < top").drop("top"), "lows")
+    with Scratch(classes.sparkSession, "near-dup") as inner:
+        return _shared_keys(scratch, inner, classes)
+
+
+def _shared_keys(scratch: Scratch, inner: Scratch, classes: DataFrame) -> DataFrame:
+    keys = inner.cut(index_keys(classes), "keys")
+    lows = inner.cut(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("low < top").drop("top"), "lows")
     return scratch.cut(hot_join(keys, lows, "key", keys.count()), "shared-keys")
 
 
 def left_over(scratch: Scratch, keys: DataFrame, links: DataFrame) -> DataFrame:
     """``key``, ``which``, ``id``, ``root``, ``n`` for the members of keys that hold two components or more."""
-    roots = scratch.cut(components(scratch, links), "roots")
-    of = scratch.cut(keys.select("key", "which", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
-    open_keys = scratch.cut(of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n", F.col("n").alias("members")), "open-keys")
-    return scratch.cut(hot_join(of, open_keys, "key", of.count()), "left-over")
+    with Scratch(links.sparkSession, "near-dup") as inner:
+        roots = inner.cut(components(inner, links), "roots")
+        of = inner.cut(keys.select("key", "which", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
+        open_keys = inner.cut(of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n", F.col("n").alias("members")), "open-keys")
+        return scratch.cut(hot_join(of, open_keys, "key", of.count()).withColumnRenamed("members", "n"), "left-over")
 
 
 def drawn_pairs(scratch: Scratch, members: DataFrame, turn: int) -> DataFrame:
@@ -329,7 +336,8 @@ def cell_pairs(scratch: Scratch, members: DataFrame, classes: DataFrame, docs: D
     """
     about = scratch.cut(classes.select("id", "n_shingles", "sig", "same").join(members.select("id").distinct(), "id", "left_semi"), "left-over-classes")
     sized = scratch.cut(members.join(about.groupBy("id").agg(F.max("n_shingles").alias("size")), "id"), "sized")
-    blocks = scratch.cut(sized.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / cell, F.sum("size") / CELL_SHINGLES)).cast("int").alias("blocks")), "blocks")
+    many = F.greatest(F.count(F.lit(1)) / cell, F.sum("size") / CELL_SHINGLES, F.least(F.count(F.lit(1)) * SPLIT / cell, F.lit(SPLIT)))
+    blocks = scratch.cut(sized.groupBy("key").agg(F.ceil(many).cast("int").alias("blocks")), "blocks")
     dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = dealt.select("key", "which", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "root")
@@ -377,7 +385,7 @@ def cell_pairs(scratch: Scratch, members: DataFrame, classes: DataFrame, docs: D
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id``, ``kept`` for each row of ``docs``.
 
-    Null and empty texts have an empty set and are linked with nothing. Rows of one id and set give equal
+    Null and empty texts have an empty set and are linked with nothing, whatever else their id holds. Rows of one id and set give equal
     rows; an id with several texts links them, and what is near any of them. A row without an id is a document of its
     own: its ``component_id`` is null and it is kept. Very long texts are compared whole. An empty table gives no rows.
     """
@@ -394,26 +402,28 @@ def _linked(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, numer
     repeated = again.limit(1).count() > 0
     keys = shared_keys(scratch, classes)
     
-    def tested(pairs: DataFrame) -> DataFrame:
-        near_ones = scratch.cut(screened(scratch.cut(pairs, "met"), classes, numerator, denominator).distinct(), "pairs")
-        return scratch.cut(confirmed(scratch, near_ones, named, numerator, denominator, repeated), "links")
-
-    links = tested(keys.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
+    def tested(make: Callable[[Scratch], DataFrame], screen: bool = True) -> DataFrame:
+        with Scratch(docs.sparkSession, "near-dup") as inner:
+            pairs = inner.cut(make(inner), "met")
+            if screen:
+                pairs = inner.cut(screened(pairs, classes, numerator, denominator).distinct(), "pairs")
+            return scratch.cut(confirmed(inner, pairs, named, numerator, denominator, repeated), "links")
+
+    links = tested(lambda _: keys.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     rest = keys
-    for turn in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         rest = left_over(scratch, rest, links)
         if not rest.limit(1).count():
             break
-        links = links.union(tested(drawn_pairs(scratch, rest, turn)))
-    else:
-        rest = left_over(scratch, rest, links)
-        if rest.limit(1).count():
-            more = scratch.cut(cell_pairs(scratch, rest, classes, named, numerator, denominator, repeated).distinct(), "pairs")
-            links = links.union(confirmed(scratch, more, named, numerator, denominator, repeated))
+        if turn < ROUNDS:
+            links = links.union(tested(lambda inner, rest=rest, turn=turn: drawn_pairs(inner, rest, turn)))
+        else:
+            links = links.union(tested(lambda inner, rest=rest: cell_pairs(inner, rest, classes, named, numerator, denominator, repeated).distinct(), screen=False))
     if repeated:  # ids with several texts join their classes
         of = known.join(again.filter("several").select("doc_id"), "doc_id", "left_semi").join(classes.select("same", "id"), "same").select("doc_id", F.col("id").alias("a")).distinct()
         links = links.union(of.join(of.groupBy("doc_id").agg(F.min("a").alias("b")), "doc_id").select("a", "b"))
-    roots = scratch.cut(components(scratch, links), "components")
+    with Scratch(docs.sparkSession, "near-dup") as inner:
+        roots = scratch.cut(components(inner, links), "components")
     # Only classes with copies, or below another root, change anything; those that would fill a task are broadcast.
     moved = classes.select("same", "id", "n").join(roots, "id", "left").filter("n > 1 or root is not null").select("same", F.coalesce("root", "id").alias("component_id"), "n")
     moved = scratch.cut(moved, "moved", keep)
