@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The Markdown markers that are removed, in order, and what stays of each.
+# The Markdown markers that are removed, in order, and what stays of each (a class here may be written shorter than
+# elsewhere; it holds the same characters).
 MARKDOWN = (
     ("(?dUs)```.*?```", ""),
     (r"(?dU)\*\*+(.*?)\*\*+", "$1"),
@@ -24,11 +25,14 @@ MARKDOWN = (
     (r"(?dUm)^[\s\t]*[*+-]\s+", ""),
     (r"(?dUm)^[\s\t]*\d+\.\s+", ""),
 )
-# An item's number at the start of a line, and the characters that no file name holds.
+# An item's number at the start of a line, the characters that no file name holds, those that are
+# dropped from a choice, and a fenced block.
 ITEM_START = r"(?U)^\s*(\d{1,3})\s*[.、．)]\s*"
 UNSAFE = r'[\\/:*?"<>|]'
+NO_LETTER = "[^A-Za-z ]"
+FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 SOURCE_LIMIT, BUNDLE_LIMIT, SLOTS = 40_000, 120_000, 50
-NO_CONTEXT, NO_ANSWER, NO_LINK, NO_REFERENCES = "(no context)", "(no answer)", "(no link)", "(no references)"
+NO_CONTEXT, NO_ANSWER, NO_LINK, NO_REFERENCES, NO_REASON, NO_TITLE = "(no context)", "(no answer)", "(no link)", "(no references)", "(no reason given)", "document"
 
 
 def strip(text: Column) -> Column:
@@ -43,7 +47,7 @@ def strip_markdown(text: Column) -> Column:
 
 def choice_letters(text: Column) -> Column:
     """Upper-case ASCII letters and spaces of an answer; empty: no valid choice."""
-    return F.trim(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z ]", "")))
+    return F.trim(F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), NO_LETTER, "")))
 
 
 def extract_tag(text: Column, tag: str, otherwise: Column | None = None) -> Column:
@@ -54,8 +58,7 @@ def extract_tag(text: Column, tag: str, otherwise: Column | None = None) -> Colu
 
 def fenced_json(text: Column) -> Column:
     """Inside of the first fenced block, else the whole text; empty or null gives null."""
-    pattern = r"(?s)```(?:json)?\s*(.*?)\s*```"
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(None)).when(text.rlike(pattern), F.regexp_extract(text, pattern, 1)).otherwise(text)
+    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(None)).when(text.rlike(FENCE), F.regexp_extract(text, FENCE, 1)).otherwise(text)
 
 
 def item_start(line: Column) -> Column:

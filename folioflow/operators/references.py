@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from bisect import insort
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioflow.functions.text import BUNDLE_LIMIT, NO_CONTEXT, NO_REFERENCES, SOURCE_LIMIT, hit_line, reference_block, strip, truncated
 
 HITS = 5
+#: Questions whose words are held by every task at once.
+GROUP = 4096
 BETWEEN = "\n\n"
 #: Parts that a group of sources is cut in before it is put together.
 PARTS = 64
@@ -41,6 +49,55 @@ def top_hits(hits: DataFrame, keys: list[str], order: list, k: int = HITS) -> Da
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def most_shared(asked: DataFrame, held: DataFrame, keys: list[str], order: list[str], k: int = HITS, group: int = GROUP) -> DataFrame:
+    """(keys, rank, ``order``, n): the ``k`` rows of ``held`` (order, words) that share most words with each row of ``asked`` (keys, words), ties by ``order``; a row that shares none is no hit.
+
+    Words meet in an index of the questions' words that every task holds, so no word is a key of a shuffle and no task tells more than ``k``
+    rows a question. Questions are taken in groups of bounded size, each of which reads ``held`` once.
+    """
+    spark = asked.sparkSession
+    numbered = asked.select(F.struct(*keys).alias("key"), "words").distinct().withColumn("dealt", F.xxhash64("key"))
+    groups = max(1, -(-numbered.count() // group))
+    types = {f.name: f.dataType.simpleString() for f in held.schema}
+    schema = ", ".join(["question int", "n int", *(f"`{c}` {types[c]}" for c in order)])
+    found = None
+    for g in range(groups):
+        rows = numbered.filter(F.pmod("dealt", F.lit(groups)) == g).select("key", "words").collect()  # about ``group`` questions
+        index: dict[str, list[int]] = {}
+        for i, row in enumerate(rows):
+            for word in row.words:
+                index.setdefault(word, []).append(i)
+        sent = spark.sparkContext.broadcast(({w: np.array(v) for w, v in index.items()}, len(rows)))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent):
+            places, n = sent.value
+            best: list[list[tuple]] = [[] for _ in range(n)]
+            least = np.ones(n, np.int64)  # what a row must share to be looked at
+            for batch in batches:
+                told = [batch.column(c) for c in order]
+                for at, held_words in enumerate(batch.column("words").to_pylist()):
+                    met = [places[w] for w in held_words if w in places]
+                    if not met:
+                        continue
+                    counts = np.bincount(np.concatenate(met), minlength=n)
+                    for q in np.flatnonzero(counts >= least):
+                        entry = (-int(counts[q]), *((v is not None, v) for v in (c[at].as_py() for c in told)))  # nulls first
+                        insort(best[q], entry)
+                        if len(best[q]) > k:
+                            best[q].pop()
+                        if len(best[q]) == k:
+                            least[q] = -best[q][-1][0]
+            kept = [(q, -e[0], *(v for _, v in e[1:])) for q, held_rows in enumerate(best) for e in held_rows]
+            fields = [("question", pa.int32()), ("n", pa.int32()), *((c, batch_type(c)) for c in order)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, (_, t) in enumerate(fields)], [name for name, _ in fields])
+
+        batch_type = lambda c: {"bigint": pa.int64(), "int": pa.int32()}.get(types[c], pa.string())
+        ids = spark.createDataFrame([(i, row.key) for i, row in enumerate(rows)], T.StructType([T.StructField("question", T.IntegerType()), T.StructField("key", numbered.schema["key"].dataType)]))
+        some = top_hits(held.select(*order, "words").mapInArrow(run, schema), ["question"], [F.desc("n"), *order], k).join(F.broadcast(ids), "question").select("key.*", "rank", *order, "n")
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 def search_context(questions: DataFrame, hits: DataFrame, keys: list[str], otherwise: str = NO_CONTEXT) -> DataFrame:
     """Each question with ``context``: a line per hit (keys, rank, title, content) by rank, or ``otherwise``."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", hit_line(F.col("title"), F.col("content")).alias("line")))), lambda x: x["line"])

@@ -68,7 +68,8 @@ def longest_first(rows: DataFrame, keys: list[str], text: str, order: str) -> Da
     return rows.withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
 
 
-def final_answers(questions: DataFrame, accepted: DataFrame, keys: tuple[str, ...] = ("qid",), otherwise: str = NO_ANSWER) -> DataFrame:
-    """One row per question in its order, with the accepted answer or ``otherwise``."""
+def final_answers(questions: DataFrame, accepted: DataFrame, keys: tuple[str, ...] = ("qid",), otherwise: str = NO_ANSWER, order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per question with the accepted answer or ``otherwise``, in the order of the columns ``order`` (none: in no order)."""
     side = accepted.select(*keys, "answer")
-    return questions.join(side, list(keys), "left").withColumn("answer", F.coalesce("answer", F.lit(otherwise)))
+    joined = questions.join(side, list(keys), "left").withColumn("answer", F.coalesce("answer", F.lit(otherwise)))
+    return joined.orderBy(*order) if order else joined

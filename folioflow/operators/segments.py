@@ -23,6 +23,11 @@ def page_lines(spans: DataFrame) -> DataFrame:
     return made.withColumn("text", strip(F.col("text"))).filter("text <> ''").drop("block", "line")
 
 
+def in_reading_order(lines: DataFrame) -> DataFrame:
+    """Lines by document, page, height and left edge."""
+    return lines.orderBy("doc_id", "page", "y0", "x0")
+
+
 def item_starts(lines: DataFrame, expected: DataFrame) -> DataFrame:
     """(doc_id, qid, page, y) of the first line in reading order that begins with each of the ``expected`` (doc_id, qid) numbers."""
     found = lines.withColumn("qid", item_start(F.col("text"))).filter("qid is not null")
@@ -47,6 +52,13 @@ def page_segments(starts: DataFrame, pages: DataFrame) -> DataFrame:
     return sized.select("doc_id", "qid", F.col("at").alias("page"), top.alias("y0"), bottom.alias("y1")).filter(F.col("y1") > F.col("y0") + LEAST_HEIGHT)
 
 
+def segment_texts(segments: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, qid, n_pages, body): the texts (doc_id, page, text) of the pages that an item touches, in order."""
+    met = segments.select("doc_id", "qid", "page").join(texts, ["doc_id", "page"])
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n")
+    return met.groupBy("doc_id", "qid").agg(F.count("*").alias("n_pages"), body.alias("body"))
+
+
 def tight_segments(segments: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
     """Segments drawn in to the lines that lie in them, headers and footers left out; without such lines they stay. Empty ones go."""
     side = lines.select("doc_id", "page", F.col("y0").alias("ly0"), F.col("y1").alias("ly1")).join(pages, ["doc_id", "page"])

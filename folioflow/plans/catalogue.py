@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioflow.functions import markdown as M
 from folioflow.functions import text as X
 from folioflow.operators import answers as A
+from folioflow.operators import images as I
 from folioflow.operators import references as R
 from folioflow.operators import results as P
 from folioflow.operators import segments as S
+from folioflow.plans import documents as D
+from folioflow.plans import parsing as N
+from folioflow.plans import rounds as L
+from folioflow.sources.providers import offline_solver
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -31,12 +35,16 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The ten rules by hand, in DuckDB's terms: fence, bold, italic (stars, then underlines), heading, code, link, bullet, number.
+_MARKDOWN_SQL = (
+    ("(?s)```.*?```", ""), (r"\*\*+(.*?)\*\*+", r"\1"), (r"\*+(.*?)\*+", r"\1"), ("__+(.*?)__+", r"\1"), ("_+(.*?)_+", r"\1"),
+    (r"(?m)^#+\s+", ""), ("`(.*?)`", r"\1"), (r"\[(.*?)\]\(.*?\)", r"\1"), (r"(?m)^\s*[-+*]\s+", ""), (r"(?m)^\s*[0-9]+\.\s+", ""),
+)
+
+
 def _markdown_sql(c: str) -> str:
-    """The chain of ``MARKDOWN`` in DuckDB's terms."""
-    for pattern, kept in X.MARKDOWN:
-        flags = pattern[2 : pattern.index(")")].replace("d", "").replace("U", "")
-        body = pattern[pattern.index(")") + 1 :]
-        c = f"regexp_replace({c}, '{f'(?{flags})' if flags else ''}{body}', '{kept.replace('$', chr(92))}', 'g')"
+    for pattern, kept in _MARKDOWN_SQL:
+        c = f"regexp_replace({c}, '{pattern}', '{kept}', 'g')"
     return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
@@ -55,12 +63,11 @@ _STARTS = "starts AS (SELECT conv_id, turn AS page, lead(turn) OVER (PARTITION B
 
 @query(f"WITH {_STARTS} SELECT s.conv_id, s.page, count(*) AS n_pages, string_agg(c.text, chr(10) ORDER BY c.turn) AS body FROM starts s JOIN conversations c ON c.conv_id = s.conv_id AND c.turn >= s.page AND (s.nxt IS NULL OR c.turn < s.nxt) GROUP BY s.conv_id, s.page")
 def segment_by_start(spark, sf_dir):
-    """Items from their start to the next, by a running number of starts: one window, no join on a range."""
-    turns = _read(spark, sf_dir, "conversations")
-    upto = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    marked = turns.withColumn("page", F.max(F.when(F.col("role") == "user", F.col("turn"))).over(upto)).filter("page is not null")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
-    return marked.groupBy("conv_id", "page").agg(F.count("*").alias("n_pages"), body.alias("body"))
+    """Items from their start to the next, each turn a page: starts meet the pages that they reach over."""
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "role", "text")
+    starts = turns.filter("role = 'user'").select("doc_id", F.col("page").cast("string").alias("qid"), "page", F.lit(0.0).alias("y"))
+    segments = S.page_segments(starts, turns.select("doc_id", "page", F.lit(10.0).alias("height")))
+    return S.segment_texts(segments, turns).select(F.col("doc_id").alias("conv_id"), F.col("qid").cast("long").alias("page"), "n_pages", "body")
 
 
 @query("SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS k FROM conversations WHERE role = 'assistant') WHERE k = 1")
@@ -76,12 +83,11 @@ def reference_bundle(spark, sf_dir):
 
 @query("SELECT qid, CAST(k AS INTEGER) AS rank, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY n DESC, doc_id) AS k FROM (SELECT b.item_id AS qid, d.doc_id, count(*) AS n FROM (SELECT item_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM benchmark) b JOIN (SELECT doc_id, unnest(list_distinct(string_split(lower(text), ' '))) AS w FROM documents) d USING (w) WHERE w <> '' GROUP BY b.item_id, d.doc_id)) WHERE k <= 5")
 def topk_context(spark, sf_dir):
-    """The five documents that share most words with each benchmark item: words meet in an equi-join, the rank is cut before the shuffle's end."""
-    words = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), " "))).alias("w")
-    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text"))).filter("w <> ''")
-    held = _read(spark, sf_dir, "documents").select("doc_id", words(F.col("text"))).filter("w <> ''")
-    shared = asked.join(held, "w").groupBy("qid", "doc_id").agg(F.count("*").alias("n"))
-    return R.top_hits(shared, ["qid"], [F.desc("n"), "doc_id"]).select("qid", "rank", "doc_id")
+    """The five documents that share most words with each benchmark item, in one pass over the documents."""
+    words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), " ")), "").alias("words")
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), words(F.col("text")))
+    held = _read(spark, sf_dir, "documents").select("doc_id", words(F.col("text")))
+    return R.most_shared(asked, held, ["qid"], ["doc_id"]).select("qid", "rank", "doc_id")
 
 
 @query(r"SELECT doc_id, list_transform(string_split(regexp_replace(regexp_replace(b, '^\|', ''), '\|$', ''), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS cells FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS b FROM documents) WHERE length(b) - length(replace(b, '|', '')) >= 2")
@@ -90,12 +96,15 @@ def table_cells(spark, sf_dir):
     return lines.filter(M.is_table_line(F.col("line"))).select("doc_id", M.cells(F.col("line")).alias("cells"))
 
 
-@query("SELECT doc_id, 3 AS n_blocks, [['a', 'b', ''], ['1', '', ''], ['x', 'y', left(lang, 2)]] AS cells, 'after ' || CAST(doc_id AS VARCHAR) AS last_text FROM documents")
+_CELLS = r"list_transform(string_split(regexp_replace(regexp_replace(b, '^\|', ''), '\|$', ''), '|'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+
+
+@query(f"WITH l AS (SELECT doc_id, i, regexp_replace(s[i], '^\\s+|\\s+$', '', 'g') AS b FROM (SELECT doc_id, s, unnest(generate_series(1, len(s))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents))), t AS (SELECT doc_id, i, {_CELLS} AS c, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM l WHERE length(b) - length(replace(b, '|', '')) >= 2), w AS (SELECT *, max(len(c)) OVER (PARTITION BY doc_id, island) AS w FROM t WHERE len(list_filter(c, lambda x: x <> '')) > 0 AND len(list_filter(c, lambda x: NOT regexp_full_match(x, ':?-{{3,}}:?'))) > 0) SELECT doc_id, count(DISTINCT island) AS n_tables, list(list_transform(list_concat(c, list_transform(range(w - len(c)), lambda j: '')), lambda x: {_markdown_sql('x')}) ORDER BY i) AS cells FROM w GROUP BY doc_id")
 def table_blocks(spark, sf_dir):
-    """A paragraph, a table and a paragraph of fixed form, read back as three blocks; ``text_blocks`` does so with whole texts."""
-    wrapped = F.concat(F.lit("before\n| a | b |\n|---|:---:|\n| 1 |\n| x | **y** | "), F.substring("lang", 1, 2), F.lit(" |\n---\nafter "), F.col("doc_id").cast("string"))
-    found = _read(spark, sf_dir, "documents").select("doc_id", M.blocks(F.regexp_replace(wrapped, "\n---", "")).alias("b"))
-    return found.select("doc_id", F.size("b").alias("n_blocks"), F.get("b", F.lit(1))["cells"].alias("cells"), F.get("b", F.lit(2))["text"].alias("last_text"))
+    """The tables of whole texts in which each line with bars is followed by a rule, so lines with bars that follow one another are one table."""
+    ruled = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.when(M.is_table_line(x), F.concat(x, F.lit("\n|---|"))).otherwise(x)), "\n")
+    found = _read(spark, sf_dir, "documents").select("doc_id", F.filter(M.blocks(ruled), lambda b: (b["kind"] == "table") & (F.size(b["cells"]) > 0)).alias("t")).filter(F.size("t") > 0)
+    return found.select("doc_id", F.size("t").cast("long").alias("n_tables"), F.flatten(F.transform("t", lambda b: b["cells"])).alias("cells"))
 
 
 _ROW = f"list_transform(string_split(' ' || x || ' | ' || lang || ' ', '|'), lambda y: {_markdown_sql("regexp_replace(y, '^\\s+|\\s+$', '', 'g')")})"
@@ -114,11 +123,13 @@ def text_blocks(spark, sf_dir):
 
 @query("WITH RECURSIVE q AS (SELECT conv_id, turn, 1 AS round FROM conversations WHERE role = 'user' UNION ALL SELECT conv_id, turn, round + 1 FROM q WHERE round < 10 AND (conv_id * 7 + turn * 3 + round) % 4 <> 0) SELECT conv_id, turn, CAST(max(round) AS INTEGER) AS rounds, bool_or((conv_id * 7 + turn * 3 + round) % 4 = 0) AS passed FROM q GROUP BY conv_id, turn")
 def review_rounds(spark, sf_dir):
-    """Rounds that a deterministic reviewer asks for, ten at most: the rounds are a bounded sequence, so no loop is needed."""
-    asked = _read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", "turn")
-    ok = lambda r: (F.col("conv_id") * 7 + F.col("turn") * 3 + r) % 4 == 0
-    first = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(10)), ok))
-    return asked.select("conv_id", "turn", F.coalesce(first, F.lit(10)).alias("rounds"), first.isNotNull().alias("passed"))
+    """The loop of answers and reviews over all conversations at once, with a reviewer that passes a question in a round of its own, ten at most."""
+    asked = _read(spark, sf_dir, "conversations").filter("role = 'user'")
+    questions = asked.select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("string").alias("qid"), F.col("turn").alias("pos"), F.col("text").alias("question"), F.lit("").alias("context"))
+    right = (F.col("doc_id").cast("long") * 7 + F.col("qid").cast("long") * 3 + F.col("round")) % 4 == 0
+    reviewer = lambda requests: requests.select("doc_id", "qid", F.when(right, "PASS").otherwise("wrong").alias("review"))
+    log = L.solve(questions, offline_solver, reviewer, choice=True)["log"]
+    return log.groupBy(F.col("doc_id").cast("long").alias("conv_id"), F.col("qid").cast("long").alias("turn")).agg(F.max("round").alias("rounds"), F.bool_or("passed").alias("passed"))
 
 
 @query("SELECT doc_id, [CASE WHEN trim(regexp_replace(b, '[^A-Za-z ]', '', 'g')) = '' THEN a ELSE trim(upper(regexp_replace(b, '[^A-Za-z ]', '', 'g'))) END] AS ans FROM (SELECT doc_id, text AS a, CASE WHEN doc_id % 3 = 0 THEN '(1)' ELSE left(lang, 2) || ', ' || source END AS b FROM documents)")
@@ -138,7 +149,9 @@ def choice_vector(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_props(spark, sf_dir):
-    return _read(spark, sf_dir, "events").select("event_id", F.from_json(X.fenced_json(F.col("props")), "k long")["k"].alias("k"))
+    """JSON as it is, in a fence, and in a fence with its language."""
+    told = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("here:\n```json\n"), "props", F.lit("\n```\nend"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("```"), "props", F.lit("```"))).otherwise(F.col("props"))
+    return _read(spark, sf_dir, "events").select("event_id", F.from_json(X.fenced_json(told), "k long")["k"].alias("k"))
 
 
 _LINE = "CAST(turn + 1 AS VARCHAR) || CASE WHEN turn % 2 = 0 THEN '. ' ELSE ') ' END || text"
@@ -179,14 +192,19 @@ def last_wins(spark, sf_dir):
     return P.last_wins(rows, ["conv_id"], "at").select("conv_id", "text", "turn")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query(f"SELECT conv_id, min(turn) AS y, regexp_extract({_LINE}, '^\\s*(\\d{{1,3}})\\s*[.)]\\s*', 1) AS qid FROM conversations c WHERE role <> 'system' AND qid IN (SELECT CAST(turn + 1 AS VARCHAR) FROM conversations e WHERE e.conv_id = c.conv_id AND e.role = 'user') GROUP BY conv_id, qid")
 def semi_ids(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id").join(_read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    """The first line that begins with each expected number: expected are the numbers of the user's turns."""
+    turns = _read(spark, sf_dir, "conversations").withColumn("doc_id", F.col("conv_id"))
+    line = F.concat((F.col("turn") + 1).cast("string"), F.when(F.col("turn") % 2 == 0, ". ").otherwise(") "), F.col("text"))
+    lines = turns.filter("role <> 'system'").select("doc_id", F.lit(0).alias("page"), line.alias("text"), F.lit(0.0).alias("x0"), F.col("turn").alias("y0"))
+    expected = turns.filter("role = 'user'").select("doc_id", (F.col("turn") + 1).cast("string").alias("qid"))
+    return S.item_starts(lines, expected).select(F.col("doc_id").alias("conv_id"), "qid", "y")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def anti_best(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id").join(_read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_anti")
+    return L.force_longest(_read(spark, sf_dir, "documents").select("doc_id"), _read(spark, sf_dir, "labels").filter("quality = 1"), ["doc_id"])
 
 
 @query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), '(no answer)') AS answer FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -207,5 +225,54 @@ def tight_bounds(spark, sf_dir):
 
 @query("SELECT user_id, max(ts) FILTER (WHERE event_type = 'view') AS cached_at, max(ts) FILTER (WHERE event_type = 'click') AS changed_at FROM events GROUP BY user_id HAVING max(ts) FILTER (WHERE event_type = 'view') > max(ts) FILTER (WHERE event_type = 'click')")
 def cache_fresh(spark, sf_dir):
-    at = lambda kind, name: F.max(F.when(F.col("event_type") == kind, F.col("ts"))).alias(name)
-    return _read(spark, sf_dir, "events").groupBy("user_id").agg(at("view", "cached_at"), at("click", "changed_at")).filter("cached_at > changed_at")
+    events = _read(spark, sf_dir, "events")
+    last = lambda kind, name: events.filter(F.col("event_type") == kind).groupBy("user_id").agg(F.max("ts").alias(name))
+    return D.fresh(last("view", "cached_at"), last("click", "changed_at"), ["user_id"])
+
+
+@query("SELECT conv_id, CASE WHEN regexp_matches(text, '(?i)programming|coding|编程|程序') THEN 'programming' ELSE 'short_answer' END AS kind, CAST(turn + 1 AS VARCHAR) AS qid, regexp_replace(CAST(turn + 1 AS VARCHAR) || '. ' || replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS question FROM conversations WHERE turn < 999")
+def item_split(spark, sf_dir):
+    """Whole conversations as numbered texts, split into items by rules."""
+    turns = _read(spark, sf_dir, "conversations").filter("turn < 999")
+    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.translate("text", "\n", " "))
+    texts = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
+    return N.split_items(texts)[1].select(F.col("doc_id").cast("long").alias("conv_id"), "kind", "qid", "question")
+
+
+@query("SELECT conv_id, turn, array_to_string(w, '') AS text, 0.0::DOUBLE AS x0, 20.0::DOUBLE * turn AS y0, 10.0::DOUBLE * len(w) - 2 AS x1, 20.0::DOUBLE * turn + 10 AS y1 FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations WHERE role <> 'system') WHERE regexp_replace(array_to_string(w, ''), '\\s', '', 'g') <> ''")
+def page_boxes(spark, sf_dir):
+    """Lines from spans: each word of a turn is a span, the system's turns are no text blocks."""
+    turns = _read(spark, sf_dir, "conversations").select("*", F.posexplode(F.split("text", " ")).alias("span", "word"))
+    at = F.col("span") * 10.0
+    spans = turns.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("page"), F.when(F.col("role") == "system", 1).otherwise(0).alias("block_type"), F.col("turn").alias("block"), F.lit(0).alias("line"), "span", F.col("word").alias("text"), at.alias("x0"), (F.col("turn") * 20.0).alias("y0"), (at + 8).alias("x1"), (F.col("turn") * 20.0 + 10).alias("y1"))
+    return S.page_lines(spans).select(F.col("doc_id").alias("conv_id"), (F.col("y0") / 20).cast("long").alias("turn"), "text", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT conv_id, CASE WHEN turn % 2 = 0 THEN 'choice' ELSE 'short_answer' END AS kind, CAST(turn AS VARCHAR) AS qid, CASE WHEN role = 'user' THEN 'p/' || CAST(turn AS VARCHAR) ELSE '' END AS path FROM conversations")
+def image_paths(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.when(F.col("turn") % 2 == 0, "choice").otherwise("short_answer").alias("kind"), F.col("turn").cast("string").alias("qid"), "role")
+    images = turns.filter("role = 'user'").withColumn("path", F.concat(F.lit("p/"), "qid"))
+    return I.image_map(turns, images).withColumnRenamed("doc_id", "conv_id")
+
+
+@query("SELECT conv_id, string_agg(CAST(turn AS VARCHAR) || ':' || CASE WHEN turn % 3 = 0 THEN 'http://h/' || CAST(turn AS VARCHAR) ELSE '(no link)' END, chr(10) ORDER BY turn) AS links FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def link_list(spark, sf_dir):
+    items = _read(spark, sf_dir, "conversations").filter("role = 'user'").select("conv_id", F.col("turn").cast("string").alias("qid"), F.col("turn").alias("pos"))
+    links = items.filter("pos % 3 <> 1").select("conv_id", "qid", F.concat(F.when(F.col("pos") % 3 == 0, "http://h/").otherwise("ftp://h/"), "qid").alias("link"))
+    return D.link_lines(items, links, ["conv_id"])
+
+
+@query("SELECT conv_id, coalesce((SELECT string_agg('- ' || role || ': ' || text, chr(10) ORDER BY turn) FROM conversations h WHERE h.conv_id = c.conv_id AND h.turn BETWEEN 1 AND 5), '(no context)') AS context FROM (SELECT DISTINCT conv_id FROM conversations) c")
+def hit_context(spark, sf_dir):
+    turns = _read(spark, sf_dir, "conversations")
+    hits = R.top_hits(turns.filter("turn >= 1").select("conv_id", "turn", F.col("role").alias("title"), F.col("text").alias("content")), ["conv_id"], ["turn"]).filter("turn <= 5")
+    return R.search_context(turns.select("conv_id").distinct(), hits, ["conv_id"])
+
+
+@query(r"SELECT conv_id, CAST(turn % 3 AS VARCHAR) AS qid, regexp_replace(arg_max(text, turn), '^\s+|\s+$', '', 'g') AS answer FROM conversations GROUP BY conv_id, turn % 3")
+def reply_items(spark, sf_dir):
+    """Replies as JSON in a fence, with tags and repeated ids: the last answer of an id stays."""
+    item = F.struct(F.col("turn"), (F.col("turn") % 3).alias("id"), F.concat(F.lit("<answer> "), "text", F.lit(" </answer>")).alias("answer"))
+    whole = F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["id"].alias("id"), x["answer"].alias("answer"))).alias("results")))
+    replies = _read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.concat(F.lit("```json\n"), whole, F.lit("\n```")).alias("reply"))
+    return P.answers(replies).select(F.col("doc_id").alias("conv_id"), "qid", "answer")

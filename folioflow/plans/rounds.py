@@ -1,94 +1,120 @@
-"""Answer and review rounds: a bounded loop over a table of pending questions.
+"""Answer and review rounds: a bounded loop over a table of pending questions of many documents.
 
-A round is one batch: the solver sees all pending questions, the reviewer each answer. Its outcome is
-checkpointed before it is read again, since a provider may answer otherwise when it is asked twice.
+A round is one batch: the solver sees each document's pending questions, the reviewer each answer. Its outcome is
+checkpointed before it is read again, since a provider may answer otherwise when it is asked twice. The loop
+runs as often as the slowest document needs, ``rounds`` times at most, whatever the number of documents.
 """
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import NO_ANSWER, SLOTS, choice_letters, filled, passes
-from folioflow.operators.answers import slot
-from folioflow.operators.results import answers, final_answers, longest_first
+from folioflow.functions.text import NO_ANSWER, NO_REASON, SLOTS, choice_letters, filled, image_parts, passes, strip
+from folioflow.operators.answers import choice_vector
+from folioflow.operators.results import answers, final_answers, longest_first, with_answers
+from folioflow.plans.prompts import CHOICE, QUESTION, REVIEW, SHORT
 from folioflow.sources.providers import Reviewer, Solver
 
 ROUNDS, PATIENCE = 10, 3
-STATE = "qid string, pos int, question string, context string, feedback string"
-OUTCOME = "qid string, pos int, answer string, review string, passed boolean, round int"
-PROMPT = "Question {qid}: {question}\nContext: {context}\nReferences: {references}\nFeedback: {feedback}\n"
-REVIEW = "Question {qid}: {question}\nContext: {context}\nAnswer: {answer}\nReply PASS, or say what is wrong.\n"
+OUTCOME = "doc_id string, qid string, pos int, answer string, review string, passed boolean, round int"
+BEST = "doc_id string, qid string, pos int, answer string, round int"
+KEYS = ["doc_id", "qid"]
 
 
 def held(df: DataFrame) -> DataFrame:
-    """``df`` written to the session's checkpoint folder."""
+    """``df`` written to the session's checkpoint folder, which all executors and the driver share; only a session on this machine alone may do without one."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioflow-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioflow-"))
     return df.checkpoint()
 
 
+def requests(pending: DataFrame, choice: bool, references: Column, turn: int) -> DataFrame:
+    """(doc_id, prompt, parts, ids, round): one request per document with all its pending questions in order, and their images."""
+    line = filled(QUESTION, qid=F.col("qid"), question=F.col("question"), context=F.col("context"), feedback=F.col("feedback"))
+    asked = pending.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "qid", line.alias("line"), "images"))).alias("asked"))
+    prompt = filled(CHOICE if choice else SHORT, references=references, questions=F.array_join(F.transform("asked", lambda x: x["line"]), "\n"))
+    images = F.flatten(F.transform("asked", lambda x: F.coalesce(x["images"], F.array().cast("array<struct<label:string,content:binary>>"))))
+    return asked.select("doc_id", prompt.alias("prompt"), image_parts(prompt, images).alias("parts"), F.transform("asked", lambda x: x["qid"]).alias("ids"), F.lit(turn).alias("round"))
+
+
+def force_longest(best: DataFrame, accepted: DataFrame, keys: list[str]) -> DataFrame:
+    """The longest answers seen of what has none accepted."""
+    return best.join(accepted.select(*keys), keys, "left_anti")
+
+
 def solve(questions: DataFrame, solver: Solver, reviewer: Reviewer, choice: bool, references: str = "", rounds: int = ROUNDS, patience: int = PATIENCE) -> dict[str, DataFrame]:
-    """``answers`` (qid, answer, status per question, in ``pos`` order) and ``log`` (``OUTCOME``: all reviews).
+    """``answers`` (doc_id, qid, pos, title, answer, status per question, in order) and ``log`` (``OUTCOME``: all reviews).
 
-    ``questions``: (qid, pos, question, context). Choice answers that pass but hold no letter stay pending
-    without new feedback. A choice question that is missing in a reply stays pending; a short question's missing
-    answer is reviewed as such. A question whose review failed is dropped (status ``unreviewed``). Short answers stop after
-    ``patience`` reviewed rounds in which no answer grew, and the longest answers seen are accepted.
+    ``questions``: (doc_id, qid, pos, question, context), with ``images`` (label, content) if there are any; without ``doc_id`` they
+    are one document's. A document whose reply is missing or no JSON is asked again with what it was asked. Choice answers
+    that pass but hold no letter stay pending without new feedback, as do choice questions that a reply lacks; a
+    short question's missing answer is reviewed as such. A review without text is a failed one with a default reason;
+    a question for which no review came at all is dropped (status ``unreviewed``). Short answers of a document stop after
+    ``patience`` reviewed rounds in which none grew, and the longest answers seen are accepted.
     """
     spark = questions.sparkSession
-    pending = held(questions.select("qid", "pos", "question", "context", F.lit(None).cast("string").alias("feedback")))
-    log = spark.createDataFrame([], OUTCOME)
-    best, still = spark.createDataFrame([], "qid string, pos int, answer string, round int"), 0
-    forced = False
+    single = "doc_id" not in questions.columns
+    every = questions.withColumn("doc_id", F.lit("") if single else F.col("doc_id").cast("string")).withColumn("pos", F.col("pos").cast("int"))
+    images = F.col("images") if "images" in questions.columns else F.lit(None).cast("array<struct<label:string,content:binary>>")
+    pending = held(every.select(*KEYS, "pos", "question", "context", F.lit(None).cast("string").alias("feedback"), images.alias("images")))
+    log, best = spark.createDataFrame([], OUTCOME), spark.createDataFrame([], BEST)
+    still = spark.createDataFrame([], "doc_id string, still int")
+    done = spark.createDataFrame([], "doc_id string")
+    cited = F.lit(references)
     for turn in range(1, rounds + 1):
         if not pending.limit(1).count():
             break
-        prompt = filled(PROMPT, qid=F.col("qid"), question=F.col("question"), context=F.col("context"), references=F.lit(references), feedback=F.col("feedback"))
-        replies = held(solver(pending.select("qid", "pos", prompt.alias("prompt"), F.lit(turn).alias("round"))))
-        found = answers(replies.select("reply"), ("results", "ans") if choice else ("answers", "results"), ())
-        if not replies.filter("reply is not null").limit(1).count() or not found.limit(1).count():
-            continue
-        given = pending.join(found.select("qid", "answer"), "qid", "left")
-        asked = given.filter("answer is not null") if choice else given.withColumn("answer", F.coalesce("answer", F.lit(NO_ANSWER)))
-        request = filled(REVIEW, qid=F.col("qid"), question=F.col("question"), context=F.col("context"), answer=F.col("answer"))
-        reviews = reviewer(asked.select("qid", "answer", request.alias("prompt"), F.lit(turn).alias("round"))).select("qid", "review")
-        reviewed = held(asked.join(reviews, "qid", "left").withColumn("passed", passes(F.col("review"))))
-        outcome = reviewed.select("qid", "pos", "answer", "review", "passed", F.lit(turn).alias("round"))
+        replies = solver(requests(pending, choice, cited, turn))
+        replies = held(replies.select(F.lit("").alias("doc_id") if "doc_id" not in replies.columns else F.col("doc_id").cast("string"), "reply"))
+        found = held(answers(replies, ("results", "ans") if choice else ("answers", "results")))
+        heard = found.select("doc_id").distinct()
+        waiting = pending.join(heard, "doc_id", "left_anti")
+        given = with_answers(pending.join(heard, "doc_id", "left_semi"), found, otherwise=None if choice else NO_ANSWER)
+        asked = given.filter("answer is not null")
+        request = filled(REVIEW, qid=F.col("qid"), question=F.col("question"), context=F.col("context"), references=cited, answer=F.col("answer"))
+        reviews = reviewer(asked.select(*KEYS, "answer", request.alias("prompt"), image_parts(request, F.col("images")).alias("parts"), F.lit(turn).alias("round")))
+        told = reviews.select(F.lit("").alias("doc_id") if "doc_id" not in reviews.columns else F.col("doc_id").cast("string"), "qid", "review", F.lit(True).alias("came"))
+        reviewed = held(asked.join(told.dropDuplicates(KEYS), KEYS, "left").withColumn("passed", passes(F.col("review"))))
+        shown = F.when(F.col("passed"), choice_letters(F.col("answer"))).otherwise(F.col("answer")) if choice else F.col("answer")
+        log = held(log.unionByName(reviewed.select(*KEYS, "pos", shown.alias("answer"), F.when(F.col("came"), F.coalesce("review", F.lit(""))).alias("review"), "passed", F.lit(turn).alias("round"))))
+        reason = F.coalesce(F.nullif(strip(F.col("review")), F.lit("")), F.lit(NO_REASON))
+        after = waiting.unionByName(reviewed.filter("came and not passed").withColumn("feedback", reason).select(pending.columns))
         if choice:
-            outcome = outcome.withColumn("answer", F.when(F.col("passed"), choice_letters(F.col("answer"))).otherwise(F.col("answer")))
-        log = held(log.unionByName(outcome))
-        failed = reviewed.filter("review is not null and not passed").select("qid", "pos", "question", "context", F.col("review").alias("feedback"))
-        if choice:
-            blank = reviewed.filter(F.col("passed") & (choice_letters(F.col("answer")) == "")).select(pending.columns)
-            missing = given.filter("answer is null").select(pending.columns)
-            failed = failed.unionByName(blank).unionByName(missing)
+            after = after.unionByName(reviewed.filter(F.col("passed") & (choice_letters(F.col("answer")) == "")).select(pending.columns))
+            after = after.unionByName(given.filter("answer is null").select(pending.columns))
         else:
-            seen = reviewed.filter("review is not null").select("qid", "pos", "answer", F.lit(turn).alias("round"))
-            after = held(longest_first(best.unionByName(seen), ["qid"], "answer", "round"))
-            grown = after.filter(F.col("round") == turn).limit(1).count()
-            best, still = after, 0 if grown else still + 1
-        pending = held(failed)
-        if not choice and still >= patience:
-            forced = True
-            break
+            seen = reviewed.filter("came").select(*KEYS, "pos", "answer", F.lit(turn).alias("round"))
+            best = held(longest_first(best.unionByName(seen), KEYS, "answer", "round"))
+            grown = best.filter(F.col("round") == turn).select("doc_id").distinct().withColumn("grown", F.lit(True))
+            counted = F.when(F.col("grown"), 0).otherwise(F.coalesce("still", F.lit(0)) + 1)
+            now = heard.join(still, "doc_id", "left").join(grown, "doc_id", "left").select("doc_id", counted.alias("still"))
+            still = held(now.unionByName(still.join(heard, "doc_id", "left_anti")))
+            done = held(done.union(still.filter(F.col("still") >= patience).select("doc_id")).distinct())
+            after = after.join(done, "doc_id", "left_anti")
+        pending = held(after)
     usable = log.filter(F.col("passed") & ((F.col("answer") != "") if choice else F.lit(True)))
-    accepted = usable.groupBy("qid").agg(F.max_by("answer", "round").alias("answer")).withColumn("status", F.lit("passed"))
-    if forced:
-        accepted = accepted.unionByName(best.join(accepted, "qid", "left_anti").select("qid", "answer", F.lit("longest").alias("status")))
-    unreviewed = log.filter("review is null").select("qid").distinct().withColumn("unreviewed", F.lit(True))
-    final = final_answers(questions.select("qid", "pos", "question").join(accepted.select("qid", "status"), "qid", "left"), accepted, ("qid",), "" if choice else NO_ANSWER)
+    accepted = usable.groupBy(*KEYS).agg(F.max_by("answer", "round").alias("answer")).withColumn("status", F.lit("passed"))
+    forced = force_longest(best.join(done, "doc_id", "left_semi"), accepted, KEYS)
+    accepted = held(accepted.unionByName(forced.select(*KEYS, "answer", F.lit("longest").alias("status"))))
+    unreviewed = log.filter("review is null").select(*KEYS).distinct().withColumn("unreviewed", F.lit(True))
+    final = final_answers(every.select(*KEYS, "pos", "question").join(accepted.select(*KEYS, "status"), KEYS, "left"), accepted, tuple(KEYS), "" if choice else NO_ANSWER, order=("doc_id", "pos"))
     status = F.coalesce("status", F.when(F.col("unreviewed"), "unreviewed"), F.lit("open"))
-    return {"answers": held(final.join(unreviewed, "qid", "left").select("qid", "pos", F.col("question").alias("title"), "answer", status.alias("status"))), "log": log}
+    return {"answers": held(final.join(unreviewed, KEYS, "left").select(*KEYS, "pos", F.col("question").alias("title"), "answer", status.alias("status"))).orderBy("doc_id", "pos"), "log": log}
+
+
+def vectors_of(found: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(doc_id, ans): each document's answers as a vector; ids out of range are left out, the later of two stays."""
+    return choice_vector(found.filter("answer <> ''"), ["doc_id"], "qid", "answer", "pos", slots)
 
 
 def vector_of(found: DataFrame, slots: int = SLOTS) -> list[str]:
-    """The answers of one document as a vector; ids out of range are left out, the later of two stays."""
-    rows = found.withColumn("slot", slot(F.col("qid"), slots)).filter("slot is not null and answer <> ''").groupBy("slot").agg(F.max_by("answer", "pos").alias("answer")).collect()
-    vector = [""] * slots
-    for row in rows:
-        vector[row.slot] = row.answer
-    return vector
+    """The vector of the only document of ``found``."""
+    row = vectors_of(found, slots).first()
+    return row.ans if row else [""] * slots

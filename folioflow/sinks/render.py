@@ -1,12 +1,19 @@
-"""Rendering contexts to text, and to DOCX where a template library is installed."""
+"""Rendering contexts to text and to DOCX files."""
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from datetime import UTC, datetime
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.markdown import blocks
-from folioflow.functions.text import safe_name
+from folioflow.functions.text import NO_TITLE, safe_name
+from folioflow.sinks.docx import docx
 
 
 def rendered(context: Column) -> Column:
@@ -20,12 +27,46 @@ def rendered(context: Column) -> Column:
 
 def write_documents(contexts: DataFrame, path: str, mode: str = "error") -> None:
     """(doc_id, file_name, text) as Parquet; Spark's commit stands for the retries a plain file needs."""
-    name = safe_name(F.coalesce(F.col("context.homework_name"), F.lit("document")))
+    name = safe_name(F.coalesce(F.col("context.homework_name"), F.lit(NO_TITLE)))
     contexts.select("doc_id", name.alias("file_name"), rendered(F.col("context")).alias("text")).write.mode(mode).parquet(path)
 
 
+def docx_files(contexts: DataFrame) -> DataFrame:
+    """(doc_id, file_name, content): each context (doc_id, context) as a DOCX file, with its answers' tables as tables."""
+    told = F.transform("context.questions", lambda q: F.struct(F.concat_ws(". ", q["index"], q["title"]).alias("title"), blocks(q["answer"]).alias("blocks")))
+    choices = F.filter(F.transform("context.ans", lambda a, i: F.when(a != "", F.concat_ws(". ", i + 1, a))), lambda x: x.isNotNull())
+    name = F.coalesce("context.homework_name", F.lit(NO_TITLE))
+    lines = F.filter(F.array(F.concat_ws(" ", "context.class_name", "context.student_id", "context.name")), lambda x: x != "")
+    rows = contexts.select("doc_id", safe_name(name).alias("file_name"), name.alias("title"), lines.alias("lines"), choices.alias("choices"), told.alias("questions"), F.split(F.coalesce("context.links", F.lit("")), "\n").alias("links"))
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            made = [docx(r["title"], r["lines"], r["choices"], r["questions"], [x for x in r["links"] if x]) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["doc_id", "file_name", "content"])
+
+    return rows.mapInArrow(run, "doc_id string, file_name string, content binary")
+
+
+def save_files(files: DataFrame, folder: str, path_col: str = "path", overwrite: bool = True) -> None:
+    """Writes each row's ``content`` as a file below ``folder``, which every executor must see under that path. A file is
+    written beside its place and moved there, so none is ever half written; with ``overwrite=False`` one that is there stays, and the
+    new one has the time in its name."""
+
+    def run(rows) -> None:
+        for row in rows:
+            target = Path(folder) / row[path_col]
+            target.parent.mkdir(parents=True, exist_ok=True)
+            if target.exists() and not overwrite:
+                target = target.with_name(f"{target.stem}_{datetime.now(UTC):%Y%m%d_%H%M%S}{target.suffix}")
+            beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
+            beside.write_bytes(row["content"])
+            beside.replace(target)
+
+    files.select(path_col, "content").foreachPartition(run)
+
+
 def write_docx(context: dict, template: str, target: str) -> str:
-    """One document through ``docxtpl``; a driver-side convenience for single files, which needs that library."""
+    """One document through a template and ``docxtpl``, where that library is installed; ``docx_files`` needs neither."""
     from docxtpl import DocxTemplate
 
     document = DocxTemplate(template)

@@ -9,28 +9,61 @@ from __future__ import annotations
 import ast
 import json
 import operator
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.operators.references import HITS, top_hits
+from folioflow.operators.references import HITS, most_shared
 
-#: (qid, prompt, round) -> (reply), one reply for a whole round; and (qid, prompt, round) -> (qid, review).
+#: (doc_id, prompt, parts, ids, round) -> (doc_id, reply), one reply for all pending questions of a document.
 Solver = Callable[[DataFrame], DataFrame]
+#: (doc_id, qid, answer, prompt, parts, round) -> (doc_id, qid, review); no row where a call failed.
 Reviewer = Callable[[DataFrame], DataFrame]
 
 
-def corpus_search(questions: DataFrame, corpus: DataFrame, keys: list[str], k: int = HITS) -> DataFrame:
-    """(keys, rank, title, content): the documents of ``corpus`` (title, content) that share most words with each question (keys, query).
+def offline_solver(requests: DataFrame) -> DataFrame:
+    """For trial runs: ``A`` for every item, which is a choice and a text."""
+    items = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit("").alias("analysis"), F.lit("A").alias("answer")))
+    return requests.select("doc_id", F.to_json(F.struct(items.alias("results"), items.alias("answers"))).alias("reply"))
+
+
+def offline_reviewer(requests: DataFrame) -> DataFrame:
+    """For trial runs: passes whatever isn't empty."""
+    return requests.select("doc_id", "qid", F.when(F.col("answer") != "", "PASS").otherwise("empty").alias("review"))
+
+
+def called(requests: DataFrame, connect: Callable[[], Callable[[dict], str | None]], keys: str, reply: str = "reply") -> DataFrame:
+    """(keys, ``reply``): a model's replies. ``connect`` makes one client per partition, on the executor; it is called with each
+    request as a dictionary. A call that fails gives no row."""
+    names = [x.split()[0] for x in keys.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        client = None
+        for batch in batches:
+            client = client or connect()
+            rows = []
+            for request in batch.to_pylist():
+                try:
+                    rows.append({k: request[k] for k in names} | {reply: client(request)})
+                except Exception:  # noqa: BLE001  a call that failed after all attempts
+                    continue
+            made = {n: [r[n] for r in rows] for n in (*names, reply)}
+            yield pa.RecordBatch.from_pydict(made, schema=pa.schema([pa.field(n, pa.string()) for n in (*names, reply)]))
 
-    Words meet in an equi-join, so no question meets a document with which it shares nothing.
-    """
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\p{Alnum}]+"), lambda x: F.length(x) > 2))
-    asked = questions.select(*keys, F.explode(words(F.col("query"))).alias("word"))
-    held = corpus.select("title", "content", F.explode(words(F.col("content"))).alias("word"))
-    shared = asked.join(held, "word").groupBy(*keys, "title", "content").agg(F.count("*").alias("n"))
-    return top_hits(shared, keys, [F.desc("n"), "title", "content"], k).select(*keys, "rank", "title", "content")
+    return requests.mapInArrow(run, f"{keys}, {reply} string")
+
+
+def words(text) -> Column:
+    """The distinct lower-cased words of a text, of any length."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{Alnum}]+"), lambda x: x != ""))
+
+
+def corpus_search(questions: DataFrame, corpus: DataFrame, keys: list[str], k: int = HITS) -> DataFrame:
+    """(keys, rank, title, content): the documents of ``corpus`` (title, content) that share most words with each question (keys, query); of equal ones the first by title."""
+    return most_shared(questions.select(*keys, words(F.col("query")).alias("words")), corpus.select(F.col("title").cast("string"), "content", words(F.col("content")).alias("words")), keys, ["title", "content"], k)
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg}
@@ -70,7 +103,7 @@ def use_tool(name: str, arguments: str) -> str:
         return f"failure: {e}"
 
 
-def converse(call: Callable[[list[dict]], dict], messages: list[dict], turns: int = 10, attempts: int = 5, wait: Callable[[float], None] = lambda s: None) -> dict:
+def converse(call: Callable[[list[dict]], dict], messages: list[dict], turns: int = 10, attempts: int = 5, wait: Callable[[float], None] = time.sleep) -> dict:
     """A model call with tools: at most ``turns`` turns, each tried ``attempts`` times on connection errors with growing waits. The history is copied."""
     history, reply = list(messages), {}
     for _ in range(turns):

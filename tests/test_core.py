@@ -137,16 +137,17 @@ def test_merge_down():
 
 
 def _solver(texts):
-    def run(pending):
-        return pending.groupBy().agg(F.to_json(F.collect_list(F.struct(F.col("qid").alias("id"), F.lit(texts).alias("answer")))).alias("reply"))
+    def run(requests):
+        items = F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(texts).alias("answer")))
+        return requests.select("doc_id", F.to_json(items).alias("reply"))
 
     return run
 
 
-@pytest.mark.parametrize(("review", "status"), [("PASS", "passed"), ("wrong", "open"), (None, "unreviewed")])
+@pytest.mark.parametrize(("review", "status"), [("PASS", "passed"), ("wrong", "open"), (None, "open"), (" ", "open"), ("no row", "unreviewed")])
 def test_choice_rounds(spark, review, status):
     questions = spark.createDataFrame([("1", 0, "q", "c")], "qid string, pos int, question string, context string")
-    got = solve(questions, _solver("b"), lambda asked: asked.select("qid", F.lit(review).cast("string").alias("review")), choice=True, rounds=2)
+    got = solve(questions, _solver("b"), lambda asked: asked.select("qid", F.lit(review).cast("string").alias("review")).filter(F.lit(review != "no row")), choice=True, rounds=2)
     row = got["answers"].first()
     assert row.status == status and row.answer == ("B" if status == "passed" else "")
     assert vector_of(got["answers"])[0] == row.answer
