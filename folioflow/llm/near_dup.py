@@ -37,8 +37,8 @@ CHUNK = SYMBOLS // CHUNKS
 MAX_DISTANCE = CHUNKS * (CHUNK_ERRORS + 1) - 1
 #: The method's distance: pairs that met are compared on full sets up to it (a pair at 0.85 is beyond it once in 10 million, one at 0.80 once in a million).
 SCREEN_DISTANCE = 21
-#: A cell holds about so many members of a key, and so many shingles, on each side; a key of some hundred members is dealt into ``SPLIT`` blocks too, so its cells are spread.
-CELL, CELL_SHINGLES, SPLIT = 2000, 2_000_000, 8
+#: A cell holds about so many members of a key, and so many shingles, on each side.
+CELL, CELL_SHINGLES = 2000, 2_000_000
 #: Rounds of comparisons with drawn members.
 ROUNDS = 2
 #: Counts so near the threshold are taken again on the shingles themselves.
@@ -336,7 +336,7 @@ def cell_pairs(scratch: Scratch, members: DataFrame, classes: DataFrame, docs: D
     """
     about = scratch.cut(classes.select("id", "n_shingles", "sig", "same").join(members.select("id").distinct(), "id", "left_semi"), "left-over-classes")
     sized = scratch.cut(members.join(about.groupBy("id").agg(F.max("n_shingles").alias("size")), "id"), "sized")
-    many = F.greatest(F.count(F.lit(1)) / cell, F.sum("size") / CELL_SHINGLES, F.least(F.count(F.lit(1)) * SPLIT / cell, F.lit(SPLIT)))
+    many = F.greatest(F.count(F.lit(1)) / cell, F.sum("size") / CELL_SHINGLES)
     blocks = scratch.cut(sized.groupBy("key").agg(F.ceil(many).cast("int").alias("blocks")), "blocks")
     dealt = sized.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
