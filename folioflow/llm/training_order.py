@@ -117,13 +117,15 @@ def materialise(docs: DataFrame, path: str, text_col: str = "text", key: int = K
         p, packer = TaskContext.get().partitionId(), _Packer()
         number, end = (int(sent.value[min(k, len(sent.value) - 1)]) for k in (p, p + 1))
         for bodies in itertools.chain((packer.add(x.as_py() for x in batch.column(0).cast(pa.large_binary())) for batch in batches), (packer.last() for _ in range(1))):
+            if number + len(bodies) > end:  # a number outside the permutation has no slot
+                raise RuntimeError(f"partition {p} goes on to sequence {number + len(bodies)}, it was counted to end at sequence {end}")
             slots = order.slots(np.arange(number, number + len(bodies))) if bodies else np.empty(0, np.int64)
             number += len(bodies)
             for at in range(0, len(bodies), 8192):
                 part = slots[at : at + 8192]
                 yield pa.RecordBatch.from_arrays([pa.array((part // per_shard).astype(np.int32)), pa.array(part), pa.array(bodies[at : at + 8192], pa.binary())], ["shard", "slot", "value"])
         if number != end:
-            raise RuntimeError(f"partition {p} now ends at sequence {number}, it was counted to end at {end}")
+            raise RuntimeError(f"partition {p} ends at sequence {number}, it was counted to end at sequence {end}")
 
     rows = texts.mapInArrow(run, "shard int, slot long, value binary")
     dealt = rows.repartitionById(shards, F.col("shard")) if hasattr(rows, "repartitionById") else rows.repartition(shards, "shard")
