@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.common import Scratch, table
 
 #: Most words with a vector of their own, vectors that all other words share, vectors of shapes; together fewer than 65,536.
-VOCABULARY, REST, SHAPES = 1 << 15, 1 << 13, 1 << 10
+VOCABULARY, REST, SHAPES = 1 << 15, 1 << 13, 1 << 9
 ROWS = VOCABULARY + REST + SHAPES
 #: Longer words (in bytes) have no vector of their own, so the vocabulary's size is bounded.
 LONGEST_WORD = 64
@@ -32,7 +32,7 @@ DIM, NONZERO, WINDOW = 64, 4, 2
 #: Frequencies are told apart in so many steps for each doubling.
 STEPS = 8
 #: Words that are worked on at once.
-AT_ONCE = 200_000
+AT_ONCE = 400_000
 #: Labelled rows that the network may learn from, those with the smallest hashes.
 SAMPLE = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 256, 0.01, 1e-4
@@ -40,14 +40,13 @@ PREDICT_FROM = 0.7
 HELD_OUT = 2
 FEATURES = 4 * DIM + 3
 _WORDS_HELD = 300_000
-_RUNS = (re.compile(rb"[A-Z]+"), re.compile(rb"[a-z]+"), re.compile(rb"[0-9]+"), re.compile(rb"[\x80-\xff]+"), re.compile(rb"([^Aa0\x80])\1+"))
+_KINDS = bytes(ord("A") if 65 <= c <= 90 else ord("a") if 97 <= c <= 122 or c > 127 else ord("0") if 48 <= c <= 57 else c for c in range(256))
+_RUN = re.compile(rb"(?s)(.)\1+")
 
 
 def shape(word: bytes) -> bytes:
     """The kinds of a word's characters, runs as one: ``Word!!`` has the shape ``Aa!``."""
-    for pattern, mark in zip(_RUNS, (b"A", b"a", b"0", b"a", rb"\1"), strict=True):
-        word = pattern.sub(mark, word)
-    return word
+    return _RUN.sub(rb"\1", word.translate(_KINDS))
 
 
 class _Words(dict):
@@ -147,24 +146,34 @@ def vocabulary(scratch: Scratch, docs: DataFrame, text_col: str = "text") -> lis
     return sorted(bytes(r.word) for r in rows)
 
 
-def neighbour_sums(own: np.ndarray, like: np.ndarray, sizes: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
-    """Adds to ``total`` the index vectors of the neighbours within ``WINDOW`` of each word, by the word's row and by its shape's."""
-    text = np.repeat(np.arange(len(sizes)), sizes)
+def neighbour_sums(own: np.ndarray, like: np.ndarray, sizes: np.ndarray, index: np.ndarray, total: np.ndarray, shapes: np.ndarray) -> None:
+    """Adds to ``total`` the index vectors of the neighbours within ``WINDOW`` of each word and of their shapes, by the word's row, and to ``shapes`` how often two shapes are neighbours."""
+    place = np.arange(len(own)) + WINDOW * np.repeat(np.arange(len(sizes)), sizes)  # texts with empty places between them
+    first_shape = ROWS - SHAPES
     for start in range(0, len(own), AT_ONCE):  # a long text takes several turns
         low, high = max(0, start - WINDOW), min(len(own), start + AT_ONCE + WINDOW)
-        here, inner = text[low:high], slice(start - low, min(len(own), start + AT_ONCE) - low)
-        shapes = index[like[low:high]]
-        for target, context in ((own, shapes + index[own[low:high]]), (like, shapes)):
-            around = np.zeros(context.shape, np.int8)
-            for step in range(1, WINDOW + 1):
-                near = (here[step:] == here[:-step])[:, None]
-                around[step:] += context[:-step] * near
-                around[:-step] += context[step:] * near
-            rows = target[low:high][inner]
-            order = np.argsort(rows, kind="stable")
-            ranked = rows[order]
-            first = np.flatnonzero(np.diff(ranked, prepend=ranked[:1] + 1))
-            total[ranked[first]] += np.add.reduceat(around[inner][order], first, axis=0, dtype=np.int64)
+        at = place[low:high] - place[low] + WINDOW
+        context = np.zeros((at[-1] + WINDOW + 1, DIM), np.int8)
+        context[at] = index[own[low:high]] + index[like[low:high]]
+        around, kinds = np.zeros_like(context), np.full(len(context), SHAPES, np.int64)
+        kinds[at] = like[low:high].astype(np.int64) - first_shape
+        inner = slice(start - low, min(len(own), start + AT_ONCE) - low)
+        here = at[inner]
+        for step in range(1, WINDOW + 1):
+            around[step:] += context[:-step]
+            around[:-step] += context[step:]
+            for other in (here - step, here + step):
+                shapes += np.bincount(kinds[here] * (SHAPES + 1) + kinds[other], minlength=shapes.size)
+        rows, columns = own[low:high][inner], np.ascontiguousarray(around[here].T)
+        for d in range(DIM):
+            total[d] += np.bincount(rows, columns[d], ROWS)  # whole numbers, exact in doubles
+
+
+def with_shapes(total: np.ndarray, shapes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """A row of sums for each row of ``index``: those of ``total`` (a column each), and for the shapes the index vectors of the shapes that are their neighbours."""
+    total = total.T.astype(np.int64)
+    total[ROWS - SHAPES :] = shapes.reshape(SHAPES + 1, SHAPES + 1)[:SHAPES, :SHAPES] @ index[ROWS - SHAPES :].astype(np.int64)
+    return total
 
 
 def word_vectors(docs: DataFrame, words: list[bytes], text_col: str = "text") -> np.ndarray:
@@ -172,10 +181,12 @@ def word_vectors(docs: DataFrame, words: list[bytes], text_col: str = "text") ->
     sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def count(batches: Iterator[pa.RecordBatch]):
-        known, index, total = _Words(sent.value), index_vectors(), np.zeros((ROWS, DIM), np.int64)
+        known, index, total, shapes = _Words(sent.value), index_vectors(), np.zeros((DIM, ROWS)), np.zeros((SHAPES + 1) ** 2, np.int64)
         for batch in batches:
             for own, like, sizes in _rows_of(_texts(batch, 0), known):
-                neighbour_sums(own, like, sizes, index, total)
+                if len(own):
+                    neighbour_sums(own, like, sizes, index, total, shapes)
+        total = with_shapes(total, shapes, index)
         met = np.flatnonzero(total.any(axis=1))
         for part in np.array_split(met, max(1, len(met) // 8192)):
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([_packed(x) for x in total[part]], pa.binary())], ["row", "sums"])
@@ -207,30 +218,30 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(data, f"<i{len(data) // DIM}").astype(np.int64)
 
 
-def _summed(values: np.ndarray, rows: np.ndarray, text: np.ndarray, n: int, square: bool = False) -> np.ndarray:
-    """For each of ``n`` texts the sum of ``values[rows]`` over its places; ``text`` is sorted."""
-    made = np.zeros((n, values.shape[1]))
-    for start in range(0, len(rows), AT_ONCE):
-        here = text[start : start + AT_ONCE]
-        first = np.flatnonzero(np.diff(here, prepend=-1))
-        x = values[rows[start : start + AT_ONCE]]
-        made[here[first]] += np.add.reduceat(x * x if square else x, first, axis=0, dtype=np.float64)
-    return made
+def _distinct(rows: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows of each of ``n`` texts in order, how often each stands there, and where each text's begin."""
+    keys = np.sort(text << 16 | rows)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    keys = keys[first]
+    return keys & 0xFFFF, np.diff(np.append(first, len(rows))), np.searchsorted(keys, np.arange(n + 1) << 16)
 
 
 def pooled_rows(own: np.ndarray, like: np.ndarray, sizes: np.ndarray, v: np.ndarray) -> np.ndarray:
     """For each text: mean vector of its words, of their shapes, of its distinct words, spread of the shapes, and three counts."""
     n = len(sizes)
-    x = np.zeros((n, FEATURES))
+    x = np.zeros((n, FEATURES), np.float32)
     text = np.repeat(np.arange(n), sizes)
-    words = np.maximum(sizes, 1)[:, None]
-    distinct, kinds = (np.unique(text << 16 | rows) for rows in (own, like))
-    of_words, of_kinds = (np.bincount(k >> 16, minlength=n) for k in (distinct, kinds))
-    shapes = _summed(v, like, text, n) / words
-    x[:, :DIM], x[:, DIM : 2 * DIM] = _summed(v, own, text, n) / words, shapes
-    x[:, 2 * DIM : 3 * DIM] = _summed(v, (distinct & 0xFFFF).astype(np.uint16), distinct >> 16, n) / np.maximum(of_words, 1)[:, None]
-    x[:, 3 * DIM : 4 * DIM] = np.sqrt(np.maximum(_summed(v, like, text, n, square=True) / words - shapes**2, 0))
-    x[:, -3], x[:, -2], x[:, -1] = np.log1p(sizes) / 8, of_words / words[:, 0], of_kinds / words[:, 0]
+    words, often, begin = _distinct(own, text, n)
+    kinds, of_kinds, kinds_begin = _distinct(like, text, n)
+    for i in np.flatnonzero(sizes):
+        a, b, c, d = begin[i], begin[i + 1], kinds_begin[i], kinds_begin[i + 1]
+        shares = np.stack([often[a:b] / sizes[i], np.full(b - a, 1 / (b - a))]).astype(np.float32)
+        x[i, :DIM], x[i, 2 * DIM : 3 * DIM] = shares @ v[words[a:b]]
+        share, shapes = (of_kinds[c:d] / sizes[i]).astype(np.float32), v[kinds[c:d]]
+        mean = share @ shapes
+        x[i, DIM : 2 * DIM], x[i, 3 * DIM : 4 * DIM] = mean, np.sqrt(np.maximum(share @ shapes**2 - mean**2, 0))
+    some = np.maximum(sizes, 1)
+    x[:, -3], x[:, -2], x[:, -1] = np.log1p(sizes) / 8, np.diff(begin) / some, np.diff(kinds_begin) / some
     return x
 
 

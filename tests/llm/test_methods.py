@@ -259,19 +259,28 @@ def test_vocabulary_and_vectors_against_loops(spark):
     assert known[b"a"] & 0xFFFF == 0 and known[b"C"] & 0xFFFF == 2 and known[b"rare1"] & 0xFFFF >= quality_model.VOCABULARY
 
 
-def test_pooling_in_turns(monkeypatch):
+def test_sums_in_turns_and_pooling(monkeypatch):
+    """Turns of a long text give the sums of one; pooled numbers are those of each text by itself."""
     rng = np.random.Generator(np.random.PCG64(3))
     sizes = np.array([0, 5, 40, 0, 1, 17])
-    own, like = (rng.integers(0, 9, sizes.sum()).astype(np.uint16) for _ in range(2))
-    v = rng.normal(0, 1, (9, quality_model.DIM)).astype(np.float32)
-    whole = quality_model.pooled_rows(own, like, sizes, v)
-    totals = [np.zeros((9, quality_model.DIM), np.int64) for _ in range(2)]
-    index = rng.integers(-1, 2, (9, quality_model.DIM)).astype(np.int8)
-    quality_model.neighbour_sums(own, like, sizes, index, totals[0])
-    monkeypatch.setattr(quality_model, "AT_ONCE", 7)
-    assert np.allclose(quality_model.pooled_rows(own, like, sizes, v), whole) and not whole[0].any()
-    quality_model.neighbour_sums(own, like, sizes, index, totals[1])
-    assert (totals[0] == totals[1]).all()
+    own, like = rng.integers(0, 9, sizes.sum()).astype(np.uint16), (quality_model.ROWS - 1 - rng.integers(0, 9, sizes.sum())).astype(np.uint16)
+    index, found = quality_model.index_vectors(), []
+    for at_once in (200_000, 7, 3, 1):
+        monkeypatch.setattr(quality_model, "AT_ONCE", at_once)
+        total, shapes = np.zeros((quality_model.DIM, quality_model.ROWS)), np.zeros((quality_model.SHAPES + 1) ** 2, np.int64)
+        quality_model.neighbour_sums(own, like, sizes, index, total, shapes)
+        found.append(quality_model.with_shapes(total, shapes, index))
+    assert all((x == found[0]).all() for x in found) and found[0].any()
+    v = rng.normal(0, 1, (quality_model.ROWS, quality_model.DIM)).astype(np.float32)
+    whole, starts, d = quality_model.pooled_rows(own, like, sizes, v), np.concatenate([[0], np.cumsum(sizes)]), quality_model.DIM
+    for i, n in enumerate(sizes):
+        a, b = own[starts[i] : starts[i + 1]], like[starts[i] : starts[i + 1]]
+        if n:
+            expected = [v[a].mean(axis=0), v[b].mean(axis=0), v[np.unique(a)].mean(axis=0), v[b].std(axis=0), [np.log1p(n) / 8, len(set(a)) / n, len(set(b)) / n]]
+            assert np.allclose(whole[i], np.concatenate(expected), atol=1e-3) and len(whole[i]) == 4 * d + 3
+            assert (quality_model.pooled_rows(a, b, sizes[i : i + 1], v)[0] == whole[i]).all()
+        else:
+            assert not whole[i].any()
 
 
 # Top-k
