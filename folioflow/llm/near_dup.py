@@ -123,6 +123,9 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, sig binary")
 
 
+_NO_KEY = -(2**63)
+
+
 def hot_bound(total: int) -> int:
     return max(HOT_LEAST, total // HOT_SHARE)
 
@@ -135,9 +138,13 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFra
     """
     bound, more = hot_bound(total), [c for c in right.columns if c not in (key, "n")]
     side = lambda rows, name: rows.select(F.col(key).alias(f"__{name}_key"), F.struct(*more).alias(f"__{name}"))
-    marked = left.join(F.broadcast(side(right.filter(F.col("n") >= bound), "hot")), F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
+    is_hot = (F.col("n") >= bound) & (F.col(key) != _NO_KEY)
+    hot = side(right.filter(is_hot), "hot")
+    # One row that tells nothing, so that the plan is the same whether there are frequent keys or not.
+    hot = hot.unionByName(left.sparkSession.range(1).select(F.lit(_NO_KEY).alias("__hot_key"), F.lit(None).cast(hot.schema["__hot"].dataType).alias("__hot")))
+    marked = left.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
     spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*left.columns, F.lit("hot"))).otherwise(F.col(key))
-    joined = marked.withColumn("__key", spread).join(side(right.filter(F.col("n") < bound), "cold"), F.col("__key") == F.col("__cold_key"), "left")
+    joined = marked.withColumn("__key", spread).join(side(right.filter(~is_hot), "cold"), F.col("__key") == F.col("__cold_key"), "left")
     found = joined.withColumn("__found", F.coalesce("__hot", "__cold")).filter("__found is not null")
     return found.select(*left.columns, *(F.col(f"__found.{c}").alias(c) for c in more))
 
