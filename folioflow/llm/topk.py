@@ -113,7 +113,7 @@ def blocks_of(numbers: DataFrame, centres: np.ndarray, size: int = BLOCK) -> Dat
                 for stop in [*(np.flatnonzero(np.diff(like[rows])) + 1), len(rows)]:
                     while at < stop:
                         own = like[rows[at]]
-                        if dim in held and held[dim][0] != own:
+                        if dim in held and held[dim][0] != own and 4 * len(held[dim][1]) >= size:  # a few rows of a centre alone make no block
                             made.append(block(*held.pop(dim)[1:]))
                         _, old_ids, old = held.pop(dim, (own, np.empty(0, np.int64), np.empty((0, dim))))
                         end = min(stop, at + size - len(old))
