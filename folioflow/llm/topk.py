@@ -40,10 +40,10 @@ def usable(vector: Column) -> Column:
 def whole_numbers(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
     """``vec_id`` and ``v``, floor(scale * x) as doubles (exact, as doubles hold them); rows without an id or with an unusable vector take no part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("raw"))
-    return rows.filter(F.col("vec_id").isNotNull() & usable(F.col("raw"))).select("vec_id", F.transform("raw", lambda x: _floor(x * F.lit(float(scale)))).alias("v"))
+    return rows.filter(F.col("vec_id").isNotNull() & usable(F.col("raw"))).select("vec_id", F.transform("raw", lambda x: floored(x * F.lit(float(scale)))).alias("v"))
 
 
-def _floor(x: Column) -> Column:
+def floored(x: Column) -> Column:
     """As ``floor``, but a double beyond the longs stays itself (it has no fraction)."""
     return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
 
