@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.llm import infilling, licenses, mixing, near_dup, negatives, pieces, quality_model, quality_rules, secrets, topk, training_order, warc
+from folioflow.llm import infilling, licenses, mixing, near_dup, negatives, pieces, quality_model, quality_rules, secrets, topk, toxicity, training_order, warc
 
 QUERIES = {
     f.__name__: f
     for f in (
         warc.op1_warc, training_order.op2_training_order, licenses.op3_licenses, pieces.op4_pieces, quality_rules.op5_quality_rules,
         quality_model.op6_quality_model, secrets.op7_secrets, mixing.op8_mixing, topk.op9_topk, near_dup.op10_near_dup,
-        negatives.op11_negatives, infilling.op13_infilling,
+        negatives.op11_negatives, toxicity.op12_toxicity, infilling.op13_infilling,
     )
 }
 
