@@ -16,6 +16,7 @@ positives opened. Both see every pair: the work is anchors x rows, as the querie
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,30 @@ from folioflow.llm.common import Scratch, table
 from folioflow.llm.topk import floored, products, usable
 
 SCALE, EVERY, POSITIVES, NEGATIVES = 256, 50, 5, 3
-#: Rows of a panel of anchors and of a shard, components of a chunk, and chunks at most (longer vectors have wider ones).
-PANEL, SHARD, CHUNK, CHUNKS = 512, 2048, 32, 16
-#: Cells along each side of the grid at most: so often is an operand copied.
-LANES = 32
 #: A negative scores from ``LOW`` to ``HIGH`` parts of ``WHOLE`` of the positive's score.
 LOW, HIGH, WHOLE = 50, 95, 100
-_LIMIT = 2**62
+_LIMIT = 2**58
 BLOCK = "dim int, block long, chunk int, labels binary, ids binary, part binary"
 TILE = "dim int, panel long, shard long, chunk int, tile binary, a_ids binary, a_labels binary, b_ids binary, b_labels binary, windows binary"
 FOUND = "dim int, panel long, row int, anchor_id long, vec_id long, score long"
 MINED = "dim int, panel long, row int, turn int, anchor_id long, positive_id long, positive_score long, negative_id long, negative_score long"
+
+
+@dataclass(frozen=True)
+class Grid:
+    """Rows of a panel of anchors and of a shard, components of a chunk, chunks at most (longer vectors have wider ones), and
+    cells along each side of the grid at most: so often is an operand copied."""
+
+    panel: int = 512
+    shard: int = 2048
+    chunk: int = 32
+    chunks: int = 16
+    lanes: int = 32
+
+    def width(self, dim: int) -> int:
+        return max(self.chunk, -(-dim // self.chunks))
+
+
 _WINDOWS = np.dtype([("row", "<i4"), ("turn", "<i4"), ("id", "<i8"), ("score", "<i8")])
 
 
@@ -49,7 +63,7 @@ def numbered(vectors: DataFrame, id_col: str, vector_col: str, label: Column, sc
     return there.select("vec_id", "label", whole.alias("v"), F.xxhash64("vec_id", F.monotonically_increasing_id()).alias("turn"))
 
 
-def blocks_of(rows: DataFrame, blocks: int) -> DataFrame:
+def blocks_of(rows: DataFrame, blocks: int, grid: Grid) -> DataFrame:
     """``BLOCK``: rows of one length dealt into ``blocks``, a row for each chunk of their components; ids stand with the first chunk."""
 
     def cut(held: pa.Table) -> pa.Table:
@@ -58,7 +72,7 @@ def blocks_of(rows: DataFrame, blocks: int) -> DataFrame:
         dim, n = held.column("dim")[0].as_py(), held.num_rows
         x = held.column("v").chunk(0).flatten().to_numpy(zero_copy_only=False).reshape(n, dim)
         kind = "<i4" if not x.size or np.abs(x).max() < 2**31 else "<f8"
-        width = max(CHUNK, -(-dim // CHUNKS))
+        width = grid.width(dim)
         labels, ids = (column(c).astype("<i8").tobytes() for c in ("label", "vec_id"))
         made = [(dim, column("block")[0], k, labels, ids if k == 0 else None, x[:, at : at + width].astype(kind).tobytes()) for k, at in enumerate(range(0, max(dim, 1), width))]
         types = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
@@ -76,21 +90,26 @@ def pairs(a_labels: np.ndarray, b_labels: np.ndarray, same: bool) -> Iterator[tu
 
 
 def packed(tile: np.ndarray) -> bytes:
-    """Whole numbers with the sign as the last bit, in the fewest bytes of 1, 2, 4 or 8 that hold them all, the width first."""
+    """Whole numbers with the sign as the last bit, in the fewest bytes of 1, 2, 4 or 8 that hold them all, the width first.
+
+    All lowest bytes come first, then the next ones: a tile's few large numbers leave runs of zeros that the shuffle packs away.
+    """
     folded = ((tile << 1) ^ (tile >> 63)).astype(np.uint64)
     most = int(folded.max(initial=0))
     width = next(w for w in (1, 2, 4, 8) if most < 1 << 8 * w)
-    return bytes([width]) + folded.astype(f"<u{width}").tobytes()
+    return bytes([width]) + folded.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    folded = np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.uint64)
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    folded = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.uint64)
     return (folded >> np.uint64(1)).astype(np.int64) ^ -(folded & np.uint64(1)).astype(np.int64)
 
 
-def tiles(anchors: DataFrame, rows: DataFrame, panels: int, shards: int, same: bool) -> DataFrame:
+def tiles(anchors: DataFrame, rows: DataFrame, panels: int, shards: int, same: bool, grid: Grid) -> DataFrame:
     """``TILE``: the partial scores of each pair of a panel and a shard in each chunk; ids and windows go with the first chunk."""
-    across, along = min(panels, LANES), min(shards, LANES)
+    across, along = min(panels, grid.lanes), min(shards, grid.lanes)
     windows = F.col("windows") if "windows" in anchors.columns else F.lit(None).cast("binary")
     lanes = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     side = lambda df, kind, *more: df.select("dim", "chunk", F.col("block").alias(kind), *(F.col(c).alias(f"{kind}_{c}") for c in ("labels", "ids", "part")), *more)
@@ -102,23 +121,21 @@ def tiles(anchors: DataFrame, rows: DataFrame, panels: int, shards: int, same: b
         for batch in batches:
             for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 a_labels, b_labels = (np.frombuffer(r[c], "<i8") for c in ("panel_labels", "shard_labels"))
-                a, b = (_numbers_of(r[f"{c}_part"], n, r["dim"], r["chunk"]) for c, n in (("panel", len(a_labels)), ("shard", len(b_labels))))
+                width = min(grid.width(r["dim"]), r["dim"] - r["chunk"] * grid.width(r["dim"]))
+                a, b = (_matrix(r[f"{c}_part"], n, width) for c, n in (("panel", len(a_labels)), ("shard", len(b_labels))))
                 found = [products(a[x], b[y]).ravel() for x, y in pairs(a_labels, b_labels, same)]
                 if not found:
                     continue
-                limit = _LIMIT // CHUNKS
                 first = r["chunk"] == 0
-                made = {"dim": r["dim"], "panel": r["panel"], "shard": r["shard"], "chunk": r["chunk"], "tile": packed(np.clip(np.concatenate(found), -limit, limit))}
+                made = {"dim": r["dim"], "panel": r["panel"], "shard": r["shard"], "chunk": r["chunk"], "tile": packed(np.clip(np.concatenate(found), -_LIMIT, _LIMIT))}
                 made |= {f"{x}_{c}": r[f"{y}_{c}"] if first else None for x, y in (("a", "panel"), ("b", "shard")) for c in ("ids", "labels")} | {"windows": r["windows"] if first else None}
                 yield pa.RecordBatch.from_pylist([made], _TILE)
 
     return met.select("dim", "panel", "shard", "chunk", "panel_labels", "panel_part", "panel_ids", "shard_labels", "shard_part", "shard_ids", "windows").mapInArrow(multiply, TILE)
 
 
-def _numbers_of(part: bytes, n: int, dim: int, chunk: int) -> np.ndarray:
+def _matrix(part: bytes, n: int, width: int) -> np.ndarray:
     """A chunk of ``n`` rows; its length tells whether its numbers take 4 bytes or 8."""
-    width = max(CHUNK, -(-dim // CHUNKS))
-    width = min(width, dim - chunk * width)
     return np.frombuffer(part, "<i4" if len(part) == 4 * n * width else "<f8").reshape(n, width).astype(np.float64)
 
 
@@ -207,7 +224,7 @@ def negatives(tile_rows: DataFrame, k: int = NEGATIVES, low: int = LOW, high: in
 
 
 def opened(found: DataFrame) -> DataFrame:
-    """``windows``: an anchor panel's positives in one value, at most ``PANEL`` times ``POSITIVES``."""
+    """``windows``: an anchor panel's positives in one value, at most a panel's rows times ``k_positives``."""
 
     def join(held: pa.Table) -> pa.Table:
         held = held.sort_by([("row", "ascending"), ("turn", "ascending")])
@@ -219,7 +236,7 @@ def opened(found: DataFrame) -> DataFrame:
     return found.select("dim", "panel", "row", "turn", "vec_id", "score").groupBy("dim", "panel").applyInArrow(join, "dim int, block long, windows binary")
 
 
-def mine(vectors: DataFrame, anchors: Column, label: Column, k_positives: int = POSITIVES, k: int = NEGATIVES, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
+def mine(vectors: DataFrame, anchors: Column, label: Column, k_positives: int = POSITIVES, k: int = NEGATIVES, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, grid: Grid = Grid()) -> DataFrame:
     """``anchor_id``, ``positive_id``, ``rank``, ``negative_id``, ``positive_score``, ``negative_score``.
 
     ``anchors`` (over ``vec_id``) tells the anchors, ``label`` is a column of ``vectors``. Null ids, labels and vectors, and vectors with a
@@ -227,16 +244,16 @@ def mine(vectors: DataFrame, anchors: Column, label: Column, k_positives: int =
     its negatives. Rows with the anchor's id aren't its positives. Repeated anchor rows are anchors each, repeated rows candidates each;
     equal scores go by the smaller id. Fewer candidates give fewer rows, anchors without positives none, an empty table none. A
     positive with a score below zero has an empty window. Scores are exact while a chunk's stay within 2**58, beyond
-    that they are held to it. Other columns aren't read.
+    that they are held to it (with 16 chunks at most, sums stay within the longs). Other columns aren't read.
     """
     spark = vectors.sparkSession
     with Scratch(spark, "negatives") as scratch:
         rows = scratch.cut(numbered(vectors, id_col, vector_col, label, scale), "rows")
         n, asked = rows.agg(F.count(F.lit(1)), F.count_if(anchors)).first()
-        panels, shards = max(1, -(-asked // PANEL)), max(1, -(-n // SHARD))
-        left, right = (scratch.cut(blocks_of(x, count), "blocks") for x, count in ((rows.filter(anchors), panels), (rows, shards)))
-        found = scratch.cut(positives(tiles(left, right, panels, shards, True), k_positives), "positives")
-        mined = negatives(tiles(left.join(opened(found), ["dim", "block"]), right, panels, shards, False), k)
+        panels, shards = max(1, -(-asked // grid.panel)), max(1, -(-n // grid.shard))
+        left, right = (scratch.cut(blocks_of(x, count, grid), "blocks") for x, count in ((rows.filter(anchors), panels), (rows, shards)))
+        found = scratch.cut(positives(tiles(left, right, panels, shards, True, grid), k_positives), "positives")
+        mined = negatives(tiles(left.join(opened(found), ["dim", "block"]), right, panels, shards, False, grid), k)
         return scratch.cut(mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "mined", keep=True)
 
 
