@@ -3,9 +3,9 @@
 Vectors become whole numbers. Centres from a bounded sample (``SAMPLE``) tell which vectors are alike; every partition sorts
 its rows by nearest centre and cuts them into blocks that hold the largest and smallest value per dimension,
 a centre and a radius, the ids and the forward index. Queries are taken in groups of bounded size; a
-group is sent to all tasks, each of which orders its blocks per query by the bound (the summed maxima, or
-the ball's where that is lower) and scores them in that order until the next bound is below the k-th score
-held. Tasks return k rows per query, and a window keeps the best k. Bounds only pass over blocks that can't
+group is sent to all tasks, each of which orders its blocks by the bound (the summed maxima, or the ball's where
+that is lower): the first ones per query, the rest in one order with one product for all queries whose k-th score
+held doesn't pass the block's bound. Tasks return k rows per query, and a window keeps the best k. Bounds only pass over blocks that can't
 hold a result: no vector is left out whatever the centres are, and no pair is shuffled.
 """
 
@@ -23,6 +23,8 @@ from folioflow.llm.common import Scratch, table
 
 K, SCALE, EVERY = 10, 1024, 100
 BLOCK = 128
+#: Blocks that each query takes in its own order before blocks are taken for all queries together.
+FIRST = 2
 #: Vectors that the centres are made from, the most centres, and vectors for each centre at least.
 SAMPLE, CENTRES, PER_CENTRE, ROUNDS = 8192, 256, 24, 6
 #: Bytes of the queries of a group, which bounds what is sent to each task (65,536 queries of 64 numbers), and queries that are bounded at once.
@@ -167,7 +169,7 @@ class Best:
 
 def search_blocks(batch: pa.RecordBatch, q_ids: np.ndarray, q: np.ndarray, q_rows: np.ndarray, best: Best) -> int:
     """Scores the blocks of ``batch`` of the queries' dimension against them; returns how many pairs of query and block were scored."""
-    dim, scored = q.shape[1], 0
+    dim = q.shape[1]
     found = [i for i, d in enumerate(batch.column(0).to_pylist()) if d == dim]
     if not found or not len(q):
         return 0
@@ -180,32 +182,35 @@ def search_blocks(batch: pa.RecordBatch, q_ids: np.ndarray, q: np.ndarray, q_row
         ball = q @ centre.T + spread + (np.abs(q) @ np.abs(centre).T + spread) * 1e-9  # above what rounding can take away
         bounds += (np.maximum(q, 0) @ np.abs(high).T + np.maximum(-q, 0) @ np.abs(low).T) * 1e-9
     bounds = np.fmin(bounds, np.where(np.isfinite(ball), ball, np.inf)) + 1
-    order = np.argsort(-bounds, axis=1, kind="stable")
     loaded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    live = np.arange(len(q))
-    for turn in range(len(found)):
-        block = order[live, turn]
-        going = bounds[live, block] >= best.kth[q_rows[live]]
-        live, block = live[going], block[going]
-        if not len(live):
-            break
-        for b in np.unique(block):
-            if b not in loaded:
-                data, ids = batch.column("forward")[found[b]].as_py(), read("ids", found[b], "<i8")
-                loaded[b] = ids, np.frombuffer(data, "<i4" if len(data) == 4 * dim * len(ids) else "<f8").reshape(len(ids), dim).astype(np.float64)
-            ids, x = loaded[b]
-            who = live[block == b]
-            scores = products(q[who], x)
-            scored += len(who)
-            own = q_ids[who][:, None] == ids[None, :]
-            if own.any():  # a query's own row is no candidate
-                clean = ~own.any(axis=1)
-                best.add(q_rows[who[clean]], ids, scores[clean])
-                for r in np.flatnonzero(~clean):
-                    best.add(q_rows[who[r : r + 1]], ids[~own[r]], scores[r : r + 1, ~own[r]])
-            else:
-                best.add(q_rows[who], ids, scores)
-    return scored
+    waiting = np.ones(bounds.shape, bool)
+
+    def against(who: np.ndarray, b: int) -> None:
+        if b not in loaded:
+            data, ids = batch.column("forward")[found[b]].as_py(), read("ids", found[b], "<i8")
+            loaded[b] = ids, np.frombuffer(data, "<i4" if len(data) == 4 * dim * len(ids) else "<f8").reshape(len(ids), dim).astype(np.float64)
+        ids, x = loaded[b]
+        scores = products(q[who], x)
+        waiting[who, b] = False
+        own = q_ids[who][:, None] == ids[None, :]
+        if own.any():  # a query's own row is no candidate
+            clean = ~own.any(axis=1)
+            best.add(q_rows[who[clean]], ids, scores[clean])
+            for r in np.flatnonzero(~clean):
+                best.add(q_rows[who[r : r + 1]], ids[~own[r]], scores[r : r + 1, ~own[r]])
+        else:
+            best.add(q_rows[who], ids, scores)
+
+    likeliest = np.argsort(-bounds, axis=1, kind="stable")[:, :FIRST]
+    for turn in range(likeliest.shape[1]):  # each query's likeliest blocks, which raise what the others must reach
+        live = np.flatnonzero(bounds[np.arange(len(q)), likeliest[:, turn]] >= best.kth[q_rows])
+        for b in np.unique(likeliest[live, turn]):
+            against(live[likeliest[live, turn] == b], b)
+    for b in np.argsort(-bounds.max(axis=0), kind="stable"):  # the others by their highest bound, each for all queries that it may still serve
+        live = np.flatnonzero(waiting[:, b] & (bounds[:, b] >= best.kth[q_rows]))
+        if len(live):
+            against(live, b)
+    return int((~waiting).sum())
 
 
 def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, group: int | None = None) -> DataFrame:
