@@ -123,9 +123,6 @@ def sketched(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, same binary, sig binary")
 
 
-_NO_KEY = -(2**63)
-
-
 def hot_bound(total: int) -> int:
     return max(HOT_LEAST, total // HOT_SHARE)
 
@@ -133,20 +130,18 @@ def hot_bound(total: int) -> int:
 def hot_join(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
     """``left`` joined to ``right``, which has each key once, with ``n``, how many of the ``total`` rows of ``left`` have it at most.
 
-    Keys that would fill a task are broadcast; as each has a share of at least 1 / ``HOT_SHARE``, or ``HOT_LEAST`` rows of a small
-    table, there are no more than ``HOT_SHARE`` of them. Their rows go on under a number of their own, so they are spread.
+    Keys that would fill a task are told apart by a list: as each has a share of at least 1 / ``HOT_SHARE``, or ``HOT_LEAST`` rows of a
+    small table, there are no more than ``HOT_SHARE`` of them. Their rows stay where they are and meet a broadcast; all
+    others are shuffled by their key.
     """
-    bound, more = hot_bound(total), [c for c in right.columns if c not in (key, "n")]
-    side = lambda rows, name: rows.select(F.col(key).alias(f"__{name}_key"), F.struct(*more).alias(f"__{name}"))
-    is_hot = (F.col("n") >= bound) & (F.col(key) != _NO_KEY)
-    hot = side(right.filter(is_hot), "hot")
-    # One row that tells nothing, so that the plan is the same whether there are frequent keys or not.
-    hot = hot.unionByName(left.sparkSession.range(1).select(F.lit(_NO_KEY).alias("__hot_key"), F.lit(None).cast(hot.schema["__hot"].dataType).alias("__hot")))
-    marked = left.join(F.broadcast(hot), F.col(key) == F.col("__hot_key"), "left").drop("__hot_key")
-    spread = F.when(F.col("__hot").isNotNull(), F.xxhash64(*left.columns, F.lit("hot"))).otherwise(F.col(key))
-    joined = marked.withColumn("__key", spread).join(side(right.filter(~is_hot), "cold"), F.col("__key") == F.col("__cold_key"), "left")
-    found = joined.withColumn("__found", F.coalesce("__hot", "__cold")).filter("__found is not null")
-    return found.select(*left.columns, *(F.col(f"__found.{c}").alias(c) for c in more))
+    more = [c for c in right.columns if c not in (key, "n")]
+    keys = [r[0] for r in right.filter(F.col("n") >= hot_bound(total)).select(key).collect()]  # HOT_SHARE at most
+    side = right.select(key, *more)
+    if not keys:
+        return left.join(side, key).select(*left.columns, *more)
+    hot = F.col(key).isin(keys)
+    found = left.filter(~hot).join(side.filter(~hot), key).unionByName(left.filter(hot).join(F.broadcast(side.filter(hot)), key))
+    return found.select(*left.columns, *more)
 
 
 def index_keys(classes: DataFrame) -> DataFrame:
