@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from bisect import insort
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioflow.functions.text import BUNDLE_LIMIT, NO_CONTEXT, NO_REFERENCES, SOURCE_LIMIT, hit_line, reference_block, strip, truncated
+from folioflow.tables import Tables
 
 HITS = 5
-#: Questions whose words are held by every task at once.
+#: Questions that meet a mask at once.
 GROUP = 4096
+#: Words that are bits of masks; bytes of words, and questions, that are broadcast (after they were counted) at most.
+FREQUENT, SENT, SENT_QUESTIONS = 256, 32 << 20, 200_000
+_SMALL = ("tinyint", "smallint", "int", "bigint", "date", "timestamp")
 BETWEEN = "\n\n"
 #: Parts that a group of sources is cut in before it is put together.
 PARTS = 64
@@ -49,53 +47,57 @@ def top_hits(hits: DataFrame, keys: list[str], order: list, k: int = HITS) -> Da
     return hits.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def most_shared(asked: DataFrame, held: DataFrame, keys: list[str], order: list[str], k: int = HITS, group: int = GROUP) -> DataFrame:
+def most_shared(asked: DataFrame, held: DataFrame, keys: list[str], order: list[str], k: int = HITS, tables: Tables | None = None, group: int = GROUP) -> DataFrame:
     """(keys, rank, ``order``, n): the ``k`` rows of ``held`` (order, words) that share most words with each row of ``asked`` (keys, words), ties by ``order``; a row that shares none is no hit.
 
-    Words meet in an index of the questions' words that every task holds, so no word is a key of a shuffle and no task tells more than ``k``
-    rows a question. Questions are taken in groups of bounded size, each of which reads ``held`` once.
+    An inverted index of the words that are asked for, in two parts. The ``FREQUENT`` ones that most questions ask for are bits of a row's mask,
+    so what a question shares of them with a row is counted by bits; all rarer ones are postings. Rows that share a rare word are
+    found by joining postings, and their sums are whole. What is left is bounded: a row without a rare word shares at most the frequent
+    ones, so a question whose k-th sum is above its number of those is done. The others meet one mask at a time, of
+    whose rows the first ``k`` can be hits. Which words count as frequent changes the work, never the rows.
+
+    The result reads tables of ``tables``; with none given they stay in the session's shared folder.
     """
-    spark = asked.sparkSession
-    numbered = asked.select(F.struct(*keys).alias("key"), "words").distinct().withColumn("dealt", F.xxhash64("key"))
-    groups = max(1, -(-numbered.count() // group))
-    types = {f.name: f.dataType.simpleString() for f in held.schema}
-    schema = ", ".join(["question int", "n int", *(f"`{c}` {types[c]}" for c in order)])
-    found = None
-    for g in range(groups):
-        rows = numbered.filter(F.pmod("dealt", F.lit(groups)) == g).select("key", "words").collect()  # about ``group`` questions
-        index: dict[str, list[int]] = {}
-        for i, row in enumerate(rows):
-            for word in row.words:
-                index.setdefault(word, []).append(i)
-        sent = spark.sparkContext.broadcast(({w: np.array(v) for w, v in index.items()}, len(rows)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent):
-            places, n = sent.value
-            best: list[list[tuple]] = [[] for _ in range(n)]
-            least = np.ones(n, np.int64)  # what a row must share to be looked at
-            for batch in batches:
-                told = [batch.column(c) for c in order]
-                for at, held_words in enumerate(batch.column("words").to_pylist()):
-                    met = [places[w] for w in held_words if w in places]
-                    if not met:
-                        continue
-                    counts = np.bincount(np.concatenate(met), minlength=n)
-                    for q in np.flatnonzero(counts >= least):
-                        entry = (-int(counts[q]), *((v is not None, v) for v in (c[at].as_py() for c in told)))  # nulls first
-                        insort(best[q], entry)
-                        if len(best[q]) > k:
-                            best[q].pop()
-                        if len(best[q]) == k:
-                            least[q] = -best[q][-1][0]
-            kept = [(q, -e[0], *(v for _, v in e[1:])) for q, held_rows in enumerate(best) for e in held_rows]
-            fields = [("question", pa.int32()), ("n", pa.int32()), *((c, batch_type(c)) for c in order)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], t) for i, (_, t) in enumerate(fields)], [name for name, _ in fields])
-
-        batch_type = lambda c: {"bigint": pa.int64(), "int": pa.int32()}.get(types[c], pa.string())
-        ids = spark.createDataFrame([(i, row.key) for i, row in enumerate(rows)], T.StructType([T.StructField("question", T.IntegerType()), T.StructField("key", numbered.schema["key"].dataType)]))
-        some = top_hits(held.select(*order, "words").mapInArrow(run, schema), ["question"], [F.desc("n"), *order], k).join(F.broadcast(ids), "question").select("key.*", "rank", *order, "n")
-        found = some if found is None else found.unionByName(some)
-    return found
+    spark, tables = asked.sparkSession, tables or Tables(asked.sparkSession, tag="search")
+    questions = tables.write(asked.select(F.struct(*keys).alias("q"), F.explode("words").alias("w")).distinct(), "asked")
+    n_questions, size = questions.agg(F.count_distinct("q"), F.sum(F.octet_length("w") + 16)).first()
+    sent = lambda df, fits: F.broadcast(df) if fits else df
+    small = (size or 0) <= SENT
+    types = dict(held.dtypes)
+    if all(types[c] in _SMALL for c in order):
+        docs, ids = held, order
+    else:  # numbers in their order stand for wide columns
+        docs, ids = tables.write(held.orderBy(*order).withColumn("__doc", F.monotonically_increasing_id()), "held"), ["__doc"]
+    frequent = questions.groupBy("w").count().orderBy(F.desc("count"), "w").limit(FREQUENT).collect()
+    bits = [(r.w, i // 64, (1 << i % 64) - (1 << 64) * (i % 64 == 63)) for i, r in enumerate(frequent)]
+    vocabulary = questions.select("w").distinct().join(F.broadcast(spark.createDataFrame(bits, "w string, slot int, bit long")), "w", "left")
+    # ``explode`` would have a filter on the words pushed down to the scan, which makes them twice; the join drops the nulls.
+    placed = docs.select(*ids, F.explode_outer("words").alias("w")).join(sent(vocabulary, small), "w")
+    postings = tables.write(placed.select(*ids, F.when(F.col("slot").isNull(), F.col("w")).alias("w"), "slot", "bit"), "postings")
+    slots = range(max(1, -(-FREQUENT // 64)))
+    of_doc, of_question = [f"d{i}" for i in slots], [f"q{i}" for i in slots]
+    masked = lambda rows, by, names: rows.groupBy(*by).agg(*(F.coalesce(F.bit_or(F.when(F.col("slot") == i, F.col("bit"))), F.lit(0).cast("long")).alias(c) for i, c in enumerate(names)))
+    wanted = questions.join(sent(vocabulary, small), "w")
+    of_questions = tables.write(masked(wanted, ["q"], of_question), "questions")
+    masks = tables.write(masked(postings, ids, of_doc), "masks")
+    shared = lambda q: sum((F.bit_count(F.col(f"d{i}").bitwiseAND(q(f"q{i}"))) for i in slots), F.lit(0))
+    met = postings.filter("slot is null").join(sent(wanted.filter("slot is null").select("q", "w"), small), "w").groupBy("q", *ids).agg(F.count(F.lit(1)).alias("n"))
+    sums = met.join(masks, ids).join(sent(of_questions, n_questions <= SENT_QUESTIONS), "q").select("q", *ids, (F.col("n") + shared(F.col)).cast("int").alias("n"))
+    best = lambda rows: top_hits(rows, ["q"], [F.desc("n"), *ids], k)
+    first = tables.write(best(sums).drop("rank"), "first")
+    least = first.groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.min("n")).otherwise(1).alias("least"))
+    most = sum((F.bit_count(c) for c in of_question), F.lit(0))
+    open_ = of_questions.join(least, "q", "left").withColumn("least", F.coalesce("least", F.lit(1))).filter(most >= F.col("least"))
+    groups = max(1, -(-n_questions // group))
+    side = open_.groupBy(F.pmod(F.xxhash64("q"), F.lit(groups)).alias("g")).agg(F.collect_list(F.struct("q", "least", *of_question)).alias("asked"))
+    alike = F.row_number().over(Window.partitionBy(*of_doc).orderBy(*ids))
+    spread = masks.withColumn("nth", alike).filter(F.col("nth") <= k).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+    counted = F.transform("asked", lambda x: F.struct(x["q"].alias("q"), shared(lambda c: x[c]).alias("n"), x["least"].alias("least")))
+    rest = spread.join(sent(side, n_questions <= SENT_QUESTIONS), "g").select(*ids, F.explode(F.filter(counted, lambda x: x["n"] >= x["least"])).alias("x")).select("x.q", *ids, "x.n")
+    found = best(first.unionByName(rest).groupBy("q", *ids).agg(F.max("n").alias("n")))
+    if ids != order:
+        found = found.join(docs.select("__doc", *order), "__doc")
+    return found.select("q.*", "rank", *order, "n")
 
 
 def search_context(questions: DataFrame, hits: DataFrame, keys: list[str], otherwise: str = NO_CONTEXT) -> DataFrame:

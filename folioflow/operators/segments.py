@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from folioflow.functions.text import item_start, strip
+from folioflow.operators.carry import carried
 
 # Fixed values, in units of the page.
 MARGIN, TOLERANCE, PADDING, LEAST_HEIGHT = 60.0, 4.0, 8.0, 2.0
+#: Strips that a page is cut into for the join of segments and lines.
+STRIPS = 32
 
 
 def page_lines(spans: DataFrame) -> DataFrame:
@@ -39,12 +41,11 @@ def item_starts(lines: DataFrame, expected: DataFrame) -> DataFrame:
 def page_segments(starts: DataFrame, pages: DataFrame) -> DataFrame:
     """(doc_id, qid, page, y0, y1): an item goes to the next start or the document's end, with a row for each page it touches.
 
-    ``pages``: (doc_id, page, height). Segments of hardly any height go.
+    ``pages``: (doc_id, page, height). Segments of hardly any height go. The next start is carried over blocks of pages, so a long
+    document's starts are spread.
     """
-    order = Window.partitionBy("doc_id").orderBy("page", "y")
-    after = F.lead(F.struct("page", "y")).over(order)
     ends = pages.groupBy("doc_id").agg(F.max("page").alias("last_page"))
-    spread = starts.withColumn("next", after).join(ends, "doc_id").withColumn("to", F.coalesce("next.page", "last_page"))
+    spread = carried(starts, ["doc_id"], "page", ("y", "qid"), nexts={"next": F.struct("page", "y")}).join(ends, "doc_id").withColumn("to", F.coalesce("next.page", "last_page"))
     each = spread.withColumn("at", F.explode(F.sequence("page", "to")))
     sized = each.join(pages.withColumnRenamed("page", "at"), ["doc_id", "at"])
     top = F.when(F.col("at") == F.col("page"), F.col("y")).otherwise(0.0)
@@ -60,14 +61,22 @@ def segment_texts(segments: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def tight_segments(segments: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """Segments drawn in to the lines that lie in them, headers and footers left out; without such lines they stay. Empty ones go."""
-    side = lines.select("doc_id", "page", F.col("y0").alias("ly0"), F.col("y1").alias("ly1")).join(pages, ["doc_id", "page"])
-    side = side.filter((F.col("ly1") >= MARGIN) & (F.col("ly0") <= F.col("height") - MARGIN)).drop("height")
-    inside = (F.col("ly0") >= F.col("y0") - TOLERANCE) & (F.col("ly1") <= F.col("y1") + TOLERANCE)
+    """Segments drawn in to the lines that lie in them, headers and footers left out; without such lines they stay. Empty ones go.
+
+    A line lies in one strip of its page, and a segment in all that it reaches into; they meet by page and strip, so a page with very
+    many lines is spread. What lies above or below a page is in a strip of its own.
+    """
+    strip_of = lambda y: F.greatest(F.lit(-1), F.least(F.lit(STRIPS), F.coalesce(F.floor(y * STRIPS / F.nullif("height", F.lit(0))), F.lit(0)))).cast("int")
     keys = ["doc_id", "page"]
-    seg, lin = segments.alias("s"), side.alias("l")
-    joined = seg.join(lin, (F.col("s.doc_id") == F.col("l.doc_id")) & (F.col("s.page") == F.col("l.page")) & inside, "left")
-    bound = joined.groupBy(*(F.col(f"s.{k}") for k in keys), "qid", "y0", "y1").agg(F.min("ly0").alias("top"), F.max("ly1").alias("bottom"))
+    side = lines.select(*keys, F.col("y0").alias("ly0"), F.col("y1").alias("ly1")).join(pages.select(*keys, "height"), keys)
+    side = side.filter((F.col("ly1") >= MARGIN) & (F.col("ly0") <= F.col("height") - MARGIN)).select(*keys, strip_of(F.col("ly0")).alias("strip"), "ly0", "ly1")
+    reach = F.sequence(strip_of(F.col("y0") - TOLERANCE), F.greatest(strip_of(F.col("y0") - TOLERANCE), strip_of(F.col("y1") + TOLERANCE)))
+    laid = segments.select(*keys, "qid", "y0", "y1").join(pages.select(*keys, "height"), keys, "left").withColumn("strip", F.explode(reach)).drop("height")
+    seg, lin = laid.alias("s"), side.alias("l")
+    inside = (F.col("ly0") >= F.col("y0") - TOLERANCE) & (F.col("ly1") <= F.col("y1") + TOLERANCE)
+    for k in (*keys, "strip"):
+        inside = (F.col(f"s.{k}") == F.col(f"l.{k}")) & inside
+    bound = seg.join(lin, inside, "left").groupBy(*(F.col(f"s.{k}") for k in keys), "qid", "y0", "y1").agg(F.min("ly0").alias("top"), F.max("ly1").alias("bottom"))
     y0 = F.coalesce(F.greatest("y0", F.col("top") - PADDING), F.col("y0"))
     y1 = F.coalesce(F.least("y1", F.col("bottom") + PADDING), F.col("y1"))
     return bound.select("doc_id", "qid", "page", y0.alias("y0"), y1.alias("y1")).filter("y1 > y0")

@@ -17,7 +17,9 @@ from folioflow.operators import segments as S
 from folioflow.plans import documents as D
 from folioflow.plans import parsing as N
 from folioflow.plans import rounds as L
+from folioflow.plans import stages as T
 from folioflow.sources.providers import offline_solver
+from folioflow.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,7 +34,8 @@ def query(sql: str):
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
 
 
 #: The ten rules by hand, in DuckDB's terms: fence, bold, italic (stars, then underlines), heading, code, link, bullet, number.
@@ -230,11 +233,21 @@ def cache_fresh(spark, sf_dir):
     return D.fresh(last("view", "cached_at"), last("click", "changed_at"), ["user_id"])
 
 
-@query("SELECT conv_id, CASE WHEN regexp_matches(text, '(?i)programming|coding|编程|程序') THEN 'programming' ELSE 'short_answer' END AS kind, CAST(turn + 1 AS VARCHAR) AS qid, regexp_replace(CAST(turn + 1 AS VARCHAR) || '. ' || replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS question FROM conversations WHERE turn < 999")
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1 AND d.doc_id % 5 <> 0 AND d.doc_id % 3 <> 1)")
+def stale_documents(spark, sf_dir):
+    """Documents whose stage must run: of those that a stage has kept (the good ones), each fifth has another text since, and of the rest each third was touched in the second that it was kept."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), T.content_key(F.lit("stage"), F.col("text")).alias("key"), F.col("n_chars").cast("double").alias("changed_at"), "text")
+    good = _read(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
+    text = F.when(F.col("doc_id").cast("long") % 5 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
+    kept = docs.join(good, "doc_id", "left_semi").select("doc_id", T.content_key(F.lit("stage"), text).alias("key"), (F.col("changed_at") + (F.col("doc_id").cast("long") % 3 != 1).cast("int")).alias("cached_at"))
+    return T.stale(docs, kept).select(F.col("doc_id").cast("long").alias("doc_id"))
+
+
+@query("SELECT conv_id, CASE WHEN regexp_matches(text, '(?i)programming|coding|编程|程序') THEN 'programming' ELSE 'short_answer' END AS kind, CAST(turn % 999 + 1 AS VARCHAR) AS qid, regexp_replace(CAST(turn % 999 + 1 AS VARCHAR) || '. ' || replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS question FROM conversations")
 def item_split(spark, sf_dir):
-    """Whole conversations as numbered texts, split into items by rules."""
-    turns = _read(spark, sf_dir, "conversations").filter("turn < 999")
-    line = F.concat((F.col("turn") + 1).cast("string"), F.lit(". "), F.translate("text", "\n", " "))
+    """Whole conversations as numbered texts, split into items by rules. Numbers have three digits at most, so they begin again after 999."""
+    turns = _read(spark, sf_dir, "conversations")
+    line = F.concat((F.col("turn") % 999 + 1).cast("string"), F.lit(". "), F.translate("text", "\n", " "))
     texts = turns.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("content"))
     return N.split_items(texts)[1].select(F.col("doc_id").cast("long").alias("conv_id"), "kind", "qid", "question")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.functions.text import SLOTS, as_json, filled, link_line, link_or
+from folioflow.functions.text import SLOTS, as_json, filled, link_line, link_or, strip
 from folioflow.operators.answers import guarded_context
 from folioflow.plans.prompts import FEEDBACK
 from folioflow.plans.rounds import held
@@ -26,6 +26,11 @@ def link_lines(items: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame
     return joined.groupBy(*keys).agg(F.array_join(ordered, "\n").alias("links"))
 
 
+def link_requests(items: DataFrame, prompt: str) -> DataFrame:
+    """(doc_id, qid, prompt): what is put to whoever gives an item's link, the text of ``prompt`` and the item."""
+    return items.select("doc_id", "qid", F.concat_ws("\n\n", F.nullif(strip(F.lit(prompt)), F.lit("")), "question").alias("prompt"))
+
+
 def with_feedback(contexts: DataFrame, replies: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, context) after all ``replies`` (key, seq, reply), each merged in turn under the guard; replies that are no JSON change nothing.
 

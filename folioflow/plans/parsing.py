@@ -8,10 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from folioflow.functions.markdown import lines
 from folioflow.functions.text import NO_TITLE, fenced_json, filled, item_start, strip
+from folioflow.operators.carry import carried
 from folioflow.plans.prompts import PARSE
 
 KINDS = ("choice", "short_answer", "programming")
@@ -27,7 +27,8 @@ def split_items(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     An item begins at a numbered line and goes to the next one or to a heading. Its kind is that of the heading above it, else
     choice if it has two options or more, programming if it speaks of a program, else short answer. The name is the
-    first line that isn't blank. One document's lines are one window; documents are spread.
+    first line that isn't blank. What an item's lines must know of those above is carried over blocks of lines, so one
+    long document is spread; an item's own lines are one value.
     """
     each = texts.select(F.col("doc_id").cast("string"), F.posexplode(lines(F.coalesce("content", F.lit("")))).alias("at", "line")).filter(strip(F.col("line")) != "")
     names = each.groupBy("doc_id").agg(F.min_by(strip(F.col("line")), "at").alias("homework_name"))
@@ -35,15 +36,13 @@ def split_items(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = F.coalesce(*(F.when(F.col("line").rlike(pattern), kind) for kind, pattern in HEADINGS))
     heading = F.when((F.length(strip(F.col("line"))) <= HEADING_LENGTH) & number.isNull() & ~F.col("line").rlike(OPTION), told)
     marked = each.select("*", number.alias("qid"), heading.alias("heading"))
-    upto = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (F.col("qid").isNotNull() | F.col("heading").isNotNull()).cast("int")
-    held = marked.withColumn("item", F.sum(edge).over(upto)).withColumn("section", F.last("heading", ignorenulls=True).over(upto))
+    edge = F.col("qid").isNotNull() | F.col("heading").isNotNull()
+    held = carried(marked, ["doc_id"], "at", counts={"item": edge}, lasts={"section": F.col("heading")})
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
     items = held.groupBy("doc_id", "item").agg(F.min_by("qid", "at").alias("qid"), F.min("at").alias("at"), F.first("section").alias("section"), strip(body).alias("question"), F.count_if(F.col("line").rlike(OPTION)).alias("options")).filter("qid is not null")
     own = F.when(F.col("options") >= OPTIONS, "choice").when(F.col("question").rlike(HEADINGS[1][1]), "programming").otherwise("short_answer")
-    kinds = items.withColumn("kind", F.coalesce("section", own))
-    pos = (F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("at")) - 1).alias("pos")
-    return names, kinds.select("doc_id", "kind", pos, F.translate("qid", "０１２３４５６７８９", "0123456789").alias("qid"), "question")
+    kinds = carried(items.withColumn("kind", F.coalesce("section", own)), ["doc_id", "kind"], "at", counts={"nth": F.lit(True)})
+    return names, kinds.select("doc_id", "kind", (F.col("nth") - 1).cast("int").alias("pos"), F.translate("qid", "０１２３４５６７８９", "0123456789").alias("qid"), "question")
 
 
 def parse_requests(texts: DataFrame) -> DataFrame:

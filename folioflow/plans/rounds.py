@@ -1,26 +1,30 @@
 """Answer and review rounds: a bounded loop over a table of pending questions of many documents.
 
-A round is one batch: the solver sees each document's pending questions, the reviewer each answer. Its outcome is
-checkpointed before it is read again, since a provider may answer otherwise when it is asked twice. The loop
-runs as often as the slowest document needs, ``rounds`` times at most, whatever the number of documents.
+A round is one batch: the solver sees each document's pending questions, the reviewer each answer. Replies are written before
+they are read, since a provider may answer otherwise when it is asked twice, and a round is over when its outcome is
+committed. Outcomes are only ever added; what is pending follows from questions and outcomes. So a loop whose driver was lost goes on from
+its folder with the first round that isn't committed. It runs as often as the slowest document needs, ``rounds`` times at
+most, whatever the number of documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioflow.functions.text import NO_ANSWER, NO_REASON, SLOTS, choice_letters, filled, image_parts, passes, strip
 from folioflow.operators.answers import choice_vector
 from folioflow.operators.results import answers, final_answers, longest_first, with_answers
 from folioflow.plans.prompts import CHOICE, QUESTION, REVIEW, SHORT
 from folioflow.sources.providers import Reviewer, Solver
+from folioflow.tables import Tables
 
 ROUNDS, PATIENCE = 10, 3
 OUTCOME = "doc_id string, qid string, pos int, answer string, review string, passed boolean, round int"
-BEST = "doc_id string, qid string, pos int, answer string, round int"
 KEYS = ["doc_id", "qid"]
 
 
@@ -49,8 +53,42 @@ def force_longest(best: DataFrame, accepted: DataFrame, keys: list[str]) -> Data
     return best.join(accepted.select(*keys), keys, "left_anti")
 
 
-def solve(questions: DataFrame, solver: Solver, reviewer: Reviewer, choice: bool, references: str = "", rounds: int = ROUNDS, patience: int = PATIENCE) -> dict[str, DataFrame]:
-    """``answers`` (doc_id, qid, pos, title, answer, status per question, in order) and ``log`` (``OUTCOME``: all reviews).
+def reason(review: Column) -> Column:
+    """What a failed review says, or the default."""
+    return F.coalesce(F.nullif(strip(review), F.lit("")), F.lit(NO_REASON))
+
+
+def usable(choice: bool) -> Column:
+    """Outcomes that are an answer: passed, and for a choice not without letters."""
+    return F.col("passed") & (F.col("answer") != "") if choice else F.col("passed")
+
+
+def stopped(log: DataFrame, patience: int = PATIENCE) -> DataFrame:
+    """(doc_id) of the documents with ``patience`` reviewed rounds after the last in which an answer was longer than all before it."""
+    before = Window.partitionBy(*KEYS).orderBy("round").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length("answer")
+    grown = F.coalesce(size > F.max(F.when(F.col("review").isNotNull(), size)).over(before), F.lit(True)) & F.col("review").isNotNull()
+    last = Window.partitionBy("doc_id")
+    told = log.withColumn("grown", grown).withColumn("grew", F.coalesce(F.max(F.when(F.col("grown"), F.col("round"))).over(last), F.lit(0)))
+    return told.filter("round > grew").groupBy("doc_id").agg(F.count_distinct("round").alias("still")).filter(F.col("still") >= patience).select("doc_id")
+
+
+def pending_of(every: DataFrame, log: DataFrame, choice: bool, patience: int = PATIENCE) -> DataFrame:
+    """The questions that a next round asks, with what the last failed review said of each. ``log``: all outcomes (``OUTCOME``)."""
+    failed = F.col("review").isNotNull() & ~F.col("passed")
+    state = log.groupBy(*KEYS).agg(F.bool_or(usable(choice) | F.col("review").isNull()).alias("closed"), F.max_by(reason(F.col("review")), F.when(failed, F.col("round"))).alias("feedback"))
+    open_ = every.join(state, KEYS, "left").filter(~F.coalesce("closed", F.lit(False))).select(*KEYS, "pos", "question", "context", "feedback", "images")
+    return open_ if choice else open_.join(stopped(log, patience), "doc_id", "left_anti")
+
+
+def fingerprint(every: DataFrame, *more: object) -> str:
+    """One number of questions and settings, whatever the order of rows."""
+    n, total = every.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*every.columns).cast("decimal(38,0)"))).first()
+    return hashlib.sha256(repr((n, str(total), *more)).encode()).hexdigest()[:24]
+
+
+def solve(questions: DataFrame, solver: Solver, reviewer: Reviewer, choice: bool, references: str = "", rounds: int = ROUNDS, patience: int = PATIENCE, folder: str | None = None) -> dict:
+    """``answers`` (doc_id, qid, pos, title, answer, status per question, in order), ``log`` (``OUTCOME``: all reviews) and ``tables``, which both read.
 
     ``questions``: (doc_id, qid, pos, question, context), with ``images`` (label, content) if there are any; without ``doc_id`` they
     are one document's. A document whose reply is missing or no JSON is asked again with what it was asked. Choice answers
@@ -58,55 +96,56 @@ def solve(questions: DataFrame, solver: Solver, reviewer: Reviewer, choice: bool
     short question's missing answer is reviewed as such. A review without text is a failed one with a default reason;
     a question for which no review came at all is dropped (status ``unreviewed``). Short answers of a document stop after
     ``patience`` reviewed rounds in which none grew, and the longest answers seen are accepted.
+
+    With ``folder``, a loop over the same questions and settings that was broken off there goes on: rounds that were committed and
+    replies that were written aren't asked for again. A round's questions and replies are deleted when its outcome is committed;
+    outcomes and answers stay until ``tables.close()``.
     """
     spark = questions.sparkSession
     single = "doc_id" not in questions.columns
-    every = questions.withColumn("doc_id", F.lit("") if single else F.col("doc_id").cast("string")).withColumn("pos", F.col("pos").cast("int"))
     images = F.col("images") if "images" in questions.columns else F.lit(None).cast("array<struct<label:string,content:binary>>")
-    pending = held(every.select(*KEYS, "pos", "question", "context", F.lit(None).cast("string").alias("feedback"), images.alias("images")))
-    log, best = spark.createDataFrame([], OUTCOME), spark.createDataFrame([], BEST)
-    still = spark.createDataFrame([], "doc_id string, still int")
-    done = spark.createDataFrame([], "doc_id string")
-    cited = F.lit(references)
-    for turn in range(1, rounds + 1):
-        if not pending.limit(1).count():
+    every = questions.select((F.lit("") if single else F.col("doc_id").cast("string")).alias("doc_id"), "qid", F.col("pos").cast("int").alias("pos"), "question", "context", images.alias("images"))
+    tables = Tables(spark, f"{folder.rstrip('/')}/{fingerprint(every, choice, references, rounds, patience)}" if folder else None, "rounds")
+    every = tables.read("questions", every.schema) if tables.has("questions") else tables.write(every, "questions")
+    cited, keys = F.lit(references), ("results", "ans") if choice else ("answers", "results")
+    of = lambda df: (F.lit("") if "doc_id" not in df.columns else F.col("doc_id").cast("string")).alias("doc_id")
+    over = []
+    while tables.has(name := f"round-{len(over) + 1:04d}"):
+        over.append(name)
+    log = tables.read(over, OUTCOME)
+    for turn in range(len(over) + 1, rounds + 1):
+        pending, n = tables.counted(pending_of(every, log, choice, patience), f"pending-{turn:04d}")
+        if not n:
+            tables.drop(f"pending-{turn:04d}")
             break
-        replies = solver(requests(pending, choice, cited, turn))
-        replies = held(replies.select(F.lit("").alias("doc_id") if "doc_id" not in replies.columns else F.col("doc_id").cast("string"), "reply"))
-        found = held(answers(replies, ("results", "ans") if choice else ("answers", "results")))
-        heard = found.select("doc_id").distinct()
-        waiting = pending.join(heard, "doc_id", "left_anti")
-        given = with_answers(pending.join(heard, "doc_id", "left_semi"), found, otherwise=None if choice else NO_ANSWER)
-        asked = given.filter("answer is not null")
+        name = f"replies-{turn:04d}"
+        if not tables.has(name):
+            replies = solver(requests(pending, choice, cited, turn))
+            tables.write(replies.select(of(replies), F.col("reply").cast("string").alias("reply")), name)
+        found = answers(tables.read(name, "doc_id string, reply string"), keys)
+        heard = pending if choice else pending.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+        asked = with_answers(heard, found, otherwise=None if choice else NO_ANSWER).filter("answer is not null")
         request = filled(REVIEW, qid=F.col("qid"), question=F.col("question"), context=F.col("context"), references=cited, answer=F.col("answer"))
         reviews = reviewer(asked.select(*KEYS, "answer", request.alias("prompt"), image_parts(request, F.col("images")).alias("parts"), F.lit(turn).alias("round")))
-        told = reviews.select(F.lit("").alias("doc_id") if "doc_id" not in reviews.columns else F.col("doc_id").cast("string"), "qid", "review", F.lit(True).alias("came"))
-        reviewed = held(asked.join(told.dropDuplicates(KEYS), KEYS, "left").withColumn("passed", passes(F.col("review"))))
-        shown = F.when(F.col("passed"), choice_letters(F.col("answer"))).otherwise(F.col("answer")) if choice else F.col("answer")
-        log = held(log.unionByName(reviewed.select(*KEYS, "pos", shown.alias("answer"), F.when(F.col("came"), F.coalesce("review", F.lit(""))).alias("review"), "passed", F.lit(turn).alias("round"))))
-        reason = F.coalesce(F.nullif(strip(F.col("review")), F.lit("")), F.lit(NO_REASON))
-        after = waiting.unionByName(reviewed.filter("came and not passed").withColumn("feedback", reason).select(pending.columns))
-        if choice:
-            after = after.unionByName(reviewed.filter(F.col("passed") & (choice_letters(F.col("answer")) == "")).select(pending.columns))
-            after = after.unionByName(given.filter("answer is null").select(pending.columns))
-        else:
-            seen = reviewed.filter("came").select(*KEYS, "pos", "answer", F.lit(turn).alias("round"))
-            best = held(longest_first(best.unionByName(seen), KEYS, "answer", "round"))
-            grown = best.filter(F.col("round") == turn).select("doc_id").distinct().withColumn("grown", F.lit(True))
-            counted = F.when(F.col("grown"), 0).otherwise(F.coalesce("still", F.lit(0)) + 1)
-            now = heard.join(still, "doc_id", "left").join(grown, "doc_id", "left").select("doc_id", counted.alias("still"))
-            still = held(now.unionByName(still.join(heard, "doc_id", "left_anti")))
-            done = held(done.union(still.filter(F.col("still") >= patience).select("doc_id")).distinct())
-            after = after.join(done, "doc_id", "left_anti")
-        pending = held(after)
-    usable = log.filter(F.col("passed") & ((F.col("answer") != "") if choice else F.lit(True)))
-    accepted = usable.groupBy(*KEYS).agg(F.max_by("answer", "round").alias("answer")).withColumn("status", F.lit("passed"))
-    forced = force_longest(best.join(done, "doc_id", "left_semi"), accepted, KEYS)
-    accepted = held(accepted.unionByName(forced.select(*KEYS, "answer", F.lit("longest").alias("status"))))
-    unreviewed = log.filter("review is null").select(*KEYS).distinct().withColumn("unreviewed", F.lit(True))
-    final = final_answers(every.select(*KEYS, "pos", "question").join(accepted.select(*KEYS, "status"), KEYS, "left"), accepted, tuple(KEYS), "" if choice else NO_ANSWER, order=("doc_id", "pos"))
-    status = F.coalesce("status", F.when(F.col("unreviewed"), "unreviewed"), F.lit("open"))
-    return {"answers": held(final.join(unreviewed, KEYS, "left").select(*KEYS, "pos", F.col("question").alias("title"), "answer", status.alias("status"))).orderBy("doc_id", "pos"), "log": log}
+        told = reviews.select(of(reviews), "qid", F.coalesce("review", F.lit("")).alias("review")).dropDuplicates(KEYS)
+        passed = passes(F.col("review"))
+        shown = F.when(passed, choice_letters(F.col("answer"))).otherwise(F.col("answer")) if choice else F.col("answer")
+        outcome = asked.join(told, KEYS, "left").select(*KEYS, "pos", shown.alias("answer"), "review", passed.alias("passed"), F.lit(turn).alias("round"))
+        over.append(f"round-{turn:04d}")
+        tables.write(outcome, over[-1])
+        log = tables.read(over, OUTCOME)
+        tables.drop(f"pending-{turn:04d}", name)
+    if not tables.has("answers"):
+        accepted = log.filter(usable(choice)).groupBy(*KEYS).agg(F.max_by("answer", "round").alias("answer")).withColumn("status", F.lit("passed"))
+        if not choice:
+            seen = log.filter("review is not null").join(stopped(log, patience), "doc_id", "left_semi")
+            forced = force_longest(longest_first(seen, KEYS, "answer", "round"), accepted, KEYS)
+            accepted = accepted.unionByName(forced.select(*KEYS, "answer", F.lit("longest").alias("status")))
+        unreviewed = log.filter("review is null").select(*KEYS).distinct().withColumn("unreviewed", F.lit(True))
+        final = final_answers(every.join(accepted.select(*KEYS, "status"), KEYS, "left"), accepted, tuple(KEYS), "" if choice else NO_ANSWER)
+        status = F.coalesce("status", F.when(F.col("unreviewed"), "unreviewed"), F.lit("open"))
+        tables.write(final.join(unreviewed, KEYS, "left").select(*KEYS, "pos", F.col("question").alias("title"), "answer", status.alias("status")), "answers")
+    return {"answers": tables.read("answers").orderBy("doc_id", "pos"), "log": log, "tables": tables}
 
 
 def vectors_of(found: DataFrame, slots: int = SLOTS) -> DataFrame:

@@ -14,17 +14,21 @@ from folioflow.operators import images as I
 from folioflow.operators import segments as S
 from folioflow.operators.references import bundle, search_context
 from folioflow.plans import parsing
-from folioflow.plans.documents import cached, contexts_of, feedback_rounds, link_lines, stage_key
+from folioflow.plans.documents import contexts_of, feedback_rounds, link_lines, link_requests
 from folioflow.plans.rounds import held, solve, vectors_of
+from folioflow.plans.stages import content_key, items_key, staged
 from folioflow.sinks.render import counts_per_kind, docx_files, save_files, write_documents
 from folioflow.sources import files as sources
 from folioflow.sources import providers
-
+from folioflow.tables import Tables
 
 
 @dataclass
 class Providers:
-    """What answers. Unset ones work offline: items are split by rules, there is no search, link or feedback."""
+    """What answers. Unset ones work offline: items are split by rules, there is no search, link or feedback.
+
+    ``link_prompt`` is the path of a text that goes with each programming item; ``version`` tells providers apart whose answers may differ.
+    """
 
     solver: providers.Solver = providers.offline_solver
     reviewer: providers.Reviewer = providers.offline_reviewer
@@ -33,7 +37,9 @@ class Providers:
     editor: Callable[[DataFrame], DataFrame] | None = None
     links: DataFrame | None = None
     feedback: DataFrame | None = None
+    link_prompt: str | None = None
     raster: Callable[[bytes, int], np.ndarray] = I.layout
+    version: str = ""
 
 
 @dataclass
@@ -80,36 +86,62 @@ class Engine:
         return (row.bundle if row else NO_REFERENCES), warnings
 
     def answers(self, questions: DataFrame, images: DataFrame, kind: str, references: str) -> DataFrame:
-        """Answers of all items of a kind, in all documents."""
+        """Answers of all items of a kind, in all documents. A run that was broken off goes on with the rounds that it committed; a query's text is searched for once."""
         asked = questions.filter(F.col("kind") == kind)
-        if self.providers.search:
-            hits = held(self.providers.search(asked.select("doc_id", "qid", F.col("question").alias("query"))))
-            asked = search_context(asked, hits, ["doc_id", "qid"])
-        else:
-            asked = search_context(asked, self.spark.createDataFrame([], "doc_id string, qid string, rank int, title string, content string"), ["doc_id", "qid"])
-        return solve(I.with_images(asked, images), self.providers.solver, self.providers.reviewer, kind == "choice", references)["answers"]
+        with Tables(self.spark, tag="search") as searched:
+            if self.providers.search:
+                hits = providers.once(self.providers.search, searched)(asked.select("doc_id", "qid", F.col("question").alias("query")))
+            else:
+                hits = self.spark.createDataFrame([], "doc_id string, qid string, rank int, title string, content string")
+            return solve(I.with_images(search_context(asked, hits, ["doc_id", "qid"]), images), self.providers.solver, self.providers.reviewer, kind == "choice", references, folder=f"{self.folder}/rounds/{kind}")
+
+    def stage(self, name: str, files: DataFrame, items: DataFrame, make: Callable[[DataFrame], DataFrame], schema: str, *inputs: str) -> DataFrame:
+        """A stage's rows for the documents of ``items``; only those are made whose file, items or ``inputs`` aren't those of a kept row."""
+        read = files.select(F.col("doc_id").cast("string").alias("doc_id"), F.sha2("content", 256).alias("file"), (F.unix_micros("modified") / 1e6).alias("changed_at"))
+        keyed = read.join(items_key(items, ["doc_id"], ["kind", "pos", "qid", "question"]), "doc_id")
+        key = content_key(F.lit(name), F.lit(self.providers.version), F.col("file"), F.col("items"), *(F.lit(x) for x in inputs))
+        return staged(Tables(self.spark, f"{self.folder}/stages/{name}"), keyed.select("doc_id", key.alias("key"), "changed_at"), make, schema)
 
     def links(self, questions: DataFrame) -> DataFrame:
         """(doc_id, links): a line per programming item."""
         given = self.providers.links if self.providers.links is not None else self.spark.createDataFrame([], "doc_id string, qid string, link string")
         return link_lines(questions.filter("kind = 'programming'"), given, ["doc_id"])
 
-    def run(self, paths: list[str], pdfs: list[str] | None = None, texts: list[str] | None = None) -> dict[str, DataFrame]:
-        """All stages. Answers are taken from the stage tables where files, references and items are the same; parsing and images are made anew.
+    def run(self, paths: list[str], pdfs: list[str] | None = None, texts: list[str] | None = None) -> dict:
+        """All stages. Answers are taken from the stage tables for each document whose file, references and items are the same; parsing and images are made anew.
 
         Writes ``documents`` (text), ``docx`` and ``images`` (tables with the files' bytes) and the files themselves below
-        ``folder``; gives those tables, ``contexts``, ``warnings``, ``errors`` and ``counts``.
+        ``folder``; gives those tables, ``contexts``, ``warnings``, ``errors``, ``counts``, ``requests`` (what goes with each
+        programming item) and ``metrics``, which the writes observed.
         """
         files = held(self.read(paths))
-        names, questions, errors = (held(x) for x in self.parse(files))
+        names, questions, errors = self.parse(files)
+        names, errors = held(names), held(errors)
+        own = Tables(self.spark, tag="items")
+        questions, metrics = own.observed(questions, "questions", items=F.count(F.lit(1)), **{kind: F.count_if(F.col("kind") == kind) for kind in parsing.KINDS})
         images = held(self.screenshots(files, questions))
         text, warnings = self.references(pdfs or [], texts or [])
-        inputs = [str(questions.agg(F.sum(F.xxhash64("doc_id", "kind", "pos", "qid", "question").cast("decimal(38,0)")), F.count("*")).first()), text]
-        changed = files.agg(F.max(F.unix_micros("modified") / 1e6)).first()[0]
-        stage = lambda name, make: cached(self.spark, f"{self.folder}/stages", stage_key(name, *inputs), make, changed)
-        choice = stage("choice", lambda: self.answers(questions, images, "choice", text))
-        short = stage("short_answer", lambda: self.answers(questions, images, "short_answer", text))
-        links = stage("programming", lambda: self.links(questions)) if self.providers.links is None else self.links(questions)
+        of = lambda kind: questions.filter(F.col("kind") == kind)
+
+        def answered(kind: str) -> DataFrame:
+            loops = []
+
+            def make(ids: DataFrame) -> DataFrame:
+                loops.append(self.answers(questions.join(ids, "doc_id", "left_semi"), images, kind, text))
+                return loops[-1]["answers"]
+
+            rows = held(self.stage(kind, files, of(kind), make, "qid string, pos int, title string, answer string, status string", text))
+            for loop in loops:  # what they gave is in the stage's table now
+                loop["tables"].close()
+            return rows
+
+        choice, short = answered("choice"), answered("short_answer")
+        prompt = sources.prompt_text(self.spark, self.providers.link_prompt) if self.providers.link_prompt else ""
+        requests = link_requests(of("programming"), prompt)
+        if self.providers.links is None:
+            links = self.stage("programming", files, of("programming"), lambda ids: self.links(questions.join(ids, "doc_id", "left_semi")), "links string", prompt)
+        else:
+            links = self.links(questions)
         contexts = held(contexts_of(names, vectors_of(choice), short, links, self.config.identity))
         if self.providers.feedback is not None and self.providers.editor is not None:
             contexts = feedback_rounds(contexts, self.providers.feedback, self.providers.editor)
@@ -120,4 +152,4 @@ class Engine:
         path = F.concat(F.lit("files/"), F.col("doc_id"), F.lit("/"), F.col("file_name")).alias("path")
         save_files(made["docx"].select(path, "content"), self.folder)
         save_files(made["images"].select(F.concat(F.lit("files/"), F.col("path")).alias("path"), "content"), self.folder)
-        return made | {"contexts": contexts, "image_map": I.image_map(questions, images), "warnings": warnings, "errors": errors, "counts": counts_per_kind(questions)}
+        return made | {"contexts": contexts, "image_map": I.image_map(questions, images), "warnings": warnings, "errors": errors, "counts": counts_per_kind(questions), "requests": requests, "metrics": metrics}

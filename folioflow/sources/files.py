@@ -49,6 +49,13 @@ def text_sources(spark: SparkSession, paths: list[str] | str, limit: int = SOURC
     return files.select("path", F.when(readable, truncated(strip(F.col("content").cast("string")), limit)).otherwise("").alias("content"), F.when(~readable, "the file isn't UTF-8").alias("error"))
 
 
+def prompt_text(spark: SparkSession, path: str) -> str:
+    """A prompt file's whole text, as it is: data for a request, never instructions to this library. A missing file raises ``FileNotFoundError``."""
+    if not _exists(spark, path):
+        raise FileNotFoundError(path)
+    return spark.read.text(path, wholetext=True).first().value
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     held = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = held.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(held)

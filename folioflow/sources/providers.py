@@ -9,14 +9,20 @@ from __future__ import annotations
 import ast
 import json
 import operator
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.operators.references import HITS, most_shared
+from folioflow.tables import Tables, spread
+
+#: Calls under way in a partition, attempts of a call, turns of a conversation with tools, and what a wait of a second is made to last.
+AT_ONCE, ATTEMPTS, TURNS, PAUSE = 4, 3, 10, 1.0
 
 #: (doc_id, prompt, parts, ids, round) -> (doc_id, reply), one reply for all pending questions of a document.
 Solver = Callable[[DataFrame], DataFrame]
@@ -35,25 +41,80 @@ def offline_reviewer(requests: DataFrame) -> DataFrame:
     return requests.select("doc_id", "qid", F.when(F.col("answer") != "", "PASS").otherwise("empty").alias("review"))
 
 
-def called(requests: DataFrame, connect: Callable[[], Callable[[dict], str | None]], keys: str, reply: str = "reply") -> DataFrame:
-    """(keys, ``reply``): a model's replies. ``connect`` makes one client per partition, on the executor; it is called with each
-    request as a dictionary. A call that fails gives no row."""
+class Pace:
+    """At most ``per_second`` calls begin in a second, however many threads make them."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def __call__(self) -> None:
+        with self.lock:
+            at = max(time.monotonic(), self.next)
+            self.next = at + self.gap
+        if (rest := at - time.monotonic()) > 0:
+            time.sleep(rest)
+
+
+def calls(
+    requests: DataFrame, connect: Callable[[], Callable], keys: str, reply: str = "reply", messages: Callable[[dict], list[dict]] | None = None,
+    at_once: int = AT_ONCE, per_second: float | None = None, attempts: int = ATTEMPTS, turns: int = TURNS, pause: float = PAUSE,
+) -> DataFrame:
+    """(keys, ``reply``, attempts, error): a row for each request, with how many calls it took and, where all failed, why.
+
+    ``connect`` makes one client per partition, on the executor. With ``messages``, which makes a request's messages, the client is called with
+    a history and its tool calls are answered (``converse``); without, it is called with the request as a dictionary and
+    gives the reply. A partition has at most ``at_once`` calls under way and begins at most ``per_second``; connection
+    errors are tried again after growing waits, others aren't. Replies go on as they come in, a few requests at a time.
+    """
     names = [x.split()[0] for x in keys.split(", ")]
+    schema = pa.schema([*(pa.field(n, pa.string()) for n in (*names, reply)), pa.field("attempts", pa.int32()), pa.field("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        client = None
-        for batch in batches:
-            client = client or connect()
-            rows = []
-            for request in batch.to_pylist():
+        client, pace = None, Pace(per_second)
+        with ThreadPoolExecutor(at_once) as pool:
+
+            def ask(request: dict) -> dict:
+                n = 0
+
+                def call(history: list[dict]) -> dict:
+                    nonlocal n
+                    pace()
+                    n += 1
+                    return client(history) if messages else {"content": client(request)}
+
+                told = {k: request[k] for k in names}
                 try:
-                    rows.append({k: request[k] for k in names} | {reply: client(request)})
-                except Exception:  # noqa: BLE001  a call that failed after all attempts
-                    continue
-            made = {n: [r[n] for r in rows] for n in (*names, reply)}
-            yield pa.RecordBatch.from_pydict(made, schema=pa.schema([pa.field(n, pa.string()) for n in (*names, reply)]))
+                    said = converse(call, messages(request) if messages else [], turns, attempts, lambda s: time.sleep(s * pause))
+                    return told | {reply: said.get("content"), "attempts": n, "error": None}
+                except Exception as e:  # noqa: BLE001  one request's failure is a row, not the job's end
+                    return told | {reply: None, "attempts": n, "error": f"{type(e).__name__}: {e}"}
 
-    return requests.mapInArrow(run, f"{keys}, {reply} string")
+            for batch in batches:
+                client = client or connect()
+                for at in range(0, batch.num_rows, 8 * at_once):
+                    made = list(pool.map(ask, batch.slice(at, 8 * at_once).to_pylist()))
+                    yield pa.RecordBatch.from_pylist(made, schema)
+
+    return requests.mapInArrow(run, f"{keys}, {reply} string, attempts int, error string")
+
+
+def called(requests: DataFrame, connect: Callable[[], Callable], keys: str, reply: str = "reply", failures: Callable[[DataFrame], DataFrame] | None = None, **settings) -> DataFrame:
+    """(keys, ``reply``): the replies of ``calls`` that came. ``failures`` takes all rows, with attempts and errors, and gives them back, for instance as a
+    written table; without it those of failed calls are left out unseen."""
+    rows = calls(requests, connect, keys, reply, **settings)
+    return (failures(rows) if failures else rows).filter("error is null").select(*(x.split()[0] for x in keys.split(", ")), reply)
+
+
+def once(search: Callable[[DataFrame], DataFrame], tables: Tables, name: str = "hits") -> Callable[[DataFrame], DataFrame]:
+    """``search`` ((doc_id, qid, query) -> (doc_id, qid, rank, title, content)) asked once for each text of a query; its hits are written and joined back to all that asked."""
+
+    def run(questions: DataFrame) -> DataFrame:
+        keyed = questions.select("doc_id", "qid", F.sha2(F.coalesce("query", F.lit("")), 256).alias("text"), F.coalesce("query", F.lit("")).alias("query"))
+        each = keyed.groupBy("text").agg(F.first("query").alias("query")).select(F.lit("").alias("doc_id"), F.col("text").alias("qid"), "query")
+        hits = tables.write(search(each).select(F.col("qid").alias("text"), "rank", "title", "content"), name)
+        return keyed.drop("query").join(hits, "text").drop("text")
+
+    return run
 
 
 def words(text) -> Column:
@@ -61,9 +122,9 @@ def words(text) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)[^\p{Alnum}]+"), lambda x: x != ""))
 
 
-def corpus_search(questions: DataFrame, corpus: DataFrame, keys: list[str], k: int = HITS) -> DataFrame:
+def corpus_search(questions: DataFrame, corpus: DataFrame, keys: list[str], k: int = HITS, **settings) -> DataFrame:
     """(keys, rank, title, content): the documents of ``corpus`` (title, content) that share most words with each question (keys, query); of equal ones the first by title."""
-    return most_shared(questions.select(*keys, words(F.col("query")).alias("words")), corpus.select(F.col("title").cast("string"), "content", words(F.col("content")).alias("words")), keys, ["title", "content"], k)
+    return most_shared(questions.select(*keys, words(F.col("query")).alias("words")), spread(corpus.select(F.col("title").cast("string"), "content")).withColumn("words", words(F.col("content"))), keys, ["title", "content"], k, **settings)
 
 
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg}
@@ -89,8 +150,6 @@ TOOLS = {"arithmetic": lambda arguments: str(arithmetic(arguments.get("expressio
 
 def use_tool(name: str, arguments: str) -> str:
     """The result of a tool call; unknown tools and failures are told as text, bad arguments count as none."""
-
-
     try:
         given = json.loads(arguments)
     except ValueError:

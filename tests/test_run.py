@@ -272,9 +272,7 @@ def test_search(spark):
     corpus = spark.createDataFrame([(f"t{i}", t) for i, t in enumerate(["to be or not", "be", "", None, "to be", "TO BE or"])], "title string, content string")
     asked = spark.createDataFrame([("1", "to be"), ("2", "zzz"), ("3", None)], "qid string, query string")
     for group in (4096, 1):
-        old, R.most_shared.__defaults__ = R.most_shared.__defaults__, (R.HITS, group)
-        got = providers.corpus_search(asked, corpus, ["qid"], 3).orderBy("rank").collect()
-        R.most_shared.__defaults__ = old
+        got = providers.corpus_search(asked, corpus, ["qid"], 3, group=group).orderBy("rank").collect()
         assert [(r.qid, r.rank, r.title) for r in got] == [("1", 1, "t0"), ("1", 2, "t4"), ("1", 3, "t5")] and got[0].content == "to be or not"
     context = R.search_context(asked, providers.corpus_search(asked, corpus, ["qid"], 1), ["qid"])
     assert {r.qid: r.context for r in context.collect()} == {"1": "- t0: to be or not", "2": X.NO_CONTEXT, "3": X.NO_CONTEXT}
