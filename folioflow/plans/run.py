@@ -17,7 +17,8 @@ from folioflow.plans import parsing
 from folioflow.plans.documents import contexts_of, feedback_rounds, link_lines, link_requests
 from folioflow.plans.rounds import held, solve, vectors_of
 from folioflow.plans.stages import content_key, items_key, staged
-from folioflow.sinks.render import counts_per_kind, docx_files, save_files, write_documents
+from folioflow.sinks.files import save_files
+from folioflow.sinks.render import counts_per_kind, docx_files, write_documents
 from folioflow.sources import files as sources
 from folioflow.sources import providers
 from folioflow.tables import Tables

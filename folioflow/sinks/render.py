@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from datetime import UTC, datetime
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,24 +44,6 @@ def docx_files(contexts: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id string, file_name string, content binary")
 
 
-def save_files(files: DataFrame, folder: str, path_col: str = "path", overwrite: bool = True) -> None:
-    """Writes each row's ``content`` as a file below ``folder``, which every executor must see under that path. A file is
-    written beside its place and moved there, so none is ever half written; with ``overwrite=False`` one that is there stays, and the
-    new one has the time in its name."""
-
-    def run(rows) -> None:
-        for row in rows:
-            target = Path(folder) / row[path_col]
-            target.parent.mkdir(parents=True, exist_ok=True)
-            if target.exists() and not overwrite:
-                target = target.with_name(f"{target.stem}_{datetime.now(UTC):%Y%m%d_%H%M%S}{target.suffix}")
-            beside = target.with_name(f".{target.name}.{uuid.uuid4().hex}")
-            beside.write_bytes(row["content"])
-            beside.replace(target)
-
-    files.select(path_col, "content").foreachPartition(run)
-
-
 def write_docx(context: dict, template: str, target: str) -> str:
     """One document through a template and ``docxtpl``, where that library is installed; ``docx_files`` needs neither."""
     from docxtpl import DocxTemplate

@@ -22,6 +22,7 @@ from folioflow.plans.rounds import solve
 from folioflow.plans.run import Engine, Providers
 from folioflow.sinks import render
 from folioflow.sinks.docx import docx
+from folioflow.sinks.files import save_files
 from folioflow.sources import files, pdf, providers
 from folioflow.streaming import texts as streams
 
@@ -295,7 +296,7 @@ def test_rendering(spark, tmp_path):
     body = zipfile.ZipFile(io.BytesIO(row.content)).read("word/document.xml").decode()
     assert row.file_name == "h_1.docx" and len(re.findall("<w:tc>", body)) == 4 and "&lt;q&gt;&amp;" in body
     for _ in range(2):
-        render.save_files(render.docx_files(df).withColumnRenamed("file_name", "path"), str(tmp_path), overwrite=False)
+        save_files(render.docx_files(df).withColumnRenamed("file_name", "path"), str(tmp_path), overwrite=False)
     assert len(list(tmp_path.glob("h_1*.docx"))) == 2
     assert docx("a\x00", [], [], [], []) == docx("a", [], [], [], [])
 
