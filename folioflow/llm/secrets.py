@@ -2,8 +2,9 @@
 
 The lexer reads a text once, as tokens: comments, strings (plain, triple-quoted, escaped), markup elements, section
 headings, braces, indented mappings and the pairs of a name and a value (``name = "literal"``, ``"name": "literal"``,
-``NAME=literal``, ``<name>literal</name>``, ``name: |`` with its lines). Constants are carried through names that are assigned
-to other names, in the block where they were bound, and through ``+``. A literal's score is how sensitive the
+``NAME=literal``, ``<name>literal</name>``, ``name: |`` with its lines), lists of literals under a name (in brackets, or a line
+with a dash each) and the arguments of a call whose name is sensitive. Constants are carried through names that are assigned
+to other names, in the block where they were bound (braces, or the indented lines of a ``def`` or ``class``), and through ``+``. A literal's score is how sensitive the
 name is that it reaches, or the heading it stands under, times how much it looks like a secret. Work is per
 text and grows with its length; a compiled filter passes over texts that name nothing sensitive.
 """
@@ -43,6 +44,8 @@ FILTERS = {
 }
 #: Names that hold a stem but no secret.
 HARMLESS = re.compile(r"(?i)(token(izer|s|_?type|_?count|_?limit|_?id)|max_?token|author|public_?key|_?(file|path|url|name|length|field|hint|policy|expiry)$)")
+#: Calls that ask for a secret by its name, or tell of one, hold none.
+ASKS = re.compile(r"(?i)(^|[_.])(get|read|load|fetch|find|lookup|describe|list|is|has|check|require|delete|remove|env|environ|count|print|log)([_.A-Z]|$)|^(get|read|load|fetch|find|is|has|check|require|delete|remove)(?-i:[A-Z])")
 PLACEHOLDER = re.compile(r"(?i)<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*|x+|\*+|\.+|(your|my|example|sample|dummy|test|fake|change_?me|placeholder|redacted|none|null|true|false|undefined)[\w\-]*")
 SCORE_FROM = 0.55
 #: A literal under a sensitive heading counts as one of that name if its own name says nothing (``VALUE_NAMES``), else at this share.
@@ -54,7 +57,9 @@ _STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\.[^\'\\\n]*+)*+\'|
 _WORD = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
 _TYPE = r"(?:&'static[\x20]str|&?str|[Ss]tring|bytes|[Aa]ny|Optional\[str\]|Final(?:\[str\])?)\??"
 _TOKEN = re.compile(
-    rf"""(?P<pair>(?P<escape>\\{{0,3}}+)(?P<quote>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_WORD})(?P=escape)(?P=quote)\]?(?:[\x20\t]*:?[\x20\t]*{_TYPE})?[\x20\t]*(?P<op>:=|=>|\+=|!==?|={{1,3}}|:(?!:|//)))"""
+    rf"""(?P<scope>(?<![^\n])(?P<margin>[\x20\t]*+)(?:async[\x20]++)?+(?:def|class)[\x20]++{_WORD})"""
+    rf"""|(?P<pair>(?P<escape>\\{{0,3}}+)(?P<quote>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_WORD})(?P=escape)(?P=quote)\]?(?:[\x20\t]*:?[\x20\t]*{_TYPE})?[\x20\t]*(?P<op>:=|=>|\+=|!==?|={{1,3}}|:(?!:|//)))"""
+    rf"""|(?P<call>(?<![A-Za-z0-9_.\-])(?P<callee>{_WORD})\()"""
     r"""|(?P<comment>/\*|<!--|(?:(?<=\s)|(?<![\s\S]))(?:\#|//)[^\n]*+)"""
     r"""|(?P<triple>"{3}|'{3})"""
     rf"""|(?P<string>(?<![A-Za-z0-9])(?:{_STRING})|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+")"""
@@ -66,6 +71,11 @@ _TOKEN = re.compile(
 _TERM = re.compile(rf"""[\x20\t]*(?:(?P<paren>\(\s*)?+(?:[bBrRuUfF]{{1,2}})?(?:(?P<triple>"{{3}}|'{{3}})|(?P<string>{_STRING})|(?P<escaped>\\+"[^"\\\n]*+\\+"|\\+'[^'\\\n]*+\\+'))|(?P<block>[|>][+\-]?\d?[\x20\t]*+\n)|(?P<brace>\{{)|(?P<ends>(?![^\n])))""")
 _BARE = re.compile(r"""[\x20\t]*([^\s,;#"'`(){}\[\]]++)""")
 _REFERENCE = re.compile(rf"\$?\{{?({_WORD})\}}?(?=[\s,;)+.]|$)")
+_OPEN = re.compile(r"[\x20\t]*+\[")
+#: What is passed over among the items of a list: anything without marks.
+_PLAIN = re.compile(r"""[^\s,;()"'`\[\]{}]++""")
+#: A line with a dash and one value, after blank lines; what holds more than that is left to the tokens.
+_DASH = re.compile(rf"""(?:[\x20\t]*+\n)++(?P<margin>[\x20\t]*+)-[\x20\t]++(?:(?P<string>{_STRING})|(?P<bare>[^\s,;#"'`(){{}}\[\]]++))(?=[\x20\t]*+(?:(?<=[\x20\t])\#[^\n]*+)?(?![^\n]))""")
 _JOIN = re.compile(r"[\x20\t]*+(?:\n[\x20\t]*+)?[+.][\x20\t]*+(?:\n[\x20\t]*+)?")
 _GAP = re.compile(r"\s*+")
 _LEAD = re.compile(r"[\x20\t]*+(?:-[\x20\t]++)*+")
@@ -218,6 +228,51 @@ class _Lexer:
         ref = _REFERENCE.match(self.text, at, stop)
         return bool(ref) and ref[1] in self.held
 
+    def item(self, value: _Value, weight: float) -> None:
+        """One value of a list: a secret, or a text that is read by itself."""
+        if not self.credit(value, weight) and value.quoted and value.span and value.folded is None and value.n:
+            self.region(*value.span, weight)
+
+    def listed(self, at: int, stop: int, weight: float, bare: bool = False) -> int:
+        """Reads literals and constants parted by commas, passing over plain words (which are values where they are ``bare``); gives where something else stands."""
+        while True:
+            at = _GAP.match(self.text, at, stop).end()
+            value, end, kind = self.value(at, stop, 0)
+            if kind in ("block", "paren", "brace"):
+                return at
+            if value is not None:
+                self.item(value, weight)
+            elif plain := _PLAIN.match(self.text, at, stop):
+                end = plain.end()
+            else:
+                return at
+            after = _GAP.match(self.text, end, stop).end()
+            more = after < stop and self.text[after] == ","
+            if value is None and not more and not (bare and after < stop and self.text[after] == "]"):
+                return at
+            if value is None and bare:
+                self.item(_Value((at, end), False), weight)
+            if not more:
+                return end
+            at = after + 1
+
+    def dashes(self, at: int, stop: int, indent: int, weight: float) -> int:
+        """Reads the lines of one value each that follow ``at``, indented by ``indent`` at least."""
+        while (m := _DASH.match(self.text, at, stop)) and len(m["margin"]) >= indent:
+            if m["bare"] is None:
+                self.item(_Value((m.start("string") + 1, m.end("string") - 1), True), weight)
+            elif re.search(r":$|=", m["bare"]):  # a mapping's or a pair's own name
+                break
+            else:
+                self.item(_Value(m.span("bare"), False), weight)
+            at = m.end()
+        return at
+
+    def leave(self, blocks: list[_Frame], indent: int = -1) -> None:
+        """Ends the blocks by indentation that a line with this indent isn't in; a negative one: all within the last brace."""
+        while blocks[-1].kind == "scope" and blocks[-1].indent >= indent:
+            self.close(blocks.pop())
+
     def bind(self, frame: _Frame, name: str, value: _Value) -> None:
         frame.undo.append((name, self.held.get(name)))
         self.held[name] = value
@@ -242,7 +297,7 @@ class _Lexer:
         text, frames, blocks = self.text, [_Frame("", inherited)], [_Frame("", 0.0)]
         seen = line = at
         lead = _LEAD.match(text, at, stop).end()
-        label, bare_end, counted, counts = "", 0, 0, None
+        label, bare_end, counted, counts, braces = "", 0, 0, None, 0
         while m := _TOKEN.search(text, at, stop):
             group, at = m.lastgroup, m.end()
             if (k := text.rfind("\n", seen, m.start())) >= 0:
@@ -290,11 +345,20 @@ class _Lexer:
                     frames.pop()
                 if own := name_weight(m["section"]):
                     frames.append(_Frame("heading", own))
+            elif group == "scope":
+                self.leave(blocks, len(m["margin"]))
+                blocks.append(_Frame("scope", 0.0, indent=len(m["margin"])))
+            elif group == "call":
+                if (own := name_weight(m["callee"])) and not ASKS.search(m["callee"]):
+                    at = self.listed(at, stop, own)
             elif group == "brace":
                 if m[0] == "{":
                     frames.append(_Frame("brace", weight))
                     blocks.append(frames[-1])
-                elif len(blocks) > 1:
+                    braces += 1
+                elif braces:
+                    braces -= 1
+                    self.leave(blocks)
                     while frames.pop() is not blocks[-1]:
                         pass
                     self.close(blocks.pop())
@@ -306,16 +370,22 @@ class _Lexer:
                     while len(frames) > 1 and frames[-1].kind == "mapping" and frames[-1].indent >= indent:
                         frames.pop()
                     weight = frames[-1].weight
+                    self.leave(blocks, indent)
                 value, end, kind = self.value(start, stop, indent)
                 own = name_weight(name)
                 if kind == "brace":
                     frames.append(_Frame("brace", max(weight, own)))
                     blocks.append(frames[-1])
+                    braces += 1
                     at = _TERM.match(text, start, stop).end()
                     continue
                 if kind == "ends":
                     if own and first and op == ":":
                         frames.append(_Frame("mapping", max(weight, own), indent=indent))
+                        at = self.dashes(start, stop, indent, max(weight, own))
+                    continue
+                if value is None and own and op in ("=", ":", ":=", "=>", "+=") and (opened := _OPEN.match(text, start, stop)):
+                    at, label = self.listed(opened.end(), stop, own, bare=op == ":"), ""
                     continue
                 known = None
                 if value is None:
