@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +44,35 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
+#: Tables that a result still reads.
+Kept = list[tuple[SparkSession, str]]
+_SESSION: Kept = []
+_OWNER: ContextVar[Kept] = ContextVar("owner", default=_SESSION)
+
+
+@contextmanager
+def owned() -> Iterator[Kept]:
+    """The tables kept within this block, in this thread, are its own: whoever has the list deletes them (``drop_tables``)
+    or gives them to the block around it (``keep``). They are deleted if the block fails."""
+    tables: Kept = []
+    before = _OWNER.set(tables)
+    try:
+        yield tables
+    except BaseException:
+        drop_tables(tables)
+        raise
+    finally:
+        _OWNER.reset(before)
+
+
 class Scratch:
     """The tables that one run writes on its way, in one folder of the shared one; each is deleted when it is no longer read.
 
     ``with Scratch(spark, "tag") as scratch:`` deletes at the end what ``cut`` wrote, but for tables written with
-    ``keep=True``, which the run's result still reads: those are part of the result, and ``drop_kept`` deletes them.
+    ``keep=True``, which the run's result still reads: those are part of the result and belong to the ``owned`` block around
+    the run, or to the session, where ``drop_kept`` deletes them.
     """
 
-    kept: list[tuple[SparkSession, str]] = []
-
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.path, self.passing = spark, shared_dir(spark, tag), []
 
@@ -62,7 +85,7 @@ class Scratch:
     def folder(self, tag: str, keep: bool = False) -> str:
         path = f"{self.path}/{tag}-{uuid.uuid4().hex[:12]}"
         if keep:
-            Scratch.kept.append((self.spark, path))
+            _OWNER.get().append((self.spark, path))
         else:
             self.passing.append(path)
         return path
@@ -79,10 +102,18 @@ class Scratch:
         self.passing = []
 
 
-def drop_kept(since: int = 0) -> None:
-    """Deletes the tables that results of this session read, but for the first ``since``; call it when those results have been written."""
-    while len(Scratch.kept) > since:
-        drop_dir(*Scratch.kept.pop())
+def drop_tables(tables: Kept) -> None:
+    while tables:
+        drop_dir(*tables.pop())
+
+
+def keep(tables: Kept) -> None:
+    _OWNER.get().extend(tables)
+
+
+def drop_kept() -> None:
+    """Deletes the tables that results of this session read and no ``owned`` block holds; call it when those results have been written."""
+    drop_tables(_SESSION)
 
 
 def lower_ascii(text: Column) -> Column:

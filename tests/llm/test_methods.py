@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import near_dup, quality_model, quality_rules, secrets, topk, training_order, warc
-from folioflow.llm.common import Scratch, drop_kept, shared_dir
+from folioflow.llm.common import Scratch, drop_kept, drop_tables, keep, owned, shared_dir
 
 KEY = "Zx9#mQ2!vb77"
 
@@ -554,10 +554,40 @@ def test_passing_tables_are_deleted(spark, tmp_path):
         assert len(glob.glob(f"{folder}/*")) == 2
     assert [p.split("/")[-1][0] for p in glob.glob(f"{folder}/*")] == ["b"] and kept.count() == 3
     docs = spark.createDataFrame([(i, f"a b c d e f{i}", "s") for i in range(5)], "doc_id long, text string, source string")
-    found = near_dup.link(docs)
-    assert found.count() == 5 and len(Scratch.kept) == 3
+    with owned() as tables:
+        found = near_dup.link(docs)
+    assert found.count() == 5 and len(tables) == 2
     drop_kept()
-    assert not glob.glob(f"{folder}/*")
+    assert not glob.glob(f"{folder}/*") and found.count() == 5
+    keep(tables)
+    drop_kept()
+    assert all(not glob.glob(f"{path.removeprefix("file:")}/*") for _, path in tables)
+
+
+def test_two_runs_delete_their_own_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    both = Barrier(2)
+
+    def run(n):
+        with owned() as tables:
+            both.wait()
+            made = Scratch(spark, "t").cut(spark.range(n), "x", keep=True)
+            both.wait()
+        return tables, made
+
+    with ThreadPoolExecutor(2) as pool:
+        (first, made), (second, other) = pool.map(run, (3, 4))
+    drop_tables(first)
+    assert not first and other.count() == 4 and len(second) == 1
+    drop_tables(second)
+    held = []
+    with pytest.raises(ValueError, match="broken"), owned() as tables:
+        Scratch(spark, "t").cut(spark.range(3), "x", keep=True)
+        held += tables
+        raise ValueError("broken")
+    assert held and not tables and not glob.glob(f"{held[0][1].removeprefix('file:')}/*")
 
 
 def test_no_local_folder_on_a_cluster():
