@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm import mixing, near_dup, pieces, quality_rules, secrets
-from folioflow.llm.common import Scratch, drop_kept, table
+from folioflow.llm.common import Scratch, drop_tables, keep, owned, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again; a stage's tables go when the next one's are written."""
+    """All stages over ``documents``, each written and read again; a stage's tables go when the next one's are written, all of them if the run fails."""
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
-    held = len(Scratch.kept)
-    for name, stage in STAGES[:-1]:
-        docs = scratch.cut(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
-        written = Scratch.kept.pop()
-        drop_kept(held)
-        Scratch.kept.append(written)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with owned() as held:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.cut(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+            written = held.pop()
+            drop_tables(held)
+            held.append(written)
+        made = STAGES[-1][1](spark, docs, sf_dir)
+    keep(held)  # the result reads the last of them
+    return made
