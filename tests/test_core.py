@@ -2,6 +2,7 @@ import json
 import random
 import re
 import time
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,12 @@ def test_catalogue_against_sql(spark, name):
     found = con.execute(catalogue.ORACLE[name])
     names = [d[0] for d in found.description]
     assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r[n] for n in names)) for r in catalogue.QUERIES[name](spark, SF).collect())
+
+
+def test_texts_without_markers_are_passed_over(spark):
+    pieces = ["*", "_", "`", "#", "[", "](u)", "+", "-", " ", "\u3000", "\n", "1", "\u0663", ".", "a", "\t"]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(7))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    always = X.strip(reduce(lambda c, rule: F.regexp_replace(c, *rule), X.MARKDOWN, F.coalesce("t", F.lit(""))))
+    assert df.filter(~X.strip_markdown(F.col("t")).eqNullSafe(always)).count() == 0 < df.filter(~F.col("t").rlike(X.MARKER)).count()
