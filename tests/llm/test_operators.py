@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.llm import licenses, mixing, near_dup, pieces, quality_model, quality_rules, secrets, topk, training_order, warc
+from folioflow.llm.notices import TEXTS
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, score string, words string, kept string"
 
@@ -51,9 +52,44 @@ def test_licenses(docs, none):
 
 def test_license_notice_with_a_changed_word(spark):
     notice = licenses.NOTICES[0][0].split()
-    notice[8] = "every"
+    notice[8] = "the"
     got = licenses.scan(spark.createDataFrame([(1, "x y " + " ".join(notice))], "doc_id long, text string")).first()
-    assert got.labels == "mit-notice" and licenses.COVERAGE <= got.score < 1 and got.base_labels == ""
+    assert got.labels == "mit-notice" and licenses.NOTICES[0][2] <= got.score < 1 and got.base_labels == ""
+
+
+def test_whole_license_texts(spark):
+    """Each text is told from its relatives, also where a holder's name is another one or lines begin with a mark; none comes from its words in another order."""
+    drawn = random.Random(5)
+    rows, wanted = [], []
+    for text, label in TEXTS:
+        rows.append(f"# Copyright (c) 1999 A. Person\n{text}\nimport os\n" * 2)
+        wanted.append({label})
+        shuffled = text.split()
+        drawn.shuffle(shuffled)
+        rows.append(" ".join(shuffled))
+        wanted.append(set())
+    by = dict((label, text) for text, label in TEXTS)
+    rows.append(by["bsd-3-text"].replace("copyright holder nor", "University of Elsewhere nor").replace("COPYRIGHT HOLDER OR", "REGENTS OR"))
+    wanted.append({"bsd-3-text"})
+    rows.append("// " + by["apache-2-text"].replace("\n", "\n// "))
+    wanted.append({"apache-2-text"})
+    got = licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    for r in got:
+        found = {x for x in r.labels.split(",") if x.endswith("-text")}
+        assert found == wanted[r.doc_id], (rows[r.doc_id], found)
+
+
+def test_license_scan_keeps_every_row(spark):
+    rows = [(None, None), (None, ""), (7, "a b"), (7, "a b"), (8, "cc by nc " * 50_000), (9, "under the mit"), (10, "\u00e9 under the mit license")]
+    got = licenses.scan(spark.createDataFrame([(*r, 1, "t") for r in rows], "doc_id long, text string, i int, t string")).collect()
+    assert sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_base) for r in got) == sorted([((True, 0), 0, 0), ((True, 0), 0, 0), ((False, 7), 2, 0), ((False, 7), 2, 0), ((False, 8), 150_000, 50_000), ((False, 9), 3, 0), ((False, 10), 5, 1)])
+
+
+def test_license_rows_leave_the_scan_in_generated_code(docs):
+    """The join of all k-grams is of one long key, in the same generated code as the explode: texts aren't copied for each of their words."""
+    plan = licenses.scan(docs)._jdf.queryExecution().executedPlan().toString()
+    line = next(x for x in plan.splitlines() if "BroadcastHashJoin" in x)
+    assert re.search(r"BroadcastHashJoin \[h#\d+L?\], \[th#\d+L?\], Inner", line), line
 
 
 def test_quality_rules(docs, none):
