@@ -33,6 +33,7 @@ UNSAFE = r'[\\/:*?"<>|]'
 NO_LETTER = "[^A-Za-z ]"
 FENCE = r"(?s)```(?:json)?\s*(.*?)\s*```"
 SOURCE_LIMIT, BUNDLE_LIMIT, SLOTS = 40_000, 120_000, 50
+FAILURE = "failure: "
 NO_CONTEXT, NO_ANSWER, NO_LINK, NO_REFERENCES, NO_REASON, NO_TITLE = "(no context)", "(no answer)", "(no link)", "(no references)", "(no reason given)", "document"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.functions.text import BUNDLE_LIMIT, NO_CONTEXT, NO_REFERENCES, SOURCE_LIMIT, hit_line, reference_block, strip, truncated
+from folioflow.functions.text import BUNDLE_LIMIT, FAILURE, NO_CONTEXT, NO_REFERENCES, SOURCE_LIMIT, hit_line, reference_block, strip, truncated
 from folioflow.tables import Tables
 
 HITS = 5
@@ -101,7 +101,10 @@ def most_shared(asked: DataFrame, held: DataFrame, keys: list[str], order: list[
 
 
 def search_context(questions: DataFrame, hits: DataFrame, keys: list[str], otherwise: str = NO_CONTEXT) -> DataFrame:
-    """Each question with ``context``: a line per hit (keys, rank, title, content) by rank, or ``otherwise``."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rank", hit_line(F.col("title"), F.col("content")).alias("line")))), lambda x: x["line"])
-    context = hits.groupBy(*keys).agg(F.array_join(lines, "\n").alias("context"))
+    """Each question with ``context``: a line per hit (keys, rank, title, content) by rank; else, where ``hits`` has a column ``error`` with a value, that search's failure; else ``otherwise``."""
+    told = hits if "error" in hits.columns else hits.withColumn("error", F.lit(None).cast("string"))
+    line = F.when(F.col("error").isNull(), F.struct("rank", hit_line(F.col("title"), F.col("content")).alias("line")))
+    lines = F.transform(F.array_sort(F.collect_list(line)), lambda x: x["line"])
+    found = F.coalesce(F.nullif(F.array_join(lines, "\n"), F.lit("")), F.concat(F.lit(FAILURE), F.max("error")))
+    context = told.groupBy(*keys).agg(found.alias("context"))
     return questions.join(context, keys, "left").withColumn("context", F.coalesce("context", F.lit(otherwise)))

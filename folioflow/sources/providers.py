@@ -13,11 +13,15 @@ import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from urllib.error import HTTPError, URLError
+from urllib.parse import urlencode
+from urllib.request import urlopen
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import FAILURE
 from folioflow.operators.references import HITS, most_shared
 from folioflow.tables import Tables, spread
 
@@ -106,12 +110,13 @@ def called(requests: DataFrame, connect: Callable[[], Callable], keys: str, repl
 
 
 def once(search: Callable[[DataFrame], DataFrame], tables: Tables, name: str = "hits") -> Callable[[DataFrame], DataFrame]:
-    """``search`` ((doc_id, qid, query) -> (doc_id, qid, rank, title, content)) asked once for each text of a query; its hits are written and joined back to all that asked."""
+    """``search`` ((doc_id, qid, query) -> (doc_id, qid, rank, title, content), and ``error`` where it tells one) asked once for each text of a query; its hits are written and joined back to all that asked."""
 
     def run(questions: DataFrame) -> DataFrame:
         keyed = questions.select("doc_id", "qid", F.sha2(F.coalesce("query", F.lit("")), 256).alias("text"), F.coalesce("query", F.lit("")).alias("query"))
         each = keyed.groupBy("text").agg(F.first("query").alias("query")).select(F.lit("").alias("doc_id"), F.col("text").alias("qid"), "query")
-        hits = tables.write(search(each).select(F.col("qid").alias("text"), "rank", "title", "content"), name)
+        found = search(each)
+        hits = tables.write(found.select(F.col("qid").alias("text"), *(c for c in ("rank", "title", "content", "error") if c in found.columns)), name)
         return keyed.drop("query").join(hits, "text").drop("text")
 
     return run
@@ -127,6 +132,42 @@ def corpus_search(questions: DataFrame, corpus: DataFrame, keys: list[str], k: i
     return most_shared(questions.select(*keys, words(F.col("query")).alias("words")), spread(corpus.select(F.col("title").cast("string"), "content")).withColumn("words", words(F.col("content"))), keys, ["title", "content"], k, **settings)
 
 
+def service_search(base: str, k: int = HITS, timeout: float = 3600.0, **settings) -> Callable[[DataFrame], DataFrame]:
+    """A search ((doc_id, qid, query) -> (doc_id, qid, rank, title, content, error)) by a service: a GET of ``{base}search?q=...&format=json``, whose reply is an object with ``results``.
+
+    The first ``k`` results are hits; a title or content that isn't there is null. A search without results has no row, one
+    that failed (no connection after all attempts, a reply of another form) has one row with its ``error``. An error's status counts for
+    nothing where its body is such an object. Queries are encoded, so marks such as ``&`` in them do no harm. ``settings`` are those of
+    ``calls``; each run of the result asks anew, so go through ``once``.
+    """
+    if not base.startswith(("http://", "https://")):
+        raise ValueError(f"not the address of a service: {base}")
+
+    def connect() -> Callable[[dict], str]:
+        told = lambda value: None if value is None else str(value)
+
+        def client(request: dict) -> str:
+            try:
+                with urlopen(f"{base}search?{urlencode({'q': request['query'] or '', 'format': 'json'})}", timeout=timeout) as answer:
+                    body = answer.read()
+            except HTTPError as e:
+                body = e.read()
+            except URLError as e:
+                raise ConnectionError(str(e.reason)) from e
+            found = json.loads(body).get("results", [])[:k]
+            return json.dumps([{"title": told(x.get("title")), "content": told(x.get("content"))} for x in found])
+
+        return client
+
+    def run(questions: DataFrame) -> DataFrame:
+        rows = calls(questions.select("doc_id", "qid", "query"), connect, "doc_id string, qid string", **settings)
+        hits = F.from_json("reply", "array<struct<title:string,content:string>>")
+        each = rows.select("doc_id", "qid", "error", F.posexplode_outer(hits).alias("at", "hit")).filter("at is not null or error is not null")
+        return each.select("doc_id", "qid", (F.col("at") + 1).alias("rank"), "hit.title", "hit.content", "error")
+
+    return run
+
+
 _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.USub: operator.neg}
 
 
@@ -159,7 +200,7 @@ def use_tool(name: str, arguments: str) -> str:
     try:
         return TOOLS[name](given if isinstance(given, dict) else {})
     except Exception as e:  # noqa: BLE001
-        return f"failure: {e}"
+        return f"{FAILURE}{e}"
 
 
 def converse(call: Callable[[list[dict]], dict], messages: list[dict], turns: int = 10, attempts: int = 5, wait: Callable[[float], None] = time.sleep) -> dict:

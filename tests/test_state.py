@@ -1,16 +1,21 @@
 """Carries over blocks, the indexed search, loops and stages that go on where they were broken off, and calls that fail."""
 
+import http.server
+import json
 import random
 import threading
 import time
+import urllib.parse
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import NO_CONTEXT
 from folioflow.operators import references as R
 from folioflow.operators import segments as S
 from folioflow.operators.carry import carried
+from folioflow.operators.references import search_context
 from folioflow.plans import documents as D
 from folioflow.plans import parsing, stages
 from folioflow.plans.rounds import solve
@@ -253,6 +258,45 @@ def test_a_query_text_is_searched_once(spark, tmp_path):
     assert {(r.doc_id, r.qid, r.content) for r in got.collect()} == {(d, q, f"of {t or ''}") for d, q, t in rows} and sorted(r.query for r in told[0]) == ["", "other", "same"]
 
 
+class _Service(http.server.BaseHTTPRequestHandler):
+    """Replies by the query's text; the server's ``asked`` tells what came."""
+
+    def do_GET(self):
+        at = urllib.parse.urlsplit(self.path)
+        given = urllib.parse.parse_qs(at.query, keep_blank_values=True)
+        query = given["q"][0]
+        self.server.asked.append((at.path, query, given["format"][0]))
+        hits = [{"title": f"{query} {i}", "content": f"c{i}"} for i in range(7)]
+        body = {"many & more": {"results": hits}, "odd": {"results": [{"content": 5}, {"title": "t"}]}, "none": {"results": []}, "other": [1], "down": {"results": hits[:1]}}.get(query, "no object")
+        self.send_response(500 if query == "down" else 200)
+        self.end_headers()
+        self.wfile.write(b"{" if query == "broken" else json.dumps(body).encode())
+
+    def log_message(self, *_):
+        pass
+
+
+def test_search_by_a_service(spark, tmp_path):
+    """Hits, gaps, no results and failures become contexts; each text is asked for once; a service that isn't there is tried again."""
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Service) as server:
+        server.asked = []
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{server.server_port}/"
+        queries = ["many & more", "many & more", "odd", "none", "other", "broken", "down", None]
+        asked = spark.createDataFrame([("d", str(i), q) for i, q in enumerate(queries)], "doc_id string, qid string, query string")
+        hits = providers.once(providers.service_search(base, pause=0.0), Tables(spark, str(tmp_path / "a")))(asked)
+        got = {int(r.qid): r.context for r in search_context(asked, hits, ["doc_id", "qid"]).collect()}
+        server.shutdown()
+    assert got[0] == got[1] == "\n".join(f"- many & more {i}: c{i}" for i in range(5))
+    assert got[2] == "- None: 5\n- t: None" and got[3] == NO_CONTEXT and got[6] == "- down 0: c0"
+    assert all(got[i].startswith("failure: ") for i in (4, 5, 7)) and len(got) == len(queries)
+    assert sorted(q for _, q, _ in server.asked) == sorted({q or "" for q in queries}) and {(p, f) for p, _, f in server.asked} == {("/search", "json")}
+    gone = providers.service_search(base, pause=0.0, attempts=2)(asked.limit(1)).collect()
+    assert len(gone) == 1 and gone[0].rank is None and gone[0].error.startswith("ConnectionError")
+    with pytest.raises(ValueError, match="not the address"):
+        providers.service_search("file:///etc/")
+
+
 def test_link_requests(spark):
     items = spark.createDataFrame([("a", "1", "q"), ("a", "2", None)], "doc_id string, qid string, question string")
     assert [r.prompt for r in D.link_requests(items, " \n").collect()] == ["q", ""] and D.link_requests(items, "p").first().prompt == "p\n\nq"
