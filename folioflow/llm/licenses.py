@@ -1,6 +1,6 @@
 """License scans by diagonal voting: word k-grams are joined to template places, offsets that agree vote together.
 
-Each text is split once; the hashes of all its rolling k-grams meet some two thousand template k-grams in a broadcast
+Each text is split once; the hashes of all its rolling k-grams meet some 1,700 template k-grams in a broadcast
 hash join (the templates are constants, so its size doesn't grow with the data), and partial sums per document leave the
 scan, so a license that stands in a third of all documents is no hot key. No Python runs on the executors.
 """
