@@ -9,7 +9,8 @@
    differ the rest of the chunk is an index key: all pairs within the distance meet at some key.
 4. First, each key's members are compared with its smallest id only, then, in keys that still hold two
    components or more, with one member drawn per key, ``ROUNDS`` times. Each round is linear in the members,
-   and links what is linked often: a group of near copies grows together without its pairs being listed.
+   and links what is linked often: a group of near copies grows together without its pairs being listed. A member that
+   was compared with all others of a key leaves that key.
 5. Keys that hold two components even then are compared in full: their members are dealt into cells of
    bounded size that together hold every pair once, with their whole sets.
 6. Links are confirmed on whole sets. Sets are compared as 64-bit hashes of shingles, and as the shingles
@@ -286,20 +287,15 @@ def _shared_keys(scratch: Scratch, inner: Scratch, classes: DataFrame) -> DataFr
     return scratch.cut(hot_join(keys, lows, "key", keys.count()), "shared-keys")
 
 
-def left_over(scratch: Scratch, keys: DataFrame, links: DataFrame) -> DataFrame:
-    """``key``, ``which``, ``id``, ``root``, ``n`` for the members of keys that hold two components or more."""
+def left_over(scratch: Scratch, keys: DataFrame, links: DataFrame, turn: int) -> DataFrame:
+    """``key``, ``which``, ``id``, ``root`` for the members of keys that hold two components or more, with one member of each key (``b``, of component ``b_root``), drawn by a hash."""
     with Scratch(links.sparkSession, "near-dup") as inner:
         roots = inner.cut(components(inner, links), "roots")
         of = inner.cut(keys.select("key", "which", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "members")
-        open_keys = inner.cut(of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high").select("key", "n", F.col("n").alias("members")), "open-keys")
-        return scratch.cut(hot_join(of, open_keys, "key", of.count()).withColumnRenamed("members", "n"), "left-over")
-
-
-def drawn_pairs(scratch: Scratch, members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the members of a key with one of them (``b``), drawn by a hash, where their components differ. One pair for each member and drawn one at most."""
-    one = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "root")).alias("c")
-    drawn = scratch.cut(members.groupBy("key").agg(one, F.count(F.lit(1)).alias("n")).select("key", F.col("c.id").alias("b"), F.col("c.root").alias("b_root"), "n"), "drawn")
-    return hot_join(members, drawn, "key", members.count()).filter("root <> b_root").select(F.col("id").alias("a"), "b").distinct()
+        drawn = F.min(F.struct(F.xxhash64("id", "key", F.lit(turn)).alias("h"), "id", "root")).alias("c")
+        open_keys = of.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), drawn).filter("low < high")
+        open_keys = inner.cut(open_keys.select("key", F.col("c.id").alias("b"), F.col("c.root").alias("b_root"), "n"), "open-keys")
+        return scratch.cut(hot_join(of, open_keys, "key", of.count()), "left-over")
 
 
 def whole_sets(scratch: Scratch, docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
@@ -403,7 +399,7 @@ def _linked(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, numer
     again = scratch.cut(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min(F.xxhash64("same")) != F.max(F.xxhash64("same"))).alias("several")).filter("n > 1"), "repeated-ids")
     repeated = again.limit(1).count() > 0
     keys = shared_keys(scratch, classes)
-    
+
     def tested(make: Callable[[Scratch], DataFrame], screen: bool = True) -> DataFrame:
         with Scratch(docs.sparkSession, "near-dup") as inner:
             pairs = inner.cut(make(inner), "met")
@@ -411,14 +407,16 @@ def _linked(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, numer
                 pairs = inner.cut(screened(pairs, classes, numerator, denominator).distinct(), "pairs")
             return scratch.cut(confirmed(inner, pairs, named, numerator, denominator, repeated), "links")
 
-    links = tested(lambda _: keys.filter("id > low").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
-    rest = keys
+    # Whoever was compared with all other members of a key leaves it, so a key of two is done with its first comparison.
+    rest = keys.filter("id > low")
+    links = tested(lambda _: rest.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     for turn in range(ROUNDS + 1):
-        rest = left_over(scratch, rest, links)
+        rest = left_over(scratch, rest, links, turn)
         if not rest.limit(1).count():
             break
         if turn < ROUNDS:
-            links = links.union(tested(lambda inner, rest=rest, turn=turn: drawn_pairs(inner, rest, turn)))
+            links = links.union(tested(lambda _, rest=rest: rest.filter("root <> b_root").select(F.col("id").alias("a"), "b").distinct()))
+            rest = rest.filter("id <> b")
         else:
             links = links.union(tested(lambda inner, rest=rest: cell_pairs(inner, rest, classes, named, numerator, denominator, repeated).distinct(), screen=False))
     if repeated:  # ids with several texts join their classes
