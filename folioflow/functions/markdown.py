@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import strip, strip_markdown
+from folioflow.functions.text import SPACES, let, strip, strip_markdown
 
-BREAKS = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+BREAKS = "[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 BLOCKS = "array<struct<kind:string,text:string,cells:array<array<string>>>>"
 #: A table's lines, or any other line; each line begins with its mark: (s)eparator with bars, (b)ars, (r)ule without bars, (n)either.
 PARTS = r"[bs][^\n]*+\n[rs][^\n]*+(?:\n[bs][^\n]*+)*+|[^\n]++"
@@ -15,24 +15,25 @@ PARTS = r"[bs][^\n]*+\n[rs][^\n]*+(?:\n[bs][^\n]*+)*+|[^\n]++"
 
 def lines(text: Column) -> Column:
     """Lines without their ends and without space at the right; an empty text has none."""
-    split = F.split(text, BREAKS)
-    whole = F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split)
-    return F.transform(whole, lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    split = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), BREAKS)
+    whole = let(split, lambda s: F.when(F.element_at(s, -1) == "", F.slice(s, F.lit(1), F.size(s) - 1)).otherwise(s))
+    return F.transform(whole, lambda x: F.rtrim(x, F.lit(SPACES)))
 
 
 def is_table_line(line: Column) -> Column:
-    bare = strip(line)
-    return F.length(bare) - F.length(F.replace(bare, F.lit("|"), F.lit(""))) >= 2
+    return F.contains(line, F.lit("|")) & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2)
 
 
 def cells(line: Column) -> Column:
     """Cells without space around them; one bar at each end is left out."""
-    inner = F.regexp_replace(F.regexp_replace(strip(line), r"^\|", ""), r"\|$", "")
+    bar = F.lit("|")
+    left = let(strip(line), lambda b: F.when(F.startswith(b, bar), F.substr(b, F.lit(2))).otherwise(b))
+    inner = let(left, lambda b: F.when(F.endswith(b, bar), F.substr(b, F.lit(1), F.length(b) - 1)).otherwise(b))
     return F.transform(F.split(inner, r"\|"), strip)
 
 
 def is_separator(line: Column) -> Column:
-    return F.forall(cells(line), lambda c: c.rlike("^:?-{3,}:?$"))
+    return F.contains(line, F.lit("---")) & F.forall(cells(line), lambda c: c.rlike("^:?-{3,}:?$"))
 
 
 def blocks(text: Column) -> Column:
@@ -44,8 +45,7 @@ def blocks(text: Column) -> Column:
     One pattern over the marked lines finds the parts, so the work grows with the text's length.
     """
     letter = lambda x: F.when(is_table_line(x), F.when(is_separator(x), "s").otherwise("b")).otherwise(F.when(is_separator(x), "r").otherwise("n"))
-    marked = F.array_join(F.transform(lines(F.coalesce(text, F.lit(""))), lambda x: F.concat(letter(x), x)), "\n")
-    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    marked = lambda t: F.array_join(F.transform(lines(t), lambda x: F.concat(letter(x), x)), "\n")
 
     def table(part: Column) -> Column:
         kept = F.filter(F.split(part, "\n"), lambda x: ~F.substring(x, 1, 1).isin("s", "r"))
@@ -61,5 +61,5 @@ def blocks(text: Column) -> Column:
             F.when(many, table(part)).otherwise(F.lit(None).cast("array<array<string>>")).alias("cells"),
         )
 
-    made = F.filter(F.transform(F.regexp_extract_all(marked, F.lit(PARTS), F.lit(0)), block), lambda b: (F.coalesce(b["text"], F.lit("")) != "") | b["cells"].isNotNull())
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.array().cast(BLOCKS)).otherwise(made)
+    made = lambda t: F.filter(F.transform(F.regexp_extract_all(marked(t), F.lit(PARTS), F.lit(0)), block), lambda b: (F.coalesce(b["text"], F.lit("")) != "") | b["cells"].isNotNull())
+    return let(F.coalesce(text, F.lit("")), lambda t: F.when(F.length(t) == 0, F.array().cast(BLOCKS)).otherwise(made(t)))

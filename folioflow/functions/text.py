@@ -6,6 +6,7 @@ line feed ends a line.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -24,8 +25,11 @@ MARKDOWN = (
     (r"(?dUm)^[\s\t]*[\*\-\+]\s+", ""),
     (r"(?dUm)^[\s\t]*\d+\.\s+", ""),
 )
-#: What a text must hold for any of the rules to change it: a rule finds nothing without one of these.
-MARKER = r"(?U)[*_#`\[]|[+-]\s|\d\.\s"
+#: What a text must hold for any of the rules to change it: a rule finds nothing without one of these. One class is tried at each character.
+MARKER = r"(?U)[*_#`\[+\-\d](?:(?<=[*_#`\[])|(?<=[+-])\s|\.\s)"
+#: ``(?U)\s``, character by character, and what else ``strip`` takes.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 # An item's number at the start of a line, the characters that no file name holds, those that are
 # dropped from a choice, and a fenced block.
 ITEM_START = r"(?U)^\s*(\d{1,3})\s*[.、．)]\s*"
@@ -37,9 +41,14 @@ FAILURE = "failure: "
 NO_CONTEXT, NO_ANSWER, NO_LINK, NO_REFERENCES, NO_REASON, NO_TITLE = "(no context)", "(no answer)", "(no link)", "(no references)", "(no reason given)", "document"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Without space of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    return F.trim(text, F.lit(SPACES + SEPARATORS))
 
 
 def strip_markdown(text: Column) -> Column:

@@ -96,6 +96,20 @@ def test_blocks_of_whole_texts(spark):
     assert all([(b.kind, b.text, b.cells) for b in r.b] == _blocks(texts[r.i]) for r in got) and len(got) == len(texts)
 
 
+def test_a_text_is_worked_out_and_split_once(spark):
+    """The block scan names its text and its lines once; each mention is work again on the whole text. Space is trimmed as the patterns would."""
+    whole = spark.createDataFrame([("a",)], "c string").select(F.posexplode(M.blocks(F.concat("c", F.lit("mark")))))
+    told = whole._jdf.queryExecution().analyzed().toString()
+    assert told.count("mark") == 1 and told.count(M.BREAKS) == 1
+    texts = [(chr(c) + "a" + chr(c) + "b" + chr(c) * 2,) for c in range(0x3100)]
+    c = F.col("c")
+    bare = F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    split = F.split(c, "\r\n|" + M.BREAKS)
+    right = F.transform(F.when(F.element_at(split, -1) == "", F.slice(split, F.lit(1), F.size(split) - 1)).otherwise(split), lambda x: F.regexp_replace(x, r"(?U)\s+$", ""))
+    rows = spark.createDataFrame([*texts, ("a\r\nb\r\r\nc \n\rd\r\n",)], "c string")
+    assert rows.filter((X.strip(c) != bare) | (M.lines(c) != right)).count() == 0
+
+
 def test_bundle_is_cut_in_parts(spark):
     rows = [("k", "md", f"p{i}", "x" * (i % 7) * 3, i) for i in range(300)] + [("empty", "md", "p", " ", 1), ("empty", "md", "q", None, 2), (None, "md", "n", "t", 1), ("k", None, "none", "t", -1)]
     got = {r.k: r.bundle for r in R.bundle(spark.createDataFrame(rows, "k string, kind string, path string, content string, ord int"), ["k"], limit=700).collect()}
