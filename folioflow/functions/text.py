@@ -46,9 +46,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bare(text: Column, spaces: str) -> Column:
+    """Without any of ``spaces`` at both ends."""
+    return F.trim(text, F.lit(spaces))
+
+
 def strip(text: Column) -> Column:
     """Without space of any script at both ends."""
-    return F.trim(text, F.lit(SPACES + SEPARATORS))
+    return bare(text, SPACES + SEPARATORS)
 
 
 def strip_markdown(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioflow.functions.text import BUNDLE_LIMIT, FAILURE, NO_CONTEXT, NO_REFERENCES, SOURCE_LIMIT, hit_line, reference_block, strip, truncated
+from folioflow.functions.text import BUNDLE_LIMIT, FAILURE, NO_CONTEXT, NO_REFERENCES, SEPARATORS, SOURCE_LIMIT, SPACES, bare, hit_line, reference_block, truncated
 from folioflow.tables import Tables
 
 HITS = 5
@@ -20,25 +20,25 @@ BETWEEN = "\n\n"
 PARTS = 64
 
 
-def bundle(sources: DataFrame, keys: list[str], source_limit: int = SOURCE_LIMIT, limit: int = BUNDLE_LIMIT) -> DataFrame:
-    """(keys, bundle): blocks of the sources (keys, kind, path, content, ord) in order, empty ones left out, both cut to their limits.
+def bundle(sources: DataFrame, keys: list[str], source_limit: int = SOURCE_LIMIT, limit: int = BUNDLE_LIMIT, spaces: str = SPACES + SEPARATORS, groups: DataFrame | None = None, otherwise: str | None = NO_REFERENCES) -> DataFrame:
+    """(keys, bundle): blocks of the sources (keys, kind, path, content, ord) in order, empty ones left out, both cut to their limits; ``spaces`` are trimmed. Of ``groups`` (keys; all by default), those without a block give ``otherwise``.
 
-    A block within the limit in its group is within it in each part of the group too. So groups are first
-    dealt into ``PARTS`` and cut there, and what one task collects is bounded by the limit, not by the group.
+    A block within the limit in its group, with what stands between it and the one before, is within it in each part of
+    the group too. So groups are first dealt into ``PARTS`` and cut there, and what one task collects is bounded by the limit, not by the group.
     """
-    text = truncated(strip(F.coalesce("content", F.lit(""))), source_limit)
+    text = truncated(bare(F.coalesce("content", F.lit("")), spaces), source_limit)
     told = sources.withColumn("__c", text).filter("__c <> ''").select(*keys, "ord", "path", reference_block(F.col("kind"), F.col("path"), F.col("__c")).alias("__b"))
     dealt = told.withColumn("__part", F.pmod(F.xxhash64("ord", "path"), F.lit(PARTS))).filter("__b is not null")
 
     def within(rows: DataFrame, *of: str) -> DataFrame:
         before = Window.partitionBy(*of).orderBy("ord", "path", "__b").rowsBetween(Window.unboundedPreceding, -1)
         used = F.coalesce(F.sum(F.length("__b") + len(BETWEEN)).over(before), F.lit(0))
-        return rows.withColumn("__used", used).filter(F.col("__used") < limit).drop("__used")
+        return rows.withColumn("__used", used).filter(F.col("__used") - len(BETWEEN) < limit).drop("__used")
 
     first = within(within(dealt, *keys, "__part"), *keys).drop("__part")
-    every = first.unionByName(sources.select(*keys).distinct(), allowMissingColumns=True)
+    every = first.unionByName((sources if groups is None else groups).select(*keys).distinct(), allowMissingColumns=True)
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("__b").isNotNull(), F.struct("ord", "path", F.col("__b").alias("b"))))), lambda x: x["b"])
-    return every.groupBy(*keys).agg(truncated(F.coalesce(F.nullif(F.array_join(ordered, BETWEEN), F.lit("")), F.lit(NO_REFERENCES)), limit).alias("bundle"))
+    return every.groupBy(*keys).agg(truncated(F.coalesce(F.nullif(F.array_join(ordered, BETWEEN), F.lit("")), F.lit(otherwise)), limit).alias("bundle"))
 
 
 def top_hits(hits: DataFrame, keys: list[str], order: list, k: int = HITS) -> DataFrame:

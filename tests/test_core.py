@@ -117,6 +117,29 @@ def test_bundle_is_cut_in_parts(spark):
     assert got == {"k": "\n\n".join(blocks)[:700], "empty": "(no references)", None: "[reference] md / n\nt"}
 
 
+def test_bundle_is_cut_at_any_place(spark):
+    """A cut may fall into what stands between two blocks, which is then there up to the cut."""
+    texts = {k: ["x" * (k + 1), "yy", "z" * 9] for k in range(60)}
+    rows = [(k, "md", f"p{i}", c, i) for k, each in texts.items() for i, c in enumerate(each)]
+    got = {r.k: r.bundle for r in R.bundle(spark.createDataFrame(rows, "k int, kind string, path string, content string, ord int"), ["k"], limit=70).collect()}
+    whole = {k: "\n\n".join(f"[reference] md / p{i}\n{c}" for i, c in enumerate(each)) for k, each in texts.items()}
+    assert got == {k: t[:70] for k, t in whole.items()} and {t[69:71] for t in whole.values()} >= {"x\n", "\n\n", "\n["}
+
+
+def test_reference_bundle_equals_its_sql_on_odd_texts(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, "x" * n, f"s{n}") for n in range(39960, 40001) for i in range(4)]
+    rows += [(i, f"{chr(c)}a{chr(c)}", "space") for i, c in enumerate([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2009, 0x2028, 0x2029, 0x3000, 0xFEFF])]
+    rows += [(1, "\u00a0", "thin"), (2, " \t\n\r\f", "thin"), (3, "b", "thin"), (1, " ", "empty"), (2, None, "empty"), (3, "", "empty"), (None, "c", "no id"), (1, "d", None), (None, "e", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    right = dict(con.execute(catalogue.ORACLE["reference_bundle"]).fetchall())
+    got = {r.source: r.bundle for r in catalogue.reference_bundle(spark, str(tmp_path)).collect()}
+    assert got == right and len(right) == 45
+
+
 def test_replies(spark):
     rows = [('[{"id":1,"answer":"<answer>a</answer>"},1,{"id":"1","answer":"b"}]',), ('{"ans":[{"id":"2","answer":"c"}]}',), ("{bad",), ('[{"id":"3","answer":"x"}] trailing',), (None,)]
     got = P.answers(spark.createDataFrame(rows, "reply string"), id_cols=()).collect()
